@@ -68,11 +68,16 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[st
     keys = list(keys)
     rows = df.select(*keys, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     steps = [i / QUANTILE_SLICES for i in range(1, QUANTILE_SLICES)]
-    cuts = rows.agg(F.array_distinct(F.percentile_approx("v", steps, 20_000)).alias("c")).scalar()
+    cuts = rows.agg(F.percentile_approx("v", steps, 10_000).alias("c")).scalar()
     counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    sliced = counted.withColumn("cuts", cuts).withColumn(
-        "slice", F.size(F.filter("cuts", lambda c: c < F.col("v")))
-    ).drop("cuts")
+    # The slice is the number of cut points below the value, by bisection.
+    halves = F.array(*(F.lit(QUANTILE_SLICES >> i) for i in range(1, QUANTILE_SLICES.bit_length())))
+    below = F.aggregate(
+        halves,
+        F.lit(0),
+        lambda at, step: F.when(F.element_at("cuts", at + step) < F.col("v"), at + step).otherwise(at),
+    )
+    sliced = counted.withColumn("cuts", cuts).withColumn("slice", below).drop("cuts")
 
     totals = sliced.groupBy(*keys, "slice").agg(F.sum("n").alias("m"))
     # At most QUANTILE_SLICES rows per key from here on.
@@ -86,13 +91,11 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[st
         .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
         .select(*keys, "slice", "prob", "at", "rank", (F.col("upto") - F.col("m")).alias("before"))
     )
-    needed = sliced.join(wanted.select(*keys, "slice").distinct(), [*keys, "slice"], "left_semi") if keys else (
-        sliced.join(wanted.select("slice").distinct(), ["slice"], "left_semi")
-    )
-    inside = needed.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys, "slice").orderBy("v")))
+    # Only the slices that hold a wanted rank are sorted.
+    along_slice = Window.partitionBy(*keys, "slice", "prob", "rank").orderBy("v")
     found = (
-        wanted.join(inside, [*keys, "slice"], "inner")
-        .withColumn("end", F.col("before") + F.col("cum"))
+        sliced.join(wanted, [*keys, "slice"], "inner")
+        .withColumn("end", F.col("before") + F.sum("n").over(along_slice))
         .filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
     )
     low, high = F.min("v"), F.max("v")

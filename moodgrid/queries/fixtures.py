@@ -144,7 +144,7 @@ def _panel(d: Dialect) -> str:
            (l_suppkey * 13 % 30) / 100 AS race_other, (l_suppkey * 7 % 35) / 100 AS race_hisp,
            cast(l_orderkey % 13 = 0 AS int) AS weather_term, cast(l_partkey * l_linenumber % 19 = 0 AS int) AS depress_term,
            l_extendedprice / 61111 - 9e-1 - 2e-3 * greatest(temp - 20, 0) AS vader,
-           l_quantity / 25 - 1 + l_discount AS afinn, 5 + l_tax * 10 - l_discount * 3 AS hedono
+           l_quantity / 25013e-3 - 1 + l_discount AS afinn, 5 + l_tax * 97113171e-7 - l_discount * 30177193e-7 AS hedono
     FROM {{ships}}"""
 
 

@@ -144,8 +144,8 @@ def polarity_sql(table: str, key: str, text: str) -> str:
                    coalesce(list_position(list_transform(ws, lambda x: lower(x)), 'but'), 0) AS but FROM base),
       u AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM m),
       g AS (SELECT {key}, mixed, but, i, w, lower(w) AS word, {guard} FROM (SELECT *, ws[i] AS w, {prev} FROM u) z),
-      c AS (SELECT g.*, score, sign(score) AS sgn, {looked},
-                   score + CASE WHEN mixed AND upper(w) = w AND lower(w) <> w THEN sign(score) * 733e-3 ELSE 0 END AS valence0
+      c AS (SELECT g.*, lx.score, sign(lx.score) AS sgn, {looked},
+                   lx.score + CASE WHEN mixed AND upper(w) = w AND lower(w) <> w THEN sign(lx.score) * 733e-3 ELSE 0 END AS valence0
             FROM g JOIN {VALENCE} lx ON lx.word = g.word {joins}),
       {', '.join(levels)},
       f AS (SELECT {key}, sum(valence3 * CASE WHEN but = 0 OR i = but THEN 1e0 WHEN i < but THEN 5e-1 ELSE 15e-1 END) AS s
