@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.operators.joins import lookup_join
+from moodgrid.operators.joins import is_small, lookup_join
 from moodgrid.session import cut_lineage
 
 MAX_LEVELS = 6_000
@@ -65,37 +65,41 @@ def design(
 def normal_sums(d: Design, extra: dict[str, Column] | None = None, z: str = "y", w: str = "w") -> DataFrame:
     """The weighted sums of a design: keys, ``kind``, ``a``, ``b``, ``vec``.
 
-    Kind -1 holds the totals and cross-products, kind i the sums per level of
-    factor i, kind m + p the joint weights of the p-th factor pair.
+    Kind -1 holds the totals and one line of the cross-products, kind i the sums
+    per level of factor i, kind m + p the joint weights of the p-th factor pair.
     """
-    m, keys = len(d.factors), list(d.keys)
+    m, keys, k = len(d.factors), list(d.keys), len(d.terms)
+    columns = [z, *(f"x{i}" for i in range(k))]
+    names = list(extra or {})
+    head = [f"`{c}`" for c in keys]
+
+    # One row of the cross-product matrix per column: k sums over an exploded
+    # index stay in small compiled code where k*k/2 sums at once would not.
+    packed = d.rows.select(
+        *keys, F.col(w).alias("w"), *(e.alias(n) for n, e in (extra or {}).items()), F.array(*columns).alias("z")
+    )
+    lined = packed.select("*", F.posexplode("z").alias("at", "zi"))
+    sums = ["cast(count(1) AS double)", "sum(w)", *(f"sum({n})" for n in names)]
+    sums += [f"sum(w * zi * z[{j}])" for j in range(k + 1)]
+    totals = lined.groupBy(*keys, "at").agg(F.expr(f"array({', '.join(sums)})").alias("vec"))
+    out = totals.selectExpr(*head, "-1 AS kind", "cast(at AS string) AS a", "'' AS b", "vec")
+
     f = [f"f{i}" for i in range(m)]
-    columns = [F.col(z), *(F.col(f"x{i}") for i in range(len(d.terms)))]
-    weight = F.col(w)
-    sums = [F.count(F.lit(1)).cast("double"), F.sum(weight)]
-    sums += [F.sum(e) for e in (extra or {}).values()]
-    sums += [F.sum(weight * columns[i] * columns[j]) for i in range(len(columns)) for j in range(i, len(columns))]
-    empty = F.lit("")
-    shape = lambda kind, a, b, vec: [F.lit(kind).alias("kind") if isinstance(kind, int) else kind.alias("kind"), a.alias("a"), b.alias("b"), vec.alias("vec")]  # noqa: E731,E501
-    totals = d.rows.groupBy(*keys).agg(F.array(*sums).alias("vec")).select(*keys, *shape(-1, empty, empty, F.col("vec")))
-    if not keys:
-        totals = totals.filter(F.col("vec")[0] > 0)
-
-    def sets(groups: list[tuple[int, ...]], vec: Column, base: int) -> DataFrame:
-        gid = F.lit(None).cast("int")
-        for n, group in enumerate(groups):
-            mask = sum(1 << (m - 1 - i) for i in range(m) if i not in group)
-            gid = F.when(F.col("g") == mask, F.lit(base + n)).otherwise(gid)
+    first, last = f"coalesce({', '.join(f)})", f"coalesce({', '.join(reversed(f))})"
+
+    def sets(groups: list[tuple[int, ...]], vec: str, base: int) -> DataFrame:
+        masks = [sum(1 << (m - 1 - i) for i in range(m) if i not in group) for group in groups]
+        number = " ".join(f"WHEN {mask} THEN {base + n}" for n, mask in enumerate(masks))
         grouped = d.rows.groupingSets(
             [[*keys, *(f[i] for i in group)] for group in groups], *keys, *f
-        ).agg(F.grouping_id().alias("g"), vec.alias("vec"))
-        return grouped.select(*keys, *shape(gid, F.coalesce(*f), F.coalesce(*reversed(f)), F.col("vec")))
+        ).agg(F.expr("cast(grouping_id() AS int)").alias("g"), F.expr(vec).alias("vec"))
+        return grouped.selectExpr(*head, f"CASE g {number} END AS kind", f"{first} AS a", f"{last} AS b", "vec")
 
-    singles = sets([(i,) for i in range(m)], F.array(F.sum(weight), *(F.sum(weight * c) for c in columns)), 0)
-    out = totals.unionByName(singles)
+    level_sums = [f"sum({w})", *(f"sum({w} * {c})" for c in columns)]
+    out = out.unionByName(sets([(i,) for i in range(m)], f"array({', '.join(level_sums)})", 0))
     pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
     if pairs:
-        out = out.unionByName(sets(pairs, F.array(F.sum(weight)), m))
+        out = out.unionByName(sets(pairs, f"array(sum({w}))", m))
     return out
 
 
@@ -125,11 +129,11 @@ def _independent(cross: np.ndarray, raw: np.ndarray) -> list[int]:
 def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str], n_extra: int = 0) -> list[tuple]:
     """Coefficients, level effects and fit figures from one key's sums."""
     m, p = len(factors), len(terms) + 1
-    totals = np.asarray(part.loc[part["kind"] == -1, "vec"].iloc[0], dtype=float)
-    n_rows, sum_w, extra, upper = totals[0], totals[1], totals[2 : 2 + n_extra], totals[2 + n_extra :]
-    cross = np.zeros((p, p))
-    cross[np.triu_indices(p)] = upper
-    cross = cross + np.triu(cross, 1).T
+    lines = part.loc[part["kind"] == -1]
+    totals = np.vstack(lines["vec"].to_numpy())[np.argsort(lines["a"].astype(int).to_numpy())]
+    n_rows, sum_w, extra = totals[0, 0], totals[0, 1], totals[0, 2 : 2 + n_extra]
+    cross = totals[:, 2 + n_extra :]
+    cross = (cross + cross.T) / 2
     raw = np.diag(cross).copy()
 
     names, weights, sums = [], [], []
@@ -223,8 +227,8 @@ def solve(d: Design, sums: DataFrame, n_extra: int = 0) -> DataFrame:
 
 
 def count_levels(d: Design) -> int:
-    """Upper bound of the number of factor levels, in one pass."""
-    counts = d.rows.agg(*(F.approx_count_distinct(f"f{i}", 0.02) for i in range(len(d.factors)))).first()
+    """The number of factor levels, approximately, in one pass."""
+    counts = d.rows.agg(*(F.approx_count_distinct(f"f{i}") for i in range(len(d.factors)))).first()
     return int(sum(counts))
 
 
@@ -279,34 +283,53 @@ def fe_ols(
     return solve(d, normal_sums(d))
 
 
-def demeaned(d: Design, tolerance: float = 1e-8, max_rounds: int = 500, checkpoint_every: int = 4) -> Design:
+def demeaned(d: Design, tolerance: float = 1e-8, max_rounds: int = 500) -> Design:
     """The design with factor means removed by alternating projections.
 
-    For factors with more levels than a dense system takes. Every round takes
-    the group means of one factor after another; the means meet the rows by a
-    size-checked join, and the lineage is cut every few rounds.
+    For factors with more levels than a dense system takes. The rows are never
+    rewritten: every step subtracts the level effects found so far, takes the
+    means of what is left by one factor and adds them to that factor's effects.
+    Only the effect tables are checkpointed; they meet the rows by joins that
+    check their size.
     """
     keys, m = list(d.keys), len(d.factors)
     values = ["y", *(f"x{i}" for i in range(len(d.terms)))]
-    rows = cut_lineage(d.rows)
-    for turn in range(max_rounds):
-        largest = []
+    effects: list[DataFrame | None] = [None] * m
+    sizes: list[bool | None] = [None] * m
+
+    def cleaned() -> DataFrame:
+        rows = d.rows
+        for i in range(m):
+            if effects[i] is None:
+                continue
+            table = effects[i].select(*keys, f"f{i}", *(F.col(v).alias(f"m_{v}") for v in values))
+            rows = lookup_join(rows, table, [*keys, f"f{i}"], "inner", small=sizes[i])
+            rows = rows.withColumns({v: F.col(v) - F.col(f"m_{v}") for v in values}).drop(*(f"m_{v}" for v in values))
+        return rows
+
+    for _ in range(max_rounds):
+        largest = 0.0
         for i in range(m):
-            means = rows.groupBy(*keys, f"f{i}").agg(
-                *((F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(f"m_{v}") for v in values)
+            level = [*keys, f"f{i}"]
+            means = cleaned().groupBy(*level).agg(
+                *((F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(v) for v in values)
+            )
+            step = means if effects[i] is None else (
+                effects[i].select(*level, *(F.col(v).alias(f"old_{v}") for v in values)).join(means, level, "inner")
+                .select(*level, *((F.col(v) + F.col(f"old_{v}")).alias(v) for v in values), F.greatest(*(F.abs(v) for v in values), F.lit(0.0)).alias("move"))
             )
-            largest.append(means.agg(F.max(F.greatest(*(F.abs(f"m_{v}") for v in values), F.lit(0.0))).alias("d")))
-            rows = lookup_join(rows, means, [*keys, f"f{i}"], "inner").withColumns(
-                {v: F.col(v) - F.col(f"m_{v}") for v in values}
-            ).drop(*(f"m_{v}" for v in values))
-        if (turn + 1) % checkpoint_every == 0 or turn == 0:
-            rows = cut_lineage(rows)
-        if max(frame.first()["d"] or 0.0 for frame in largest) < tolerance:
+            table = cut_lineage(step)
+            if effects[i] is not None:
+                largest = max(largest, table.agg(F.max("move")).first()[0] or 0.0)
+            else:
+                largest, sizes[i] = float("inf"), is_small(table)
+            effects[i] = table
+        if largest < tolerance:
             break
     else:
         raise RuntimeError("the factor means did not settle")
-    flat = rows.drop(*(f"f{i}" for i in range(m))).withColumn("f0", F.lit("all"))
-    return Design(cut_lineage(flat), d.keys, d.terms, ("(absorbed)",))
+    flat = cleaned().drop(*(f"f{i}" for i in range(m))).withColumn("f0", F.lit("all"))
+    return Design(flat, d.keys, d.terms, ("(absorbed)",))
 
 
 def clustered(

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.operators.joins import lookup_join
+from moodgrid.operators.joins import is_small, lookup_join
 from moodgrid.plans.estimation import (
     COEF,
     LEVEL,
@@ -73,13 +73,21 @@ def _working(family: str, rows: DataFrame) -> DataFrame:
 
 
 def drop_separated(d: Design, family: str) -> Design:
-    """Remove factor levels without any event, whose effect has no finite value."""
-    rows, keys = d.rows, list(d.keys)
-    for i in range(len(d.factors)):
-        level = [*keys, f"f{i}"]
-        ends = rows.groupBy(*level).agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
-        usable = F.col("hi") > 0 if family == "poisson" else (F.col("hi") > 0) & (F.col("lo") < 1)
-        rows = lookup_join(rows, ends.filter(usable).select(*level), level, "left_semi")
+    """Remove factor levels without any event, whose effect has no finite value.
+
+    One pass finds such levels of all factors; mostly there are none.
+    """
+    m, keys = len(d.factors), list(d.keys)
+    f = [f"f{i}" for i in range(m)]
+    unusable = "hi <= 0" if family == "poisson" else "hi <= 0 OR lo >= 1"
+    ends = d.rows.groupingSets([[*keys, c] for c in f], *keys, *f).agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
+    bad = cut_lineage(ends.filter(unusable).select(*keys, *f))
+    if bad.isEmpty():
+        return d
+    rows, small = d.rows, is_small(bad)
+    for c in f:
+        level = [*keys, c]
+        rows = lookup_join(rows, bad.filter(F.col(c).isNotNull()).select(*level), level, "left_anti", small=small)
     return Design(rows, d.keys, d.terms, d.factors)
 
 
@@ -115,7 +123,7 @@ def fe_glm(
     )
     rows = d.rows.withColumn("eta", start)
     previous: dict[tuple, float] = {}
-    solution = None
+    solution, small = None, None
     try:
         for _ in range(max_steps):
             step = Design(_working(family, rows), d.keys, d.terms, d.factors)
@@ -133,7 +141,10 @@ def fe_glm(
             solution, previous = following, deviance
             if settled:
                 break
-            rows = _predictor(d, solution, keys, k)
+            if small is None:
+                # The tables keep their size from step to step.
+                small = is_small(solution.filter(F.col("kind") == LEVEL))
+            rows = _predictor(d, solution, keys, k, small)
     finally:
         d.rows.unpersist()
     coefs = solution.filter(F.col("kind") == COEF)
@@ -157,24 +168,22 @@ def fe_glm(
     return tidy, figures
 
 
-def _predictor(d: Design, solution: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _predictor(d: Design, solution: DataFrame, keys: list[str], k: int, small: bool) -> DataFrame:
     """Rows with the linear predictor of a solution."""
-    names = F.array(*(F.lit(t) for t in d.terms))
-    betas = solution.filter(F.col("kind") == COEF).groupBy(*keys).agg(
-        *(F.max(F.when(F.col("term") == F.element_at(names, i + 1), F.col("estimate"))).alias(f"b{i}") for i in range(k))
+    slot = F.array_position(F.array(*(F.lit(t) for t in d.terms)), F.col("term"))
+    found = solution.filter(F.col("kind") == COEF).select(*keys, "estimate", slot.alias("slot"))
+    betas = found.groupBy(*keys).agg(
+        *(F.expr(f"coalesce(max(CASE WHEN slot = {i + 1} THEN estimate END), 0D)").alias(f"b{i}") for i in range(k))
     )
     if keys:
-        rows = lookup_join(d.rows, betas, keys, "inner")
+        rows = lookup_join(d.rows, betas, keys, "inner", small=small)
     else:
-        one = betas.select(F.struct(*(f"b{i}" for i in range(k))).alias("b")).scalar()
-        rows = d.rows.withColumn("__b", one).select("*", "__b.*").drop("__b")
-    eta = F.lit(0.0)
-    for i in range(k):
-        eta = eta + F.coalesce(F.col(f"b{i}"), F.lit(0.0)) * F.col(f"x{i}")
+        one = betas.select(F.struct(*betas.columns).alias("b")).scalar()
+        rows = d.rows.withColumn("__b", one).select("*", "__b.*")
     for i in range(len(d.factors)):
-        effects = solution.filter((F.col("kind") == LEVEL) & (F.col("term") == str(i))).select(
-            *keys, F.col("level").alias(f"f{i}"), F.col("estimate").alias(f"a{i}")
+        effects = solution.filter(f"kind = '{LEVEL}' AND term = '{i}'").selectExpr(
+            *(f"`{c}`" for c in keys), f"level AS f{i}", f"estimate AS a{i}"
         )
-        rows = lookup_join(rows, effects, [*keys, f"f{i}"], "inner")
-        eta = eta + F.col(f"a{i}")
-    return rows.withColumn("eta", eta).select(*d.rows.columns, "eta")
+        rows = lookup_join(rows, effects, [*keys, f"f{i}"], "inner", small=small)
+    parts = [f"b{i} * x{i}" for i in range(k)] + [f"a{i}" for i in range(len(d.factors))]
+    return rows.select(*d.rows.columns, F.expr(" + ".join(parts)).alias("eta"))

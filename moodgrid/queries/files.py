@@ -6,8 +6,6 @@ below ``spark.checkpoint.dir`` and read them back.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from moodgrid.operators import text as text_ops
@@ -16,16 +14,6 @@ from moodgrid.sources import readers, writers
 from moodgrid.streaming.incremental import score_incremental
 
 
-def fresh_folder(t, name: str) -> str:
-    """A new folder every executor can reach; a local session may use /tmp."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = "/tmp"
-    return f"{base}/moodgrid-{name}-{uuid.uuid4().hex}"
-
-
 def raw_posts(t):
     """Posts as the nested objects they arrive in."""
     ms = F.unix_millis(F.col("tweet_created_at").cast("timestamp")).cast("string")
@@ -44,29 +32,36 @@ POST_TEXT = """SELECT id, pure_text || ' }{"id": "x' AS pure_text, lang, lon, la
 
 @query("S1_read_concat_json", POST_TEXT, ("posts",))
 def _(t):
-    # Objects glued per language and written as one line per file.
-    glued = raw_posts(t).select(F.to_json(F.struct("*")).alias("value"))
-    folder = fresh_folder(t, "glued")
-    glued.write.option("lineSep", "").text(folder)
-    posts = readers.read_concat_json(t.spark, folder, readers.POST_SCHEMA)
+    # A text writer always separates its values: one blank is the glue here.
+    folder = t.fresh_folder("glued")
+    raw_posts(t).select(F.to_json(F.struct("*")).alias("value")).write.option("lineSep", " ").text(folder)
+    posts = readers.read_concat_json(t.spark, folder, readers.POST_SCHEMA, glue=" ")
     return readers.flatten_geo(posts).select("id", "pure_text", F.col("fastText_lang").alias("lang"), "lon", "lat")
 
 
 @query("S2_read_json_array", "SELECT conv_id, turn, role, text FROM conversations")
 def _(t):
-    folder = fresh_folder(t, "arrays")
-    # One array per conversation: a group the size of one dialogue.
-    arrays = t.conversations.groupBy("conv_id").agg(
-        F.to_json(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("value")
+    folder = t.fresh_folder("arrays")
+    # Files of about a hundred dialogues each, so their number grows and not
+    # their size; the brackets of an array are lines of their own.
+    file = F.concat_ws("-", F.floor(F.col("conv_id") / 100).cast("string"), F.floor(F.col("turn") / 1000).cast("string"))
+    turns = t.conversations.select(
+        file.alias("file"), F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value")
+    )
+    ends = F.array(
+        F.struct(F.lit(0).alias("place"), F.lit("[").alias("value")),
+        F.struct(F.lit(2).alias("place"), F.lit("{}]").alias("value")),
     )
-    arrays.select("value").write.text(folder)
-    schema = t.conversations.schema
-    return readers.read_json_array(t.spark, folder, schema)
+    frames = turns.select("file").distinct().select("file", F.inline(ends))
+    lines = turns.select("file", F.lit(1).alias("place"), F.concat("value", F.lit(",")).alias("value")).unionByName(frames)
+    by_file = lines.repartition("file").sortWithinPartitions("file", "place")
+    by_file.select("file", "value").write.partitionBy("file").text(folder)
+    return readers.read_json_array(t.spark, f"{folder}/*/", t.conversations.schema).na.drop("all")
 
 
 @query("S3_read_csv_set", "SELECT cast(doc_id AS string) AS id, text, lang FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
 def _(t):
-    folder = fresh_folder(t, "csv")
+    folder = t.fresh_folder("csv")
     docs = t.documents.filter(~F.contains("text", F.lit("\r"))).select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
     docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
     return readers.read_csv_set(t.spark, folder, "id string, text string, lang string")
@@ -96,14 +91,14 @@ def _(t):
 
 @query("S6_read_tsv_footer", "SELECT fips, year, month, deaths FROM deaths WHERE deaths IS NOT NULL", ("deaths",))
 def _(t):
-    folder = fresh_folder(t, "tsv")
+    folder = t.fresh_folder("tsv")
     t.deaths.write.option("header", True).csv(folder, sep="\t")
     return readers.read_tsv_footer(t.spark, folder, "fips string, year int, month string, deaths long", "deaths")
 
 
 @query("S7_merge_csv_headers", "SELECT o_orderkey, o_orderpriority FROM orders")
 def _(t):
-    source, merged = fresh_folder(t, "parts"), fresh_folder(t, "merged")
+    source, merged = t.fresh_folder("parts"), t.fresh_folder("merged")
     t.orders.select("o_orderkey", "o_orderpriority").repartition(4, "o_orderkey").write.option("header", True).csv(source)
     schema = "o_orderkey long, o_orderpriority string"
     writers.merge_csv_headers(t.spark, source, merged, schema)
@@ -112,7 +107,7 @@ def _(t):
 
 @query("S8_write_partitioned", "SELECT event_id, value, cast(ts AS date) AS day FROM events")
 def _(t):
-    folder = fresh_folder(t, "daily")
+    folder = t.fresh_folder("daily")
     daily = t.events.select("event_id", "value", F.col("ts").cast("date").alias("day"))
     writers.write_partitioned(daily, folder, ["day"], spread=["event_id"], files=4)
     return t.spark.read.schema("event_id long, value double, day date").parquet(folder)
@@ -120,7 +115,7 @@ def _(t):
 
 @query("S9_split_into_chunks", "SELECT count(*) AS n, true AS within FROM lineitem")
 def _(t):
-    folder = fresh_folder(t, "chunks")
+    folder = t.fresh_folder("chunks")
     writers.split_into_chunks(t.lineitem.select("l_orderkey"), folder, 1000)
     per_file = t.spark.read.parquet(folder).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
     return per_file.agg(F.sum("n").alias("n"), (F.max("n") <= 1000).alias("within"))
@@ -137,7 +132,7 @@ def _(t):
     ("panel",),
 )
 def _(t):
-    folder = fresh_folder(t, "table")
+    folder = t.fresh_folder("table")
     writers.write_table(t.panel.select("id", "fips", "vader"), folder)
     return rounded(t.spark.read.parquet(folder))
 
@@ -151,7 +146,7 @@ def _(t):
     ("lexicon",),
 )
 def _(t):
-    source, out, marks = (fresh_folder(t, n) for n in ("stream", "scored", "marks"))
+    source, out, marks = (t.fresh_folder(n) for n in ("stream", "scored", "marks"))
     lex = t.lexicon.select("word", F.col("afinn").alias("score"))
     docs = t.documents.select("doc_id", "text")
 
@@ -163,4 +158,4 @@ def _(t):
         docs_part = t.documents.filter(part).select(*docs.columns)
         docs_part.write.mode("append").json(source)
         score_incremental(t.spark, source, out, marks, docs.schema, score)
-    return rounded(t.spark.read.schema("doc_id long, afinn double").parquet(out))
+    return rounded(t.spark.read.schema("doc_id long, afinn double").parquet(out).select("doc_id", "afinn"))

@@ -32,7 +32,7 @@ WITHIN = """d AS (SELECT fips, vader - avg(vader) OVER (PARTITION BY fips) AS y,
     ("panel",),
 )
 def _(t):
-    fit = fe_ols(t.panel, "vader", {**col("wbgt"), **col("srad")}, ["fips"])
+    fit = fe_ols(t.stored(t.panel), "vader", {**col("wbgt"), **col("srad")}, ["fips"])
     return rounded(tidy(fit).select("term", "estimate", "std_error"), 9)
 
 
@@ -45,26 +45,26 @@ def _(t):
     ("panel",),
 )
 def _(t):
-    fit = fe_ols(t.panel, "vader", col("wbgt"), ["fips"], weight=F.col("weather_term") + 1)
+    fit = fe_ols(t.stored(t.panel), "vader", col("wbgt"), ["fips"], weight=F.col("weather_term") + 1)
     return rounded(tidy(fit).select("term", "estimate"), 9)
 
 
 @query("E1_fe_ols_six_factors")
 def _(t):
     form = specs.spec("plain")
-    rows = specs.analysis_rows(t.panel)
+    rows = specs.analysis_rows(t.stored(t.panel))
     return rounded(tidy(fe_ols(rows, "vader", form.terms, form.absorb)), 9)
 
 
 @query("E1_fe_ols_demeaned")
 def _(t):
-    d = demeaned(design(t.panel, "vader", {**col("wbgt"), **col("srad")}, ["fips", "dow", "tod"]))
+    d = demeaned(design(t.stored(t.panel), "vader", {**col("wbgt"), **col("srad")}, ["fips", "dow", "tod"]))
     return rounded(tidy(solve(d, normal_sums(d))).select("term", "estimate"), 8)
 
 
 @query("E1_fe_ols_clustered")
 def _(t):
-    return rounded(clustered(t.panel, "vader", {**col("wbgt"), **col("srad")}, ["fips", "dow"], "fips"), 9)
+    return rounded(clustered(t.stored(t.panel), "vader", {**col("wbgt"), **col("srad")}, ["fips", "dow"], "fips"), 9)
 
 
 @query("E2_fe_glm_poisson")
@@ -78,7 +78,7 @@ def _(t):
 
 @query("E2_fe_glm_logit")
 def _(t):
-    rows = specs.analysis_rows(t.panel)
+    rows = specs.analysis_rows(t.stored(t.panel))
     form = specs.spec("plain")
     coefs, _ = fe_glm(rows, "depress_term", form.terms, ("dow", "state", "year", "month"), "binomial")
     return rounded(coefs, 7)
@@ -86,7 +86,7 @@ def _(t):
 
 @query("E3_bootstrap_fit")
 def _(t):
-    rows = specs.analysis_rows(t.panel)
+    rows = specs.analysis_rows(t.stored(t.panel))
     form = specs.Spec("small", {**col("wbgt"), **col("raining"), **col("srad")}, ("dow", "state", "year", "month"))
     return rounded(specs.bootstrap_fit(rows, "vader", form, ["id"], replicates=20), 9)
 
@@ -95,7 +95,7 @@ def _(t):
 def _(t):
     from moodgrid.operators.sampling import with_replicates
 
-    drawn = with_replicates(t.panel, ["id"], 4)
+    drawn = with_replicates(t.stored(t.panel), ["id"], 4)
     coefs, _ = fe_glm(drawn, "depress_term", col("wbgt"), ["state", "year"], "poisson", "weight", ["replicate"])
     return rounded(coefs.select("replicate", "term", "estimate"), 7)
 
@@ -109,7 +109,7 @@ def _(t):
     ("panel",),
 )
 def _(t):
-    fit = tidy(fe_ols(t.panel, "vader", col("wbgt"), ["dow"], keys=["state"]), ["state"])
+    fit = tidy(fe_ols(t.stored(t.panel), "vader", col("wbgt"), ["dow"], keys=["state"]), ["state"])
     return rounded(fit.select("state", "term", "estimate", "std_error"), 9)
 
 
@@ -143,13 +143,13 @@ def aic_sql(x: str) -> str:
 )
 def _(t):
     forms = [specs.Spec(x, col(x), ("fips",)) for x in ("wbgt", "srad")]
-    fits = specs.compare(t.panel, "vader", forms).select("form", F.col("n").cast("long").alias("n"), "aic")
+    fits = specs.compare(t.stored(t.panel), "vader", forms).select("form", F.col("n").cast("long").alias("n"), "aic")
     return rounded(fits, 4)
 
 
 @query("E6_compare_income_race")
 def _(t):
-    rows = specs.analysis_rows(t.panel)
+    rows = specs.analysis_rows(t.stored(t.panel))
     forms = [specs.spec(n, "race_black") for n in ("plain", "income", "race", "income_race")]
     forms = [specs.Spec(f.name, f.terms, ("dow", "state", "year", "month")) for f in forms]
     return rounded(specs.compare(rows, "vader", forms).select("form", "n_terms", "aic"), 4)
@@ -264,7 +264,7 @@ def _(t):
 
 @query("E11_ols_dummy")
 def _(t):
-    fit = fe_ols(t.panel, "vader", {"wbgt": F.col("wbgt")}, ["year", "state"])
+    fit = fe_ols(t.stored(t.panel), "vader", {"wbgt": F.col("wbgt")}, ["year", "state"])
     return rounded(tidy(fit), 9)
 
 
@@ -295,7 +295,7 @@ def form_query(name: str, outcome: str, race: str = "race_white"):
 
     @query(f"form_{name}_{outcome}")
     def _(t):
-        rows = specs.with_classes(specs.analysis_rows(t.panel), name)
+        rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), name)
         form = specs.spec(name, race)
         return rounded(specs.fit(rows, outcome, form).select("term", "estimate", "std_error"), 8)
 
@@ -317,7 +317,7 @@ for _name, _outcome, _race in (
 
 @query("form_depress_race_q")
 def _(t):
-    rows = specs.with_classes(specs.analysis_rows(t.panel), "race_q")
+    rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), "race_q")
     form = specs.spec("race_q")
     coefs, _ = fe_glm(rows, "depress_term", form.terms, ("dow", "year", "month"), "binomial")
     return rounded(coefs.select("term", "estimate"), 6)
@@ -325,7 +325,7 @@ def _(t):
 
 @query("form_linear_by_state")
 def _(t):
-    rows = specs.analysis_rows(t.panel).filter("wbgt > 5")
+    rows = specs.analysis_rows(t.stored(t.panel)).filter("wbgt > 5")
     out = None
     for by in (None, "income", "race_white", "race_black"):
         form = specs.linear_spec(by)
@@ -337,7 +337,7 @@ def _(t):
 
 @query("curve_plain_bootstrap")
 def _(t):
-    rows = specs.analysis_rows(t.panel)
+    rows = specs.analysis_rows(t.stored(t.panel))
     form = specs.spec("plain")
     small = specs.Spec("plain", form.terms, ("dow", "state", "year", "month"))
     coefs = specs.bootstrap_fit(rows, "vader", small, ["id"], replicates=10)

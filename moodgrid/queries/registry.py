@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,6 +37,27 @@ class Tables:
             return fixtures.derive(self, name)
         raise AttributeError(name)
 
+    def fresh_folder(self, name: str) -> str:
+        """A new folder every executor can reach; a local session may use /tmp."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            base = "/tmp"
+        return f"{base}/moodgrid-{name}-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str = "panel") -> DataFrame:
+        """The frame as a written table, which the model steps scan repeatedly.
+
+        A source of few files is spread over the cores first.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        folder = self.fresh_folder(name)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Callable[[Build], Build]:
     """Register a query; ``needs`` names the derived frames its SQL refers to."""
