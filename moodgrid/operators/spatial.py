@@ -63,13 +63,15 @@ def point_in_polygon(
     how: str = "inner",
     cell: float = 0.5,
     ids: Sequence[str] | None = None,
+    match: Sequence[str] = (),
 ) -> DataFrame:
     """Attach the columns of the polygon that holds each point.
 
     Each polygon is listed under the grid cells of its bounding box; points
     meet it by an equi-join on the cell and are then tested exactly. ``ids``
     identify a point: they spread the points of a hot cell and, in a left
-    join, find the points that matched nothing.
+    join, find the points that matched nothing. ``match`` names columns of both
+    sides that must agree as well, such as the vintage of a boundary.
     """
     ring = F.col("ring")
     xs, ys = F.transform(ring, lambda p: p.getField("x")), F.transform(ring, lambda p: p.getField("y"))
@@ -77,9 +79,9 @@ def point_in_polygon(
         "__cx", F.explode(F.sequence(cell_of(F.array_min(xs), cell), cell_of(F.array_max(xs), cell)))
     ).withColumn("__cy", F.explode(F.sequence(cell_of(F.array_min(ys), cell), cell_of(F.array_max(ys), cell))))
     keyed = points.withColumn("__cx", cell_of(F.col(x), cell)).withColumn("__cy", cell_of(F.col(y), cell))
-    attributes = [c for c in polygons.columns if c != "ring"]
+    attributes = [c for c in polygons.columns if c != "ring" and c not in match]
     matched = (
-        lookup_join(keyed, covered, ["__cx", "__cy"], "inner", ids)
+        lookup_join(keyed, covered, ["__cx", "__cy", *match], "inner", ids)
         .filter(contains(ring, F.col(x), F.col(y)))
         .select(*points.columns, *attributes)
     )

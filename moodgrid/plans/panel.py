@@ -112,20 +112,9 @@ def census_features(posts: DataFrame, areas: DataFrame, survey: DataFrame, compa
     values = race_shares(survey, compat).withColumn(
         "income_percap", recode.to_2019_money(F.col("income"), F.col("survey_year"))
     )
-    shapes = areas.join(values.drop("income", "race_total"), ["geoid", "survey_year"], "inner").withColumnRenamed(
-        "survey_year", "vintage"
-    )
+    shapes = areas.join(values.drop("income", "race_total"), ["geoid", "survey_year"], "inner")
     dated = posts.withColumn("survey_year", recode.survey_year(F.year("tweet_created_at")))
-    parts = None
-    for year in sorted(recode.TO_2019):
-        one = point_in_polygon(
-            dated.filter(F.col("survey_year") == year),
-            shapes.filter(F.col("vintage") == year).drop("vintage"),
-            how="left",
-            ids=POST_KEY,
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    return point_in_polygon(dated, shapes, how="left", ids=POST_KEY, match=["survey_year"])
 
 
 def local_time_features(

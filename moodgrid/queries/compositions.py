@@ -100,7 +100,7 @@ TILE_SQL = f"""(SELECT 1000 * (1 + c_custkey % 24) + c_custkey * 7 % 58 AS geoid
     f"""WITH p AS (SELECT id, tweet_created_at - to_years(cast(event_id % 16 AS int)) AS tweet_created_at, lon, lat,
                          cast(1000 * (floor(lat) - 24) + floor(lon) + 125 AS bigint) AS geoid FROM points),
              y AS (SELECT *, CASE WHEN year(tweet_created_at) < 2017 THEN year(tweet_created_at) + 2 ELSE 2018 END AS survey_year FROM p)
-        SELECT id, y.tweet_created_at, lon, lat, cast(y.survey_year AS int) AS survey_year, s.geoid, {r('white / nullif(race_total, 0)')} AS race_white,
+        SELECT id, y.tweet_created_at, {r('lon')} AS lon, {r('lat')} AS lat, cast(y.survey_year AS int) AS survey_year, s.geoid, {r('white / nullif(race_total, 0)')} AS race_white,
                {r('black / nullif(race_total, 0)')} AS race_black, {r(OTHER_SQL + ' / nullif(race_total, 0)')} AS race_other,
                {r('hisp / nullif(race_total, 0)')} AS race_hisp, {r(f'income * {CPI_SQL}')} AS income_percap
         FROM y LEFT JOIN {TILE_SQL} s ON s.geoid = y.geoid AND y.survey_year BETWEEN 2011 AND 2018""",
