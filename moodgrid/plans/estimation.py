@@ -134,6 +134,8 @@ def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str],
     n_rows, sum_w, extra = totals[0, 0], totals[0, 1], totals[0, 2 : 2 + n_extra]
     cross = totals[:, 2 + n_extra :]
     cross = (cross + cross.T) / 2
+    if not np.isfinite(totals).all():
+        raise ValueError("the weighted sums are not finite")
     raw = np.diag(cross).copy()
 
     names, weights, sums = [], [], []

@@ -29,6 +29,7 @@ from moodgrid.plans.estimation import (
 from moodgrid.session import cut_lineage
 
 BOUND = 30.0
+MAX_PASSES = 6
 
 
 def _mean(family: str, eta: Column) -> Column:
@@ -80,14 +81,17 @@ def drop_separated(d: Design, family: str) -> Design:
     m, keys = len(d.factors), list(d.keys)
     f = [f"f{i}" for i in range(m)]
     unusable = "hi <= 0" if family == "poisson" else "hi <= 0 OR lo >= 1"
-    ends = d.rows.groupingSets([[*keys, c] for c in f], *keys, *f).agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
-    bad = cut_lineage(ends.filter(unusable).select(*keys, *f))
-    if bad.isEmpty():
-        return d
-    rows, small = d.rows, is_small(bad)
-    for c in f:
-        level = [*keys, c]
-        rows = lookup_join(rows, bad.filter(F.col(c).isNotNull()).select(*level), level, "left_anti", small=small)
+    rows = d.rows
+    for _ in range(MAX_PASSES):
+        # Dropping a level of one factor may leave another one without events.
+        ends = rows.groupingSets([[*keys, c] for c in f], *keys, *f).agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
+        bad = cut_lineage(ends.filter(unusable).select(*keys, *f))
+        if bad.isEmpty():
+            break
+        small = is_small(bad)
+        for c in f:
+            level = [*keys, c]
+            rows = lookup_join(rows, bad.filter(F.col(c).isNotNull()).select(*level), level, "left_anti", small=small)
     return Design(rows, d.keys, d.terms, d.factors)
 
 
@@ -118,12 +122,12 @@ def fe_glm(
     d = Design(d.rows.persist(), d.keys, d.terms, d.factors)
     keys, k = list(keys), len(d.terms)
 
-    start = F.log(F.col("y") + F.lit(0.1)) if family == "poisson" else F.log(
-        (F.col("y") + F.lit(0.5)) / (F.lit(1.5) - F.col("y"))
-    )
-    rows = d.rows.withColumn("eta", start)
+    # Halfway between each value and the overall mean, away from the borders.
+    centre = F.greatest(d.rows.agg(F.avg("y")).scalar(), F.lit(1e-6)) if family == "poisson" else F.lit(0.5)
+    first = (F.col("y") + centre) / F.lit(2.0)
+    rows = d.rows.withColumn("eta", F.log(first) if family == "poisson" else F.log(first / (F.lit(1.0) - first)))
     previous: dict[tuple, float] = {}
-    solution, small = None, None
+    older, solution, small = None, None, None
     try:
         for _ in range(max_steps):
             step = Design(_working(family, rows), d.keys, d.terms, d.factors)
@@ -135,10 +139,16 @@ def fe_glm(
                 tuple(r[c] for c in keys): r["estimate"]
                 for r in following.filter((F.col("kind") == TOTALS) & (F.col("term") == "0")).collect()
             }
-            settled = previous and all(
-                abs(deviance[g] - previous.get(g, float("inf"))) <= tolerance * (abs(deviance[g]) + 0.1) for g in deviance
+            worse = [g for g in deviance if older is not None and not deviance[g] <= previous[g] * (1 + 1e-6) + 1e-6]
+            if worse:
+                # The last step went too far for these models: go back half way.
+                solution = cut_lineage(_halfway(solution, older, keys, worse))
+                rows = _predictor(d, solution, keys, k, small)
+                continue
+            settled = solution is not None and all(
+                abs(deviance[g] - previous[g]) <= tolerance * (abs(deviance[g]) + 0.1) for g in deviance
             )
-            solution, previous = following, deviance
+            older, solution, previous = solution, following, deviance
             if settled:
                 break
             if small is None:
@@ -168,6 +178,23 @@ def fe_glm(
     return tidy, figures
 
 
+def _halfway(solution: DataFrame, older: DataFrame, keys: list[str], worse: list[tuple]) -> DataFrame:
+    """Mean of two solutions for the listed models, the newer one for the rest."""
+    on = [*keys, "kind", "term", "at"]
+    listed = F.lit(not keys)
+    for group in worse if keys else []:
+        same = F.lit(True)
+        for key, value in zip(keys, group, strict=True):
+            same = same & (F.col(key) == F.lit(value))
+        listed = listed | same
+    before = older.select(*keys, "kind", "term", F.coalesce("level", F.lit("")).alias("at"), F.col("estimate").alias("old"))
+    joined = solution.withColumn("at", F.coalesce("level", F.lit(""))).join(before, on, "left")
+    blend = F.when(
+        listed & F.col("kind").isin(COEF, LEVEL), (F.col("estimate") + F.coalesce("old", "estimate")) / F.lit(2.0)
+    ).otherwise(F.col("estimate"))
+    return joined.withColumn("estimate", blend).select(*solution.columns)
+
+
 def _predictor(d: Design, solution: DataFrame, keys: list[str], k: int, small: bool) -> DataFrame:
     """Rows with the linear predictor of a solution."""
     slot = F.array_position(F.array(*(F.lit(t) for t in d.terms)), F.col("term"))

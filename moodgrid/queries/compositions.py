@@ -237,15 +237,16 @@ def _(t):
 @query("Q9_crime_models_hour")
 def _(t):
     at = F.substring("tod", 1, 2).cast("int").alias("hour")
-    mood = t.panel.groupBy("fips", "state", "dow", at, "year").agg(
+    mood = t.panel.groupBy("state", "dow", at).agg(
         *(F.avg(c).alias(c) for c in outcomes.SCORES),
         F.sum("depress_term").alias("homicides"),
         F.sum("weather_term").alias("assault"),
         F.sum(F.col("depress_term") + F.col("weather_term")).alias("violent"),
     )
-    rows = t.stored(mood.join(t.population, ["fips", "year"], "inner"), "county_hour")
+    people = t.population.groupBy(F.substring("fips", 1, 2).alias("state")).agg((F.sum("population") / 1e6).alias("population"))
+    rows = t.stored(mood.join(people, ["state"], "inner"), "state_hour")
     fits = specs.model_grid(
-        rows, ("violent", "assault", "homicides"), outcomes.SCORES, {"population": F.col("population")}, ["hour", "dow", "year", "state"]
+        rows, ("violent", "assault", "homicides"), outcomes.SCORES, {"population": F.col("population")}, ["hour", "dow", "state"]
     )
     return rounded(fits.select("outcome", "predictor", "statistic"), 4)
 
