@@ -31,29 +31,30 @@ def dense(pdf):
     return np.column_stack([pdf[["a", "b"]].to_numpy(), *dummies])
 
 
-TERMS = {"a": F.col("a"), "b": F.col("b")}
+def terms():
+    return {"a": F.col("a"), "b": F.col("b")}
 
 
 def test_weighted_least_squares(data):
     pdf, df = data
     x, w = dense(pdf), np.sqrt(pdf.w.to_numpy())
     want = np.linalg.lstsq(x * w[:, None], pdf.y.to_numpy() * w, rcond=None)[0]
-    got = {r.term: r.estimate for r in tidy(fe_ols(df, "y", TERMS, ["f", "g"], "w")).collect()}
+    got = {r.term: r.estimate for r in tidy(fe_ols(df, "y", terms(), ["f", "g"], "w")).collect()}
     assert abs(got["a"] - want[0]) < 1e-10 and abs(got["b"] - want[1]) < 1e-10
 
 
 def test_demeaning_agrees(data):
     _, df = data
-    d = demeaned(design(df, "y", TERMS, ["f", "g"]))
+    d = demeaned(design(df, "y", terms(), ["f", "g"]))
     one = {r.term: r.estimate for r in tidy(solve(d, normal_sums(d))).collect()}
-    two = {r.term: r.estimate for r in tidy(fe_ols(df, "y", TERMS, ["f", "g"])).collect()}
+    two = {r.term: r.estimate for r in tidy(fe_ols(df, "y", terms(), ["f", "g"])).collect()}
     assert all(abs(one[t] - two[t]) < 1e-7 for t in two)
 
 
 def test_collinear_term_is_left_out(data):
     _, df = data
-    terms = {**TERMS, "twice": F.col("a") * 2}
-    assert {r.term for r in tidy(fe_ols(df, "y", terms, ["f"])).collect()} == {"a", "b"}
+    three = {**terms(), "twice": F.col("a") * 2}
+    assert {r.term for r in tidy(fe_ols(df, "y", three, ["f"])).collect()} == {"a", "b"}
 
 
 def test_clustered_errors(data):
@@ -64,7 +65,7 @@ def test_clustered_errors(data):
     scores = np.vstack([(x * e[:, None])[pdf.f == level].sum(axis=0) for level in sorted(set(pdf.f))])
     n, k, g = len(y), x.shape[1], len(scores)
     cov = bread @ scores.T @ scores @ bread * g / (g - 1) * (n - 1) / (n - k)
-    got = {r.term: r.std_error for r in clustered(df, "y", TERMS, ["f", "g"], "f").collect()}
+    got = {r.term: r.std_error for r in clustered(df, "y", terms(), ["f", "g"], "f").collect()}
     assert abs(got["a"] - cov[0, 0] ** 0.5) < 1e-8 and abs(got["b"] - cov[1, 1] ** 0.5) < 1e-8
 
 
@@ -78,7 +79,7 @@ def test_glm(data, family, outcome):
         v = mu if family == "poisson" else mu * (1 - mu)
         beta = beta + np.linalg.solve(x.T @ (x * v[:, None]), x.T @ (y - mu))
     errors = np.sqrt(np.diag(np.linalg.inv(x.T @ (x * v[:, None]))))
-    coefs, _ = fe_glm(df, outcome, TERMS, ["f", "g"], family)
+    coefs, _ = fe_glm(df, outcome, terms(), ["f", "g"], family)
     got = {r.term: (r.estimate, r.std_error) for r in coefs.collect()}
     for i, t in enumerate("ab"):
         assert abs(got[t][0] - beta[i]) < 1e-6 and abs(got[t][1] - errors[i]) < 1e-5
