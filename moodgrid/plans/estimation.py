@@ -103,12 +103,17 @@ def normal_sums(d: Design, extra: dict[str, Column] | None = None, z: str = "y",
     return out
 
 
-def _pseudo_inverse(matrix: np.ndarray) -> tuple[np.ndarray, int]:
+def _pseudo_inverse(matrix: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """Pseudo-inverse and rank, judged against the levels' own weights.
+
+    A level that another factor determines leaves only rounding noise on the
+    diagonal, so the diagonal itself would be no measure.
+    """
     if not len(matrix):
         return matrix, 0
-    scale = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    scale = np.sqrt(np.maximum(weights, 1e-300))
     values, vectors = np.linalg.eigh(matrix / np.outer(scale, scale))
-    keep = values > max(values.max(), 1.0) * 1e-10
+    keep = values > 1e-10
     vectors = vectors[:, keep] / scale[:, None]
     return (vectors / values[keep]) @ vectors.T, int(keep.sum())
 
@@ -173,7 +178,7 @@ def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str],
     top = sums[big]
     rest = np.vstack([sums[i] for i in others]) if others else np.zeros((0, p))
     scaled = b_block / weights[big][:, None]
-    inverse, rank = _pseudo_inverse(c_block - b_block.T @ scaled)
+    inverse, rank = _pseudo_inverse(c_block - b_block.T @ scaled, np.diag(c_block).copy())
     effects_rest = inverse @ (rest - scaled.T @ top)
     effects_big = (top - b_block @ effects_rest) / weights[big][:, None]
     within = cross - top.T @ effects_big - rest.T @ effects_rest

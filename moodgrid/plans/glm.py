@@ -203,7 +203,7 @@ def _predictor(d: Design, solution: DataFrame, keys: list[str], k: int, small: b
         *(F.expr(f"coalesce(max(CASE WHEN slot = {i + 1} THEN estimate END), 0D)").alias(f"b{i}") for i in range(k))
     )
     if keys:
-        rows = lookup_join(d.rows, betas, keys, "inner", small=small)
+        rows = lookup_join(d.rows, betas, keys, "left", small=small)
     else:
         one = betas.select(F.struct(*betas.columns).alias("b")).scalar()
         rows = d.rows.withColumn("__b", one).select("*", "__b.*")
@@ -212,5 +212,5 @@ def _predictor(d: Design, solution: DataFrame, keys: list[str], k: int, small: b
             *(f"`{c}`" for c in keys), f"level AS f{i}", f"estimate AS a{i}"
         )
         rows = lookup_join(rows, effects, [*keys, f"f{i}"], "inner", small=small)
-    parts = [f"b{i} * x{i}" for i in range(k)] + [f"a{i}" for i in range(len(d.factors))]
+    parts = [f"coalesce(b{i}, 0D) * x{i}" for i in range(k)] + [f"a{i}" for i in range(len(d.factors))]
     return rows.select(*d.rows.columns, F.expr(" + ".join(parts)).alias("eta"))

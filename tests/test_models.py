@@ -83,3 +83,12 @@ def test_glm(data, family, outcome):
     got = {r.term: (r.estimate, r.std_error) for r in coefs.collect()}
     for i, t in enumerate("ab"):
         assert abs(got[t][0] - beta[i]) < 1e-6 and abs(got[t][1] - errors[i]) < 1e-5
+
+
+def test_nested_factors(data):
+    _, df = data
+    nested = df.withColumn("fg", F.concat("f", F.lit("-"), "g"))
+    one, _ = fe_glm(nested, "c", terms(), ["f", "g", "fg"])
+    two, _ = fe_glm(nested, "c", terms(), ["fg"])
+    a, b = ({r.term: r.estimate for r in c.collect()} for c in (one, two))
+    assert a.keys() == b.keys() and all(abs(a[t] - b[t]) < 1e-7 for t in b)
