@@ -27,6 +27,7 @@ MAX_LEVELS = 6_000
 TOTALS, COEF, LEVEL, FIT = "totals", "coef", "level", "fit"
 SOLUTION = "kind string, term string, level string, estimate double, std_error double, vec array<double>"
 COLLINEAR = 1e-9
+BLOCK = 32
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def design(
 
 
 def normal_sums(d: Design, extra: dict[str, Column] | None = None, z: str = "y", w: str = "w") -> DataFrame:
-    """The weighted sums of a design: keys, ``kind``, ``a``, ``b``, ``vec``.
+    """The weighted sums of a design: keys, ``kind``, ``a``, ``b``, ``block``, ``vec``.
 
     Kind -1 holds the totals and one line of the cross-products, kind i the sums
     per level of factor i, kind m + p the joint weights of the p-th factor pair.
@@ -73,33 +74,39 @@ def normal_sums(d: Design, extra: dict[str, Column] | None = None, z: str = "y",
     names = list(extra or {})
     head = [f"`{c}`" for c in keys]
 
-    # One row of the cross-product matrix per column: k sums over an exploded
-    # index stay in small compiled code where k*k/2 sums at once would not.
+    f = [f"f{i}" for i in range(m)]
+    # Columns are taken in blocks and one row of the cross-products at a time:
+    # a few dozen sums stay in small compiled code where k*k/2 would not.
+    width = min(BLOCK, k + 1)
+    blocks = -(-(k + 1) // width)
     packed = d.rows.select(
-        *keys, F.col(w).alias("w"), *(e.alias(n) for n, e in (extra or {}).items()), F.array(*columns).alias("z")
+        *keys, *f, F.col(w).alias("w"), *(e.alias(n) for n, e in (extra or {}).items()), F.array(*columns).alias("z"),
+        F.explode(F.array(*(F.lit(i) for i in range(blocks)))).alias("block") if blocks > 1 else F.lit(0).alias("block"),
     )
+    entry = [f"get(z, block * {width} + {j})" for j in range(width)]
     lined = packed.select("*", F.posexplode("z").alias("at", "zi"))
     sums = ["cast(count(1) AS double)", "sum(w)", *(f"sum({n})" for n in names)]
-    sums += [f"sum(w * zi * z[{j}])" for j in range(k + 1)]
-    totals = lined.groupBy(*keys, "at").agg(F.expr(f"array({', '.join(sums)})").alias("vec"))
-    out = totals.selectExpr(*head, "-1 AS kind", "cast(at AS string) AS a", "'' AS b", "vec")
+    sums += [f"sum(w * zi * {e})" for e in entry]
+    totals = lined.groupBy(*keys, "at", "block").agg(F.expr(f"array({', '.join(sums)})").alias("vec"))
+    out = totals.selectExpr(*head, "-1 AS kind", "cast(at AS string) AS a", "'' AS b", "block", "vec")
 
-    f = [f"f{i}" for i in range(m)]
     first, last = f"coalesce({', '.join(f)})", f"coalesce({', '.join(reversed(f))})"
 
     def sets(groups: list[tuple[int, ...]], vec: str, base: int) -> DataFrame:
         masks = [sum(1 << (m - 1 - i) for i in range(m) if i not in group) for group in groups]
         number = " ".join(f"WHEN {mask} THEN {base + n}" for n, mask in enumerate(masks))
-        grouped = d.rows.groupingSets(
-            [[*keys, *(f[i] for i in group)] for group in groups], *keys, *f
+        head_cols = [*keys, "block"]
+        source = packed if base == 0 else packed.filter("block = 0")
+        grouped = source.groupingSets(
+            [[*head_cols, *(f[i] for i in group)] for group in groups], *head_cols, *f
         ).agg(F.expr("cast(grouping_id() AS int)").alias("g"), F.expr(vec).alias("vec"))
-        return grouped.selectExpr(*head, f"CASE g {number} END AS kind", f"{first} AS a", f"{last} AS b", "vec")
+        return grouped.selectExpr(*head, f"CASE g {number} END AS kind", f"{first} AS a", f"{last} AS b", "block", "vec")
 
-    level_sums = [f"sum({w})", *(f"sum({w} * {c})" for c in columns)]
+    level_sums = ["sum(w)", *(f"sum(w * {e})" for e in entry)]
     out = out.unionByName(sets([(i,) for i in range(m)], f"array({', '.join(level_sums)})", 0))
     pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
     if pairs:
-        out = out.unionByName(sets(pairs, f"array(sum({w}))", m))
+        out = out.unionByName(sets(pairs, "array(sum(w))", m))
     return out
 
 
@@ -135,9 +142,12 @@ def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str],
     """Coefficients, level effects and fit figures from one key's sums."""
     m, p = len(factors), len(terms) + 1
     lines = part.loc[part["kind"] == -1]
-    totals = np.vstack(lines["vec"].to_numpy())[np.argsort(lines["a"].astype(int).to_numpy())]
+    lines = lines.assign(at=lines["a"].astype(int)).sort_values(["at", "block"])
+    totals = np.vstack(lines["vec"].to_numpy()).astype(float)
     n_rows, sum_w, extra = totals[0, 0], totals[0, 1], totals[0, 2 : 2 + n_extra]
-    cross = totals[:, 2 + n_extra :]
+    # The last block reaches beyond the last column; what is there is absent.
+    cross = totals[:, 2 + n_extra :].reshape(p, -1)[:, :p]
+    totals = np.hstack([totals[:: len(totals) // p, : 2 + n_extra], cross])
     cross = (cross + cross.T) / 2
     if not np.isfinite(totals).all():
         raise ValueError("the weighted sums are not finite")
@@ -145,11 +155,12 @@ def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str],
 
     names, weights, sums = [], [], []
     for i in range(m):
-        rows = part.loc[part["kind"] == i]
-        vectors = np.vstack(rows["vec"].to_numpy())
-        names.append(rows["a"].tolist())
-        weights.append(vectors[:, 0])
-        sums.append(vectors[:, 1:])
+        rows = part.loc[part["kind"] == i].sort_values(["a", "block"])
+        vectors = np.vstack(rows["vec"].to_numpy()).astype(float)
+        own = rows["a"].drop_duplicates().tolist()
+        names.append(own)
+        weights.append(vectors[:: len(vectors) // len(own), 0])
+        sums.append(vectors[:, 1:].reshape(len(own), -1)[:, :p])
     # The factor with most levels is eliminated first: its block is diagonal.
     big = max(range(m), key=lambda i: len(names[i]))
     others = [i for i in range(m) if i != big]

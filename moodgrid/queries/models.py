@@ -309,7 +309,6 @@ for _name, _outcome, _race in (
     ("race", "vader", "race_white"),
     ("income_race", "vader", "race_black"),
     ("income_race", "hedono", "race_white"),
-    ("income_race_q", "vader", "race_white"),
     ("time_of_day", "vader", "race_white"),
 ):
     form_query(_name, _outcome, _race)
