@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodgrid.queries import fixtures
+from moodgrid.session import ship_package
 
 Build = Callable[["Tables"], DataFrame]
 
@@ -72,7 +73,11 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Cal
 
 
 def runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: entry.build(Tables(spark, folder))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return entry.build(Tables(spark, folder))
+
+    return run
 
 
 def full_sql(entry: Entry) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,20 @@ def build_session(app: str = "moodgrid", master: str | None = None, **conf) -> S
         builder = builder.master(master)
     for key, value in {**ADAPTIVE, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, from wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_moodgrid_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = shutil.make_archive(tempfile.mkdtemp(prefix="moodgrid-") + "/moodgrid", "zip", here.parent, here.name)
+    context.addPyFile(archive)
+    context._moodgrid_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
