@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodgrid.llm import packing, records, sharding
-from moodgrid.llm.common import new_folder, table_of
+from moodgrid.llm import packing, pii, quality, records, sharding, simhash, toxicity
+from moodgrid.llm.common import new_folder, spread, table_of
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,17 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table_of(spark, folder, "documents"), WORD_FILE)
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(spread(table_of(spark, folder, "documents").select("doc_id", "text")))
+    counts = {f"n_{k.name}": F.size(F.filter("base_spans", pii.is_kind(k.name))).cast("long") for k in pii.BASE}
+    return found.withColumns(counts).select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_records(spark: SparkSession, folder: str) -> DataFrame:
     out = new_folder(spark, "records")
     records.write_records(table_of(spark, folder, "documents"), out, BYTE_FILE)
@@ -33,9 +44,27 @@ def op6_records(spark: SparkSession, folder: str) -> DataFrame:
     return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table_of(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table_of(spark, folder, "documents"), table_of(spark, folder, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table_of(spark, folder, "documents"), table_of(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op5_pii": op5_pii,
     "op6_records": op6_records,
+    "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}
