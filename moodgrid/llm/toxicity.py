@@ -43,7 +43,7 @@ SUPPORT = 3  # toxic texts that have to hold a voter's word
 PRECISION = 0.8
 EDGE = 0.01  # least conditional mutual information of a pair that counts as correlated
 GIVEN_RIGHT = 0.93  # how often a given label is taken to be right
-EM_STEPS, FIT_STEPS, RIDGE = 30, 120, 1.0
+EM_STEPS, FIT_STEPS, RIDGE, SMOOTH = 30, 150, 1.0, 5.0
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&-_/\\"
 
 
@@ -169,29 +169,36 @@ def label_model(votes: np.ndarray, given: np.ndarray) -> np.ndarray:
 
 
 def train(owner: np.ndarray, bucket: np.ndarray, q: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on soft labels: accelerated gradient steps with a feature-wise scale."""
+    """Ridge logistic regression on soft labels, by accelerated gradient steps.
+
+    Each feature is scaled by its smoothed log ratio between the classes, so that
+    the penalty falls on what tells them apart no better than chance.
+    """
     n = len(q)
     seen = np.bincount(bucket, minlength=BUCKETS)
     keep = seen[bucket] >= SUPPORT
     owner, bucket = owner[keep], bucket[keep]
     used, column = np.unique(bucket, return_inverse=True)
-    w, b = np.zeros(len(used)), float(np.log((weight @ q + 1) / (weight @ (1 - q) + 1)))
+    classes = [np.bincount(column, c[owner], minlength=len(used)) for c in (q, 1 - q)]
+    rates = [(c + SMOOTH * s / n) / (s + SMOOTH * s / n) for c, s in zip(classes, (q.sum(), (1 - q).sum()), strict=True)]
+    x = np.log(rates[0] / rates[1])
     # A diagonal bound of the curvature: rows of many features take shorter steps.
-    size = np.bincount(owner, minlength=n)
-    scale = np.bincount(column, (weight * size / 4)[owner], minlength=len(used)) + RIDGE
-    scale_b = float((weight * (size + 1)).sum() / 4 + 1e-9)
+    size = np.bincount(owner, np.abs(x)[column], minlength=n) + 1
+    scale = np.bincount(column, (weight * size / 4)[owner], minlength=len(used)) * np.abs(x) + RIDGE
+    scale_b = float((weight * size).sum() / 4)
+    w, b = np.zeros(len(used)), float(np.log((weight @ q + 1) / (weight @ (1 - q) + 1)))
     w_ahead, b_ahead, pace = w, b, 1.0
     for _ in range(FIT_STEPS):
-        z = np.bincount(owner, w_ahead[column], minlength=n) + b_ahead
+        z = np.bincount(owner, (x * w_ahead)[column], minlength=n) + b_ahead
         miss = weight * (q - 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        w_new = w_ahead + (np.bincount(column, miss[owner], minlength=len(used)) - RIDGE * w_ahead) / scale
+        w_new = w_ahead + (x * np.bincount(column, miss[owner], minlength=len(used)) - RIDGE * w_ahead) / scale
         b_new = b_ahead + miss.sum() / scale_b
         pace_new = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         w_ahead = w_new + (pace - 1) / pace_new * (w_new - w)
         b_ahead = b_new + (pace - 1) / pace_new * (b_new - b)
         w, b, pace = w_new, b_new, pace_new
     weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w
+    weights[used] = x * w
     return weights, b
 
 
