@@ -43,8 +43,16 @@ def parts_for(spark: SparkSession, total: int, each: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-int(total) // each))
 
 
+def arrow_rows(spark: SparkSession, rows: int = 2_000) -> None:
+    """Bounds the texts that go to a Python worker at once; a lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A source of few splits over all cores (a small table is one split, and one task)."""
+    arrow_rows(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = len(df.inputFiles())
     return df.repartition(2 * cores) if splits < cores else df

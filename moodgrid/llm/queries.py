@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodgrid.llm import packing, pii, quality, records, sharding, simhash, toxicity
+from moodgrid.llm import decontamination, packing, pii, quality, records, sharding, simhash, toxicity
 from moodgrid.llm.common import new_folder, spread, table_of
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table_of(spark, folder, "documents"), WORD_FILE)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.overlaps(table_of(spark, folder, "documents"), table_of(spark, folder, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(spread(table_of(spark, folder, "documents").select("doc_id", "text")))
     counts = {f"n_{k.name}": F.size(F.filter("base_spans", pii.is_kind(k.name))).cast("long") for k in pii.BASE}
@@ -61,6 +65,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
     "op6_records": op6_records,
     "op7_simhash": op7_simhash,
