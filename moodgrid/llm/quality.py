@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodgrid.llm.common import slices, spread, staged, words_of
@@ -51,7 +51,7 @@ FEATURES = (
     "line_words",
 )
 FALLING = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "bar_share")
-STATS = "key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{f} double" for f in FEATURES)
+STATS = "key long, row_hash long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def repeated_words(offsets: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
@@ -117,8 +117,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             counts = (n, chars, symbols, dup, repeats)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), *(pa.array(np.asarray(c, np.int64)) for c in counts), *map(pa.array, values)],
-                ["key", *COUNTS, *FEATURES],
+                [part.column("key"), part.column("row_hash"), *(pa.array(np.asarray(c, np.int64)) for c in counts), *map(pa.array, values)],
+                ["key", "row_hash", *COUNTS, *FEATURES],
             )
 
 
@@ -221,19 +221,33 @@ def _judged(model: Trees | None):
         for batch in batches:
             x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1)
             score = model.score(x) if model else np.ones(len(x))
-            names = ("key", *COUNTS)
+            names = ("key", "row_hash", *COUNTS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], [*names, "score"])
 
     return run
 
 
+def row_hash(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key).cast("long").cast("string"), F.col(text)).alias("row_hash")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are kept, with all their columns; equal rows share their fate."""
+    bad = judge(docs, labels, key, text).where(~F.col("kept")).select(F.col("row_hash").alias("__judged_row")).distinct()
+    rows = docs.withColumn("__judged_row", row_hash(key, text))
+    return rows.join(bad, "__judged_row", "left_anti").drop("__judged_row")
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the counts, ``base_failed``, ``score`` (quality likelier near 1) and ``kept``."""
-    rows = spread(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    """One row per document: the counts, ``base_failed``, ``score`` (quality likelier near 1) and ``kept``.
+
+    ``row_hash`` stands for key and text together.
+    """
+    rows = spread(docs.select(F.col(key).cast("long").alias("key"), row_hash(key, text), F.col(text).alias("text")))
     stats = staged(rows.mapInArrow(_stats, STATS), "quality")
     x, y = _sampled(stats, labels, key)
     model = fit(x, y, np.isin(FEATURES, FALLING)) if len(np.unique(y)) > 1 else None
-    schema = "key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
+    schema = "key long, row_hash long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
     scored = stats.mapInArrow(_judged(model), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn(

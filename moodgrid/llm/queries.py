@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodgrid.llm import decontamination, packing, pii, quality, records, sharding, simhash, toxicity
+from moodgrid.llm import decontamination, extraction, licences, packing, pii, quality, records, sharding, simhash, toxicity
 from moodgrid.llm.common import new_folder, spread, table_of
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table_of(spark, folder, "documents"), WORD_FILE)
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(spread(table_of(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.overlaps(table_of(spark, folder, "documents"), table_of(spark, folder, "benchmark"))
 
@@ -53,6 +57,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table_of(spark, folder, "pages"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table_of(spark, folder, "documents"), table_of(spark, folder, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
@@ -65,11 +73,35 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_licences": op3_licences,
     "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
     "op6_records": op6_records,
     "op7_simhash": op7_simhash,
+    "op8_extraction": op8_extraction,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+
+
+def _licence_sql() -> str:
+    """The same comparison over lists."""
+    rows = ", ".join(
+        f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in licences.sized()
+    )
+    return rf"""WITH t(licence, b) AS (VALUES {rows}),
+    d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls,
+                 regexp_split_to_array(text, '\n[ \t\r]*\n') AS ps FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, 'line' AS unit, unnest(range(len(ls))) AS place, unnest(ls) AS s FROM d
+          UNION ALL SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) FROM d WHERE len(ps) > 1
+          UNION ALL SELECT doc_id, 'text', 0, text FROM d WHERE len(ls) > 1),
+    w AS (SELECT doc_id, unit, place, string_split(trim(regexp_replace(lower(s), '{licences.OTHER}', ' ', 'g')), ' ') AS ws FROM u),
+    g AS (SELECT doc_id, unit, place,
+                 list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS a FROM w WHERE len(ws) > 1),
+    c AS (SELECT doc_id, unit, place, licence, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS s FROM g JOIN t
+          ON len(a) BETWEEN len(b) / 1.5 AND len(b) * 1.5),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY s DESC, licence) AS k FROM c WHERE s >= 0.8)
+    SELECT doc_id, unit, place::INT AS place, licence, round(s, 6) AS score FROM r WHERE k = 1"""
+
+
+SQL: dict[str, str] = {"op3_licences": _licence_sql()}

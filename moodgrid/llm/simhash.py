@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodgrid.llm import graph
@@ -62,7 +62,8 @@ def _fingerprints(size: int):
                 lowered = pc.ascii_lower(pc.fill_null(part.column("text"), ""))
                 marks = [fingerprint(t.as_buffer().to_pybytes().split(), size) for t in lowered]
                 marks = pa.array(np.array(marks, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("key"), marks], ["key", "mark"])
+                columns = [part.column("key"), part.column("row"), marks]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "mark"])
 
     return run
 
@@ -193,18 +194,43 @@ def links(marks: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInArrow(_links(distance), "u long, v long").distinct()
 
 
+def _marked(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """``key, row, mark`` of every document, written; ``row`` stands for key and text together."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("row", _row("key", "text"))
+    return staged(spread(rows).mapInArrow(_fingerprints(shingle), "key long, row long, mark long"), "marks")
+
+
+def _row(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"), F.col(text))
+
+
+def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+    """Each distinct fingerprint with its component's root, its least key, and its first row (null keys last)."""
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")
+    classes = staged(marked.groupBy("mark").agg(F.min("key").alias("least"), first), "classes")
+    roots = graph.components(links(classes.select("mark"), distance))
+    joined = classes.join(roots, F.col("mark") == F.col("node"), "left")
+    return joined.select("mark", "least", "first", F.coalesce("root", "mark").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row per document: ``key, mark`` (the fingerprint as a signed long), ``component_id`` (the least key)."""
-    rows = spread(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    marked = staged(rows.mapInArrow(_fingerprints(shingle), "key long, mark long"), "marks")
-    classes = staged(marked.groupBy("mark").agg(F.min("key").alias("least")), "classes")
-    roots = graph.components(links(classes.select("mark"), distance))
-    rooted = classes.join(roots, F.col("mark") == F.col("node"), "left").select(
-        "mark", "least", F.coalesce("root", "mark").alias("root")
-    )
+    marked = _marked(docs, shingle, key, text)
+    rooted = _rooted(marked, distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_mark = rooted.join(least, "root").select("mark", "component_id")
     # A fingerprint of many copies is a hot key on this side only, where adaptive execution splits it.
     return marked.join(by_mark, "mark").select(F.col("key").alias(key), "mark", "component_id")
+
+
+def representatives(
+    docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of each component with all its columns: the least key, a null key only if there is no other."""
+    rooted = _rooted(_marked(docs, shingle, key, text), distance)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__near_row"))
+    rows = docs.withColumn("__near_row", F.xxhash64(F.col(key).cast("long").cast("string"), F.col(text)))
+    # Rows that are equal in key and text are one document.
+    return rows.join(kept, "__near_row", "left_semi").dropDuplicates(["__near_row"]).drop("__near_row")
