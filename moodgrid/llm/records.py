@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodgrid.llm import tokens
-from moodgrid.llm.common import TASK_BYTES, parts_for, slices, text_or_empty
+from moodgrid.llm.common import TASK_BYTES, arrow_rows, parts_for, slices, text_or_empty
 
 # Fixed values of the format.
 MASK_DELTA = 0xA282EAD8
@@ -79,7 +79,10 @@ def _framed(path: str):
                 offsets, ids = coder.encode(part.column("text"))
                 keys = part.column("key").to_pylist()
                 frames = [frame(k, ids[a:b]) for k, (a, b) in zip(keys, tokens.each_document(offsets), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.large_binary())], ["frame"])
+                out = pa.RecordBatch.from_arrays([pa.array(frames, pa.large_binary())], ["frame"])
+                del offsets, ids, keys, frames
+                yield out
+                tokens.give_back()
 
     return run
 
@@ -89,6 +92,7 @@ def write_records(
 ) -> None:
     """Encodes every text and writes the frames in ascending key order, files in the same order."""
     spark = docs.sparkSession
+    arrow_rows(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     # The checksum spreads keys that repeat.
@@ -112,6 +116,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 names = [c.split()[0] for c in INDEX.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        tokens.give_back()
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

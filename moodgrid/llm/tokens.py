@@ -8,6 +8,7 @@ anew each time. The ids are those of encoding the whole text in one call.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -18,12 +19,14 @@ import pyarrow.compute as pc
 from moodgrid.llm.common import ranges, words_of
 
 END_ID = 2
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 JOINED = 2_000
 # Text that is encoded at once: the more, the more pieces repeat.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 4 << 20
 # Stands between pieces that are encoded in one call; pieces with it go alone.
 MARK = "\x01"
+CUT = "\x02"
+WHITE = (" ", "\n", "\t", "\r", "\v", "\f")
 # Spaces after which a cut is not surely safe, or that are not plain ones.
 ODD_SPACE = r"[ ][\s\x{85}\x{1c}-\x{1f}\p{Z}]|[ ]$"
 
@@ -58,8 +61,8 @@ class Encoder:
     def _fresh(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of pieces not met before, many of them in one call."""
         glue = f" {MARK}" if self.kind == "spaces" else f" {MARK} "
-        # A piece at the start of a text has no space that would part it from the mark.
-        alone = [MARK in p or (self.kind == "spaces" and not p.startswith(" ")) for p in pieces]
+        # Without white space in front nothing would part a piece from the mark.
+        alone = [MARK in p or (self.kind == "spaces" and not p.startswith(WHITE)) for p in pieces]
         single = iter(self._plain([p for p, a in zip(pieces, alone, strict=True) if a]))
         rest = [p for p, a in zip(pieces, alone, strict=True) if not a]
         many: list[np.ndarray] = []
@@ -106,7 +109,12 @@ class Encoder:
             offsets, codes, vocabulary = words_of(texts)
         else:
             offsets, codes, vocabulary = self._spaced(texts)
+        many, subs, vocabulary = self._cut(vocabulary)
         start, length, flat = self._pieces(vocabulary.to_pylist())
+        first = np.cumsum(many) - many
+        # Offsets and codes of the pieces of pieces.
+        ends = np.concatenate(([0], np.cumsum(many[codes])))
+        offsets, codes = ends[offsets], subs[ranges(first[codes], many[codes])]
         pieces = length[codes]
         per_text = np.add.reduceat(np.append(pieces, 0), np.minimum(offsets[:-1], len(pieces)))
         per_text[offsets[1:] == offsets[:-1]] = 0
@@ -118,6 +126,30 @@ class Encoder:
         ids[inner] = flat[ranges(start[codes], pieces)]
         return np.concatenate(([0], ends)), ids
 
+    def _cut(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Parts a stop or comma from the letter before it, and white space from what it follows.
+
+        Both are ends of pre-tokens; far fewer different pieces are left. Gives the
+        number of parts of each piece, their codes and their vocabulary.
+        """
+        if self.kind == "words":
+            vocabulary = pc.ascii_lower(vocabulary)
+        cut = pc.replace_substring_regex(vocabulary, r"(\p{L})([.,])", rf"\1{CUT}\2")
+        if self.kind == "spaces":
+            cut = pc.replace_substring_regex(cut, r"([.,])(\n)", rf"\1{CUT}\2")
+        # A piece that holds the cut sign itself stays whole.
+        own = pc.match_substring(vocabulary, CUT)
+        lists = pc.split_pattern(pc.if_else(own, "", cut), CUT)
+        many = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = lists.flatten()
+        if pc.any(own).as_py():
+            at = np.full(len(parts), -1, np.int64)
+            held = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+            at[(np.cumsum(many) - many)[held]] = held
+            parts = pc.if_else(pa.array(at >= 0), pc.take(vocabulary, pa.array(at, mask=at < 0)), parts)
+        coded = parts.dictionary_encode()
+        return many, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Pieces that start with their space; odd texts are one piece each."""
         odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
@@ -130,13 +162,11 @@ class Encoder:
         lead = pa.array(np.where(first, "", " "), pa.large_string())
         parts = pc.binary_join_element_wise(lead, parts, pa.scalar("", pa.large_string()))
         if odd.any():
-            rows = np.arange(len(first))
             whole = pa.array(np.flatnonzero(odd))
             at = np.full(len(first), -1, np.int64)
             at[offsets[:-1][odd]] = np.arange(int(odd.sum()))
             picked = pc.take(texts.take(whole), pa.array(at, mask=at < 0))
             parts = pc.if_else(pa.array(at >= 0), picked, parts)
-            assert len(parts) == len(rows)
         coded = parts.dictionary_encode()
         return offsets, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
@@ -151,5 +181,14 @@ def encoder(path: str, kind: str) -> Encoder:
     return _ENCODERS[path, kind]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and executors share a bound."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def each_document(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
