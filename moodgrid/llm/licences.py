@@ -84,13 +84,21 @@ def sized() -> list[tuple[str, list[str]]]:
     return [(name, _bigrams(text)) for name, text in TEMPLATES]
 
 
-def _unit_bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(unit), OTHER, " ")), " ")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+def _once(value: Column, step) -> Column:
+    """``step(value)`` with the value computed once, however often the step names it."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
 
+def _bigrams_of(words: Column) -> Column:
+    pairs = F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1),
+        F.slice(words, F.lit(2), F.size(words) - 1),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
+    return F.array_distinct(pairs)
 
-def _best(grams: Column) -> Column:
+
+def _scores(grams: Column) -> Column:
     """The best template of a unit as a struct of score and name; null if none is near."""
     a = F.size(grams)
     found = []
@@ -98,10 +106,15 @@ def _best(grams: Column) -> Column:
         b = len(template)
         fits = (a >= b * THRESHOLD / (2 - THRESHOLD)) & (a <= b * (2 - THRESHOLD) / THRESHOLD)
         both = F.size(F.array_intersect(grams, F.array(*map(F.lit, template))))
-        score = (2.0 * both) / (a + b)
-        found.append(F.when(fits, F.struct((-score).alias("less"), F.lit(name).alias("licence"))))
-    best = F.array_min(F.filter(F.array(*found), lambda f: f.isNotNull()))
-    return F.when(best.less <= -THRESHOLD, best)
+        found.append(F.when(fits, F.struct((-(2.0 * both) / (a + b)).alias("less"), F.lit(name).alias("licence"))))
+    return F.array_min(F.filter(F.array(*found), lambda f: f.isNotNull() & (f.less <= -THRESHOLD)))
+
+
+def _best(unit: Column) -> Column:
+    words = F.split(F.trim(F.regexp_replace(F.lower(unit), OTHER, " ")), " ")
+    least = min(len(t) for _, t in sized()) * THRESHOLD / (2 - THRESHOLD)
+    # A unit has no more bigrams than pairs of neighbours: too few are too few.
+    return _once(words, lambda w: F.when(F.size(w) - 1 >= least, _once(_bigrams_of(w), _scores)))
 
 
 def _units(text: Column) -> Column:
@@ -122,7 +135,11 @@ def _units(text: Column) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per unit that states a licence: ``key, unit, place, licence, score``."""
-    units = docs.select(F.col(key), F.explode(_units(F.col(text))).alias("u"))
-    grams = units.select(key, "u.unit", "u.place", _unit_bigrams(F.col("u.text")).alias("grams")).where(F.size("grams") > 0)
-    best = grams.select(key, "unit", "place", _best(F.col("grams")).alias("best")).where(F.col("best").isNotNull())
-    return best.select(key, "unit", "place", F.col("best.licence").alias("licence"), F.round(-F.col("best.less"), 6).alias("score"))
+    judged = F.transform(
+        _units(F.col(text)), lambda u: F.struct(u.unit.alias("unit"), u.place.alias("place"), _best(u.text).alias("best"))
+    )
+    # The outer form: the plain one would add a filter that evaluates everything twice.
+    found = docs.select(F.col(key), F.explode_outer(F.filter(judged, lambda u: u.best.isNotNull())).alias("u"))
+    return found.where(F.col("u").isNotNull()).select(
+        key, "u.unit", "u.place", F.col("u.best.licence").alias("licence"), F.round(-F.col("u.best.less"), 6).alias("score")
+    )
