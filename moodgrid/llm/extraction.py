@@ -30,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.llm.common import slices, spread
+from moodgrid.llm.common import slices, spread, staged
 
 LEAST_PAGES = 5
 SHARE = 0.9
 LINKED = 0.5
+# Template tokens, of about a hundred bytes each, that may go to every executor.
+BROADCAST_TOKENS = 100_000
+SALTS = 64
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
@@ -172,6 +175,7 @@ def _hash(text: str) -> int:
     return value or 1
 
 
+TEXTS = "key long, url string, text string, n_chars long"
 TOKENS = "host string, path string, block long, page long, times long, chars long, linked long"
 
 
@@ -267,8 +271,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     named = rows.withColumn(
         "host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1))
     )
-    # A host of many pages is a hot key on this side only; the other has one row a host.
-    joined = named.join(templates(rows), "host", "left").select("key", "url", "html", "tokens")
-    return joined.mapInArrow(_extracted, "key long, url string, text string, n_chars long").withColumnsRenamed(
-        {"key": key, "url": url}
-    )
+    found = staged(templates(rows), "templates")
+    held = found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    if held <= BROADCAST_TOKENS:
+        joined = named.join(F.broadcast(found), "host", "left")
+    else:
+        # A host of many pages is a hot key: its pages are spread, its template copied.
+        salted = named.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+        copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, ["host", "salt"], "left")
+    texts = joined.select("key", "url", "html", "tokens").mapInArrow(_extracted, TEXTS)
+    return texts.withColumnsRenamed({"key": key, "url": url})
