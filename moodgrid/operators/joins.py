@@ -47,9 +47,11 @@ def salted_join(
     """Shuffle join in which only the hot keys of the fact side are spread.
 
     Keys above ``HOT_SHARE`` of the rows (at most 1/HOT_SHARE of them, hence
-    safe to broadcast) get ``SALTS`` copies on the lookup side; their fact rows
-    choose a copy by a hash of ``salt_by``, which must tell rows of one key
-    apart. Every row keeps exactly its own matches.
+    safe to broadcast) get copies on the lookup side, one for each ``HOT_SHARE``
+    of the rows that a key holds; their fact rows choose a copy by a hash of
+    ``salt_by``, which must tell rows of one key apart. Rows with a null in the
+    key match nothing and are spread likewise. Every row keeps exactly its own
+    matches.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the lookup side is copied, so it cannot be preserved")
@@ -57,12 +59,12 @@ def salted_join(
     spread = list(salt_by) if salt_by else [c for c in fact.columns if c not in on] or on
     counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = fact.agg(F.count(F.lit(1)).alias("__all")).scalar()
-    hot = counts.filter(F.col("__n") > F.lit(HOT_SHARE) * total).select(*on, F.lit(True).alias("__hot"))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    left = fact.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(
-        F.array(F.lit(0).cast("long"))
-    )
+    pieces = F.ceil(F.col("__n") / (F.lit(HOT_SHARE) * total)).cast("long")
+    hot = counts.filter(F.col("__n") > F.lit(HOT_SHARE) * total).select(*on, pieces.alias("__hot"))
+    absent = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on))
+    parts = F.when(absent, F.lit(int(1 / HOT_SHARE)).cast("long")).otherwise(F.coalesce("__hot", F.lit(1).cast("long")))
+    left = fact.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), parts)).drop("__hot")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("__hot", F.lit(1).cast("long")) - 1)
     right = dim.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodgrid.operators.joins import lookup_join
+from moodgrid.session import cut_lineage
 
 
 def _next_vertex(ring: Column, i: Column) -> Column:
@@ -89,6 +90,7 @@ def point_in_polygon(
         return matched
     if not ids:
         raise ValueError("a left join needs the columns that identify a point")
+    matched = cut_lineage(matched)  # used twice below
     types = dict(polygons.dtypes)
     unmatched = points.join(matched.select(*ids), list(ids), "left_anti").select(
         *points.columns, *(F.lit(None).cast(types[c]).alias(c) for c in attributes)

@@ -296,13 +296,103 @@ def fe_ols(
 ) -> DataFrame:
     """Fit one model per key; returns the solution rows (see ``tidy``)."""
     d = design(df, y, terms, factors, weight, keys)
-    if factors and count_levels(d) > max_levels:
-        d = demeaned(d)
+    return fitted(d, max_levels)
+
+
+def fitted(d: Design, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Solution rows of a design: a dense system, or demeaned rows if it has too many levels."""
+    if d.factors and count_levels(d) > max_levels:
+        return _demeaned_fit(d)
     return solve(d, normal_sums(d))
 
 
+def _demeaned_fit(d: Design) -> DataFrame:
+    """The solution from demeaned rows, with the figures and level effects of the dense one."""
+    keys, k = list(d.keys), len(d.terms)
+    flat, effects = _settled(d, 1e-8, 500)
+    solution = cut_lineage(solve(flat, normal_sums(flat))).filter(F.col("kind") != LEVEL)
+
+    def pick(kind: str, term: str) -> Column:
+        return F.max(F.when((F.col("kind") == kind) & (F.col("term") == term), F.col("estimate")))
+
+    found = solution.groupBy(*keys).agg(
+        *(pick(FIT, c).alias(f"__{c}") for c in ("n", "rss", "n_terms", "df_resid")),
+        *(F.coalesce(pick(COEF, t), F.lit(0.0)).alias(f"__b{j}") for j, t in enumerate(d.terms)),
+    )
+    wy = F.col("w") * F.col("y")
+    spread = d.rows.groupBy(*keys).agg((F.sum(wy * F.col("y")) - F.sum(wy) ** 2 / F.sum("w")).alias("__sst"))
+
+    def attached(rows: DataFrame, table: DataFrame) -> DataFrame:
+        if keys:
+            return rows.join(table, keys)
+        return rows.withColumn("__one", table.select(F.struct(*table.columns).alias("s")).scalar()).select("*", "__one.*").drop("__one")
+
+    facts = cut_lineage(attached(attached(found, absorbed_rank(d)), spread))
+    free = F.greatest(F.col("__n") - F.col("__rank") - F.col("__n_terms"), F.lit(1.0))
+    term = F.col("term")
+    value = (
+        F.when(F.col("kind") != FIT, F.col("estimate"))
+        .when(term == "absorbed", F.col("__rank"))
+        .when(term == "df_resid", free)
+        .when(term == "sigma2", F.col("__rss") / free)
+        .when(term == "sst", F.col("__sst"))
+        .otherwise(F.col("estimate"))
+    )
+    out = attached(solution, facts).withColumns(
+        {"estimate": value, "std_error": F.col("std_error") * F.sqrt(F.col("__df_resid") / free)}
+    )
+    out = out.select(*solution.columns)
+    for i, table in enumerate(effects):
+        own = F.col("y") - sum((F.col(f"__b{j}") * F.col(f"x{j}") for j in range(k)), F.lit(0.0))
+        out = out.unionByName(
+            attached(table, facts).select(
+                *keys,
+                F.lit(LEVEL).alias("kind"),
+                F.lit(str(i)).alias("term"),
+                F.col(f"f{i}").alias("level"),
+                own.alias("estimate"),
+                F.lit(None).cast("double").alias("std_error"),
+                F.array("y", *(f"x{j}" for j in range(k))).alias("vec"),
+            )
+        )
+    return out
+
+
+def absorbed_rank(d: Design) -> DataFrame:
+    """Per key the number of independent level effects as ``__rank``.
+
+    A factor whose levels are unions of another one's levels adds nothing; each
+    further factor shares the constant with the first. Exact for nested factors
+    and for factors whose levels are connected; other redundancies are not looked for.
+    """
+    keys, m = list(d.keys), len(d.factors)
+    f = [f"f{i}" for i in range(m)]
+    sets = {(i,): 0 for i in range(m)} | {(i, j): 0 for i in range(m) for j in range(i + 1, m)}
+    for chosen in sets:
+        sets[chosen] = (1 << m) - 1 - sum(1 << (m - 1 - i) for i in chosen)
+    groups = d.rows.groupingSets([[*keys, *(f[i] for i in c)] for c in sets], *keys, *f).agg(F.grouping_id().alias("g"))
+    n = {c: F.count_if(F.col("g") == bits).alias("n_" + "_".join(map(str, c))) for c, bits in sets.items()}
+    counts = groups.groupBy(*keys).agg(*n.values())
+    size = [F.col(f"n_{i}") for i in range(m)]
+
+    def adds(j: int) -> Column:
+        inside = F.lit(False)
+        for i in (i for i in range(m) if i != j):
+            nested = F.col(f"n_{min(i, j)}_{max(i, j)}") == size[i]
+            inside = inside | (nested & ((size[j] < size[i]) if i > j else (size[j] <= size[i])))
+        return ~inside
+
+    rank = sum((F.when(adds(j), size[j] - 1).otherwise(F.lit(0)) for j in range(m)), F.lit(1))
+    return counts.select(*keys, rank.cast("double").alias("__rank"))
+
+
 def demeaned(d: Design, tolerance: float = 1e-8, max_rounds: int = 500) -> Design:
-    """The design with factor means removed by alternating projections.
+    """The design with factor means removed; see ``fitted`` for the figures of the whole model."""
+    return _settled(d, tolerance, max_rounds)[0]
+
+
+def _settled(d: Design, tolerance: float, max_rounds: int) -> tuple[Design, list[DataFrame]]:
+    """Rows and level effects (of y and every term) by alternating projections.
 
     For factors with more levels than a dense system takes. The rows are never
     rewritten: every step subtracts the level effects found so far, takes the
@@ -347,11 +437,16 @@ def demeaned(d: Design, tolerance: float = 1e-8, max_rounds: int = 500) -> Desig
     else:
         raise RuntimeError("the factor means did not settle")
     flat = cleaned().drop(*(f"f{i}" for i in range(m))).withColumn("f0", F.lit("all"))
-    return Design(flat, d.keys, d.terms, ("(absorbed)",))
+    return Design(flat, d.keys, d.terms, ("(absorbed)",)), effects
 
 
 def clustered(
-    df: DataFrame, y: str | Column, terms: dict[str, Column], factors: Sequence[str], cluster: str
+    df: DataFrame,
+    y: str | Column,
+    terms: dict[str, Column],
+    factors: Sequence[str],
+    cluster: str,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """``fe_ols`` with standard errors clustered on ``cluster``.
 
@@ -359,7 +454,7 @@ def clustered(
     solution provides, and folds the scores per cluster.
     """
     d = design(df, y, terms, factors, keep=[c for c in (cluster,) if c not in factors])
-    solution = cut_lineage(solve(d, normal_sums(d)))
+    solution = cut_lineage(fitted(d, max_levels))
     k = len(terms)
     coefs = {r["term"]: r for r in solution.filter(F.col("kind") == COEF).collect()}
     fit = figures(solution).first()

@@ -29,7 +29,7 @@ from moodgrid.plans.estimation import (
 from moodgrid.session import cut_lineage
 
 BOUND = 30.0
-MAX_PASSES = 6
+MAX_HALVINGS = 30
 
 
 def _mean(family: str, eta: Column) -> Column:
@@ -76,13 +76,14 @@ def _working(family: str, rows: DataFrame) -> DataFrame:
 def drop_separated(d: Design, family: str) -> Design:
     """Remove factor levels without any event, whose effect has no finite value.
 
-    One pass finds such levels of all factors; mostly there are none.
+    One pass finds such levels of all factors; mostly there are none. Passes go on
+    until a pass finds none.
     """
     m, keys = len(d.factors), list(d.keys)
     f = [f"f{i}" for i in range(m)]
     unusable = "hi <= 0" if family == "poisson" else "hi <= 0 OR lo >= 1"
     rows = d.rows
-    for _ in range(MAX_PASSES):
+    while True:
         # Dropping a level of one factor may leave another one without events.
         ends = rows.groupingSets([[*keys, c] for c in f], *keys, *f).agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
         bad = cut_lineage(ends.filter(unusable).select(*keys, *f))
@@ -104,13 +105,14 @@ def fe_glm(
     weight: str | Column | None = None,
     keys: Sequence[str] = (),
     tolerance: float = 1e-8,
-    max_steps: int = 25,
+    max_steps: int = 50,
     separated: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit one model per key; returns (coefficients, fit figures).
 
     Coefficients: keys, term, estimate, std_error, statistic. Figures: keys,
-    n, deviance, log_lik, parameters, aic.
+    n, deviance, log_lik, parameters, aic. A model that does not settle within
+    ``max_steps`` steps raises; going back half way does not count as a step.
     """
     if family not in ("poisson", "binomial"):
         raise ValueError("family is poisson or binomial")
@@ -128,8 +130,11 @@ def fe_glm(
     rows = d.rows.withColumn("eta", F.log(first) if family == "poisson" else F.log(first / (F.lit(1.0) - first)))
     previous: dict[tuple, float] = {}
     older, solution, small = None, None, None
+    steps = halvings = 0
     try:
-        for _ in range(max_steps):
+        while True:
+            if steps == max_steps or halvings > MAX_HALVINGS:
+                raise RuntimeError(f"the {family} model did not settle in {steps} steps")
             step = Design(_working(family, rows), d.keys, d.terms, d.factors)
             sums = normal_sums(step, {"dev": F.col("dev"), "ll": F.col("ll")}, z="z", w="v")
             # A step's solution is small (terms and levels per key) and is
@@ -144,7 +149,9 @@ def fe_glm(
                 # The last step went too far for these models: go back half way.
                 solution = cut_lineage(_halfway(solution, older, keys, worse))
                 rows = _predictor(d, solution, keys, k, small)
+                halvings += 1
                 continue
+            steps, halvings = steps + 1, 0
             settled = solution is not None and all(
                 abs(deviance[g] - previous[g]) <= tolerance * (abs(deviance[g]) + 0.1) for g in deviance
             )

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from moodgrid.plans.estimation import clustered, demeaned, design, fe_ols, normal_sums, solve, tidy
+from moodgrid.plans.estimation import clustered, demeaned, design, fe_ols, figures, normal_sums, solve, tidy
 from moodgrid.plans.glm import fe_glm
 
 
@@ -51,6 +51,40 @@ def test_demeaning_agrees(data):
     assert all(abs(one[t] - two[t]) < 1e-7 for t in two)
 
 
+@pytest.mark.parametrize("keys", [(), ("h",)])
+def test_both_paths_give_the_same_model(data, keys):
+    _, df = data
+    df = df.withColumn("h", F.pmod(F.hash("a"), F.lit(2))).withColumn("fg", F.concat("f", F.lit("-"), "g"))
+    for factors in (["f"], ["f", "g"], ["f", "g", "fg"]):
+        one, two = (fe_ols(df, "y", terms(), factors, "w", keys, max_levels=n).persist() for n in (1, 6000))
+        for table in (tidy, figures):
+            a, b = (table(s, keys).toPandas().sort_values([*keys, *(["term"] if table is tidy else [])]) for s in (one, two))
+            assert list(a.columns) == list(b.columns)
+            numbers = [c for c in a.columns if c not in ("term", *keys)]
+            assert np.allclose(a[numbers].to_numpy(float), b[numbers].to_numpy(float), rtol=1e-6, atol=1e-7)
+        sums = []
+        for s in (one, two):
+            level = s.filter("kind = 'level'") if s.filter("kind = 'level'").count() else s.filter("level IS NOT NULL")
+            named = {(*(r[k] for k in keys), r.term, r.level): r.estimate for r in level.collect()}
+            at = [c for c in [*keys, *factors]]
+            sums.append([sum(named[(*r[: len(keys)], str(i), v)] for i, v in enumerate(r[len(keys) :])) for r in sorted(map(tuple, df.select(*at).distinct().collect()))])
+        assert np.allclose(*sums, atol=1e-6)
+
+
+def test_clustered_errors_beyond_the_dense_size(data):
+    _, df = data
+    one, two = (
+        {r.term: r.std_error for r in clustered(df, "y", terms(), ["f", "g"], "f", max_levels=n).collect()} for n in (1, 6000)
+    )
+    assert all(abs(one[t] - two[t]) < 1e-7 for t in two)
+
+
+def test_glm_that_does_not_settle_says_so(data):
+    _, df = data
+    with pytest.raises(RuntimeError):
+        fe_glm(df, "c", terms(), ["f"], max_steps=2)
+
+
 def test_collinear_term_is_left_out(data):
     _, df = data
     three = {**terms(), "twice": F.col("a") * 2}
