@@ -177,15 +177,18 @@ def death_count_models(deaths: DataFrame, mood: DataFrame, predictors: Sequence[
     )
 
 
-def survey_link(survey: DataFrame, panel: DataFrame, first: Column, last: Column, k: int = 30) -> DataFrame:
+def survey_link(
+    survey: DataFrame, panel: DataFrame, first: Column, last: Column, k: int = 30, keep: Sequence[str] = ()
+) -> DataFrame:
     """Survey answers joined with the state's running k-day mood.
 
     ``survey``: state, idate (MMddyyyy), menthlth. Incomplete rows are dropped.
+    ``keep`` names further columns to carry along, such as the respondent.
     """
     daily = mean_by(panel, ["state", "date"], SCORES)
     grid = rolling_mean(densify(daily, "state", "date", first, last), "state", "date", SCORES, k)
     answers = survey.select(
-        "state", recode.survey_days(F.col("menthlth")).alias("mh"), recode.mdy_date(F.col("idate")).alias("date")
+        "state", recode.survey_days(F.col("menthlth")).alias("mh"), recode.mdy_date(F.col("idate")).alias("date"), *keep
     ).na.drop("any")
     m = lookup_join(answers, grid, ["state", "date"], "left").na.drop("any")
     return m.withColumns({"mh_any": (F.col("mh") > 0).cast("int"), "yearmonth": F.date_format("date", "yyyy-MM")})
