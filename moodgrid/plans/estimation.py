@@ -50,6 +50,9 @@ def design(
     keep: Sequence[str] = (),
 ) -> Design:
     """Evaluate the columns of a model and drop incomplete rows."""
+    # Deriving constraints from every pair of terms keeps the optimizer busy for
+    # minutes on wide models; plans and results do not depend on it otherwise.
+    df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(
         *keys,
