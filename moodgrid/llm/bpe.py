@@ -10,15 +10,14 @@ some white space before other characters stands alone, or, a plain space, belong
 to them; an apostrophe that starts a pre-token takes the letters of a contraction.
 
 Pre-tokens are many, different ones few. A block (a few MB of consecutive documents)
-keeps the positions as numbers into its own list of different pre-tokens; only
-these lists are shuffled by pre-token. Each different one of the whole corpus is
-encoded once, its ids are joined back to the lists, the lists return to their
-blocks, and the ids are put in the places of the numbers. Decoding joins each id
-with its bytes: that table has as many rows as the vocabulary, whatever the
-corpus, so it stands in every task and is joined by position.
-
-A pre-token's list entries number one for each block that holds it, not one for
-each occurrence, so no word is a hot key.
+keeps the positions as numbers into its own list of different pre-tokens. These
+lists are dealt by a checksum of the pre-token, so that a task has all that are
+equal in the whole corpus: it encodes each different one once and gives back the ids
+in the order of each list. The lists return to their blocks, and the ids are put in
+the places of the numbers. Numbers, lists and ids travel packed and compressed, one
+row for each block and share, not for each occurrence; so no word is a hot key.
+Decoding joins each id with its bytes: that table has as many rows as the
+vocabulary, whatever the corpus, so it stands in every task and is joined by position.
 
 Nulls: a null text is empty, a null key is kept; decoding null ids gives empty
 bytes. Rows that repeat are encoded each. Empty tables give empty results. Further
@@ -28,6 +27,7 @@ columns are not read. An id outside the vocabulary stops the decoding.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.llm.common import ranges, slices, spread, staged, text_or_empty
+from moodgrid.llm.common import TASK_BYTES, parts_for, ranges, slices, spread, staged, text_or_empty
 from moodgrid.llm.tokens import give_back
 
 BLOCK_BYTES = 8 << 20
@@ -117,54 +117,106 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _split(schema: pa.Schema):
-    def rows(block: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        offsets, codes, words = pretokens(part.column("text"))
-        # Frequent pre-tokens get low numbers: the stored bytes shrink.
-        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        codes = place[codes].astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-        keys = part.column("key")
-        values = {
-            "block": pa.array([block]),
-            "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-            "counts": pa.array([np.diff(offsets)], schema.field("counts").type),
-            "codes": pa.array([codes.tobytes()], pa.binary()),
-            "width": pa.array([codes.itemsize], pa.int32()),
-        }
-        yield pa.RecordBatch.from_arrays([values.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
-        for low in range(0, len(words), 1 << 16):
-            some = pc.take(words, pa.array(order[low : low + (1 << 16)])).cast(pa.binary())
-            values = {
-                "block": pa.array(np.full(len(some), block)),
-                "code": pa.array(np.arange(low, low + len(some)), pa.int32()),
-                "word": some,
-            }
-            yield pa.RecordBatch.from_arrays(
-                [values.get(f.name, pa.nulls(len(some), f.type)) for f in schema], schema=schema
-            )
+def squeezed(*arrays) -> bytes:
+    """Arrays as one compressed string, with the size of each in front."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    sizes = np.array([len(p) for p in parts], np.int64).tobytes()
+    return sizes + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def opened(data: bytes, many: int) -> list[bytes]:
+    """The parts of a ``squeezed`` string."""
+    sizes = np.frombuffer(data[: 8 * many], np.int64)
+    whole = pa.decompress(data[8 * many :], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes)
+    return [whole[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32)
+
+
+def _wide(data: bytes, many: int) -> np.ndarray:
+    """What ``_narrow`` wrote for so many numbers."""
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * many else np.uint32).astype(np.int64)
+
+
+def _split(shares: int, schema: pa.Schema):
+    def row(**values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [values[f.name] if f.name in values else pa.nulls(1, f.type) for f in schema], schema=schema
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
-                yield from rows(part.column("row")[0].as_py(), part)
+                block = pa.array([part.column("row")[0].as_py()])
+                offsets, codes, words = pretokens(part.column("text"))
+                # Frequent pre-tokens get low numbers, which compress better.
+                order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+                place = np.empty(len(words), np.int64)
+                place[order] = np.arange(len(words))
+                listed = words.take(pa.array(order)).to_pylist()
+                share = np.array([zlib.crc32(w) % shares for w in listed], np.int64)
+                keys = part.column("key")
+                yield row(
+                    block=block,
+                    keys=pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                    counts=pa.array([np.diff(offsets)], pa.list_(pa.int32())),
+                    codes=pa.array([squeezed(_narrow(place[codes]), _narrow(share))], pa.binary()),
+                    size=pa.array([len(codes)], pa.int64()),
+                    words=pa.array([len(words)], pa.int64()),
+                )
+                by_share = np.argsort(share, kind="stable")
+                bounds = np.searchsorted(share[by_share], np.arange(shares + 1))
+                for number in range(shares):
+                    mine = [listed[i] for i in by_share[bounds[number] : bounds[number + 1]]]
+                    if mine:
+                        lengths = np.array([len(w) for w in mine], np.uint32)
+                        yield row(
+                            block=block,
+                            share=pa.array([number], pa.int32()),
+                            listed=pa.array([squeezed(lengths, b"".join(mine))], pa.binary()),
+                        )
             give_back()
 
     return run
 
 
-def _encoded_words(path: str):
+def _encoded_lists(path: str):
+    """Lists in, ids out; lists come by share, and what a share's lists have in common is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = _merger(path)._core_bpe
+        at, known = None, {}
         for batch in batches:
-            words = batch.column("word")
-            ids = [core.encode_single_piece(w) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            out = []
+            for share, listed in zip(batch.column("share").to_pylist(), batch.column("listed").to_pylist(), strict=True):
+                if share != at:
+                    at, known = share, {}
+                lengths, data = opened(listed, 2)
+                ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
+                ids, start = [], 0
+                for end in ends:
+                    word = data[start:end]
+                    if word not in known:
+                        known[word] = np.array(core.encode_single_piece(word), np.uint32)
+                    ids.append(known[word])
+                    start = end
+                many = np.array([len(i) for i in ids], np.int64)
+                out.append(squeezed(_narrow(many), _narrow(np.concatenate(ids))))
+            columns = [batch.column("block"), batch.column("share"), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "share", "ids"])
 
     return run
 
 
+def _ids_of_list(data: bytes, many: int) -> tuple[np.ndarray, np.ndarray]:
+    counts, flat = opened(data, 2)
+    counts = _wide(counts, many)
+    return counts, _wide(flat, int(counts.sum()))
+
+
 def _placed(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,25 +224,26 @@ def _placed(schema: pa.Schema):
                 row = batch.slice(i, 1)
                 keys = row.column("keys").flatten()
                 counts = row.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                kind = np.uint16 if row.column("width")[0].as_py() == 2 else np.uint32
-                codes = np.frombuffer(row.column("codes")[0].as_buffer(), kind)
-                entries = row.column("entries").flatten()
-                code, lists = entries.flatten() if len(entries) else (pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32())))
-                code = code.to_numpy(zero_copy_only=False)
-                length = np.empty(len(code), np.int64)
-                length[code] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                starts = np.empty(len(code), np.int64)
-                many = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                starts[code] = np.cumsum(many) - many
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                ids = flat[ranges(starts[codes], length[codes])] if len(codes) else np.empty(0, np.int32)
+                size, words = row.column("size")[0].as_py(), row.column("words")[0].as_py()
+                codes, share = opened(row.column("codes")[0].as_py(), 2)
+                codes, share = _wide(codes, size), _wide(share, words)
+                # Each list holds the block's words of one share, in the order of their numbers.
+                length, start, flats, base = np.zeros(words, np.int64), np.zeros(words, np.int64), [], 0
+                for entry in row.column("entries")[0].as_py():
+                    mine = np.flatnonzero(share == entry["share"])
+                    many, flat = _ids_of_list(entry["ids"], len(mine))
+                    length[mine], start[mine] = many, base + np.cumsum(many) - many
+                    flats.append(flat)
+                    base += len(flat)
+                flat = np.concatenate(flats).astype(np.int32) if flats else np.empty(0, np.int32)
                 reach = np.concatenate(([0], np.cumsum(length[codes])))
                 ends = reach[np.concatenate(([0], np.cumsum(counts)))]
-                out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                step = 2_000
-                for low in range(0, len(keys), step):
-                    columns = [keys.slice(low, step), out.slice(low, step)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                ids = pa.array(flat[ranges(start[codes], length[codes])])
+                for low in range(0, len(keys), 1_000):
+                    some = keys.slice(low, 1_000)
+                    a, b = ends[low], ends[low + len(some)]
+                    lists = pa.ListArray.from_arrays(pa.array(ends[low : low + len(some) + 1] - a, pa.int32()), ids[a:b])
+                    yield pa.RecordBatch.from_arrays([some, lists], schema=schema)
             give_back()
 
     return run
@@ -201,20 +254,23 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    spark = docs.sparkSession
     rows = spread(docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shares = parts_for(spark, total, TASK_BYTES)
     kind = dict(rows.dtypes)["key"]
-    schema = (
-        f"block bigint, keys array<{kind}>, counts array<int>, codes binary, width int, code int, word binary"
-    )
+    schema = f"block bigint, keys array<{kind}>, counts array<int>, codes binary, size bigint, words bigint, share int, listed binary"
     # Written once, so that the numbers of blocks hold from here on.
-    held = staged(rows.mapInArrow(_split(to_arrow_schema(_parse_datatype_string(schema))), schema), "pretokens")
-    words = held.filter("word IS NOT NULL").select("block", "code", "word")
-    known = words.select("word").distinct().mapInArrow(_encoded_words(rank_file), "word binary, ids array<int>")
-    lists = words.join(known, "word").groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries"))
-    blocks = held.filter("codes IS NOT NULL").select("block", "keys", "counts", "codes", "width")
-    empty = F.array().cast("array<struct<code: int, ids: array<int>>>")
-    full = blocks.join(lists, "block", "left").withColumn("entries", F.coalesce("entries", empty))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    split = numbered.mapInArrow(_split(shares, to_arrow_schema(_parse_datatype_string(schema))), schema)
+    held = staged(split, "pretokens")
+    lists = held.filter("share IS NOT NULL").select("block", "share", "listed")
+    dealt = lists.repartition(shares, "share").sortWithinPartitions("share")
+    known = dealt.mapInArrow(_encoded_lists(rank_file), "block bigint, share int, ids binary")
+    entries = known.groupBy("block").agg(F.collect_list(F.struct("share", "ids")).alias("entries"))
+    blocks = held.filter("share IS NULL").select("block", "keys", "counts", "codes", "size", "words")
+    empty = F.array().cast("array<struct<share: int, ids: binary>>")
+    full = blocks.join(entries, "block", "left").withColumn("entries", F.coalesce("entries", empty))
     result = f"key {kind}, ids array<int>"
     arrow = to_arrow_schema(_parse_datatype_string(result))
     return full.mapInArrow(_placed(arrow), result).withColumnRenamed("key", key)
