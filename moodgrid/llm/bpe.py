@@ -40,7 +40,11 @@ from pyspark.sql import functions as F
 from moodgrid.llm.common import TASK_BYTES, parts_for, ranges, slices, spread, staged, text_or_empty
 from moodgrid.llm.tokens import give_back
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+# Pre-tokens of a block that are numbered by frequency.
+OFTEN = 4096
+# Pre-tokens whose ids are put in place at once.
+PLACED = 1 << 19
 LETTER, NUMBER, OTHER, SPACE = range(4)
 # What may follow an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -118,67 +122,102 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def squeezed(*arrays) -> bytes:
-    """Arrays as one compressed string, with the size of each in front."""
-    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    sizes = np.array([len(p) for p in parts], np.int64).tobytes()
-    return sizes + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
-
-
-def opened(data: bytes, many: int) -> list[bytes]:
-    """The parts of a ``squeezed`` string."""
-    sizes = np.frombuffer(data[: 8 * many], np.int64)
-    whole = pa.decompress(data[8 * many :], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
-    ends = np.cumsum(sizes)
-    return [whole[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-
-
-def _narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32)
-
-
-def _wide(data: bytes, many: int) -> np.ndarray:
-    """What ``_narrow`` wrote for so many numbers."""
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * many else np.uint32).astype(np.int64)
+    """Arrays as one compressed string, with the size of each in front; numbers byte by byte, which compresses better."""
+    parts = []
+    for a in arrays:
+        if not isinstance(a, bytes):
+            a = np.ascontiguousarray(a)
+            a = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+        parts.append(pa.compress(a, codec="zstd", asbytes=True) if a else b"")
+    sizes = [[len(p), len(a) if isinstance(a, bytes) else a.nbytes] for p, a in zip(parts, arrays, strict=True)]
+    return np.array(sizes, np.int64).tobytes() + b"".join(parts)
+
+
+def opened(data: bytes, *kinds) -> list:
+    """The parts of a ``squeezed`` string: numbers of a kind, or bytes."""
+    sizes, at, out = np.frombuffer(data[: 16 * len(kinds)], np.int64).reshape(-1, 2), 16 * len(kinds), []
+    for (small, full), kind in zip(sizes.tolist(), kinds, strict=True):
+        raw = pa.decompress(data[at : at + small], decompressed_size=full, codec="zstd", asbytes=True) if full else b""
+        at += small
+        if kind is not bytes:
+            raw = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+        out.append(raw)
+    return out
+
+
+class Block:
+    """Consecutive documents, and the numbers of their pre-tokens in a list of different ones."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.keys: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, part: pa.RecordBatch) -> None:
+        offsets, codes, words = pretokens(part.column("text"))
+        known = self.known
+        number = np.array([known.setdefault(w, len(known)) for w in words.to_pylist()], np.uint32)
+        self.keys.append(part.column("key"))
+        self.counts.append(np.diff(offsets))
+        self.codes.append(number[codes])
+        self.size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+
+    def rows(self, block: int, shares: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """One row for the block, one for each share with some of its pre-tokens."""
+        codes = np.concatenate(self.codes)
+        words = list(self.known)
+        share = np.array([zlib.crc32(w) % shares for w in words], np.int64)
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        # Frequent pre-tokens get low numbers in order of frequency, the others numbers by share and bytes.
+        often, rare = order[:OFTEN], order[OFTEN:].tolist()
+        rare.sort(key=lambda i: (share[i], words[i]))
+        order = np.concatenate((often, np.array(rare, np.int64)))
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words))
+        keys = pa.concat_arrays(self.keys)
+        values = {
+            "block": pa.array([block]),
+            "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+            "counts": pa.array([np.concatenate(self.counts)], pa.list_(pa.int32())),
+            "codes": pa.array([squeezed(place[codes], share[often].astype(np.uint32), np.bincount(share[order[OFTEN:]], minlength=shares))], pa.binary()),
+        }
+        yield _row(schema, values)
+        first = _by_share(share[often], shares)
+        bounds = OFTEN + np.concatenate(([0], np.cumsum(np.bincount(share[order[OFTEN:]], minlength=shares))))
+        for number in range(shares):
+            mine = [words[order[i]] for i in first[number]] + [words[i] for i in order[bounds[number] : bounds[number + 1]].tolist()]
+            if mine:
+                lengths = np.array([len(w) for w in mine], np.uint32)
+                listed = pa.array([squeezed(lengths, b"".join(mine))], pa.binary())
+                yield _row(schema, {"block": pa.array([block]), "share": pa.array([number], pa.int32()), "listed": listed})
+
+
+def _by_share(share: np.ndarray, shares: int) -> list[np.ndarray]:
+    """Places of the frequent pre-tokens in the list of each share."""
+    order = np.argsort(share, kind="stable")
+    return np.split(order, np.searchsorted(share[order], np.arange(1, shares)))
+
+
+def _row(schema: pa.Schema, values: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([values[f.name] if f.name in values else pa.nulls(1, f.type) for f in schema], schema=schema)
 
 
 def _split(shares: int, schema: pa.Schema):
-    def row(**values) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [values[f.name] if f.name in values else pa.nulls(1, f.type) for f in schema], schema=schema
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number = Block(), None
         for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
-                block = pa.array([part.column("row")[0].as_py()])
-                offsets, codes, words = pretokens(part.column("text"))
-                # Frequent pre-tokens get low numbers, which compress better.
-                order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                listed = words.take(pa.array(order)).to_pylist()
-                share = np.array([zlib.crc32(w) % shares for w in listed], np.int64)
-                keys = part.column("key")
-                yield row(
-                    block=block,
-                    keys=pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                    counts=pa.array([np.diff(offsets)], pa.list_(pa.int32())),
-                    codes=pa.array([squeezed(_narrow(place[codes]), _narrow(share))], pa.binary()),
-                    size=pa.array([len(codes)], pa.int64()),
-                    words=pa.array([len(words)], pa.int64()),
-                )
-                by_share = np.argsort(share, kind="stable")
-                bounds = np.searchsorted(share[by_share], np.arange(shares + 1))
-                for number in range(shares):
-                    mine = [listed[i] for i in by_share[bounds[number] : bounds[number + 1]]]
-                    if mine:
-                        lengths = np.array([len(w) for w in mine], np.uint32)
-                        yield row(
-                            block=block,
-                            share=pa.array([number], pa.int32()),
-                            listed=pa.array([squeezed(lengths, b"".join(mine))], pa.binary()),
-                        )
+            for part in slices(batch, "text"):
+                number = part.column("row")[0].as_py() if number is None else number
+                block.add(part)
+                if block.size >= BLOCK_BYTES:
+                    yield from block.rows(number, shares, schema)
+                    block, number = Block(), None
             give_back()
+        if number is not None:
+            yield from block.rows(number, shares, schema)
+        give_back()
 
     return run
 
@@ -190,60 +229,60 @@ def _encoded_lists(path: str):
         core = _merger(path)._core_bpe
         at, known = None, {}
         for batch in batches:
-            out = []
-            for share, listed in zip(batch.column("share").to_pylist(), batch.column("listed").to_pylist(), strict=True):
+            for i in range(len(batch)):
+                share = batch.column("share")[i].as_py()
                 if share != at:
                     at, known = share, {}
-                lengths, data = opened(listed, 2)
-                ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
+                lengths, data = opened(batch.column("listed")[i].as_py(), np.uint32, bytes)
                 ids, start = [], 0
-                for end in ends:
+                for end in np.cumsum(lengths, dtype=np.int64).tolist():
                     word = data[start:end]
-                    if word not in known:
-                        known[word] = np.array(core.encode_single_piece(word), np.uint32)
-                    ids.append(known[word])
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = np.array(core.encode_single_piece(word), np.uint32).tobytes()
+                    ids.append(found)
                     start = end
-                many = np.array([len(i) for i in ids], np.int64)
-                out.append(squeezed(_narrow(many), _narrow(np.concatenate(ids))))
-            columns = [batch.column("block"), batch.column("share"), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "share", "ids"])
+                many = np.array([len(i) // 4 for i in ids], np.uint32)
+                out = squeezed(many, np.frombuffer(b"".join(ids), np.uint32))
+                columns = [batch.column("block").slice(i, 1), batch.column("share").slice(i, 1), pa.array([out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "share", "ids"])
+            give_back()
 
     return run
 
 
-def _ids_of_list(data: bytes, many: int) -> tuple[np.ndarray, np.ndarray]:
-    counts, flat = opened(data, 2)
-    counts = _wide(counts, many)
-    return counts, _wide(flat, int(counts.sum()))
-
-
 def _placed(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                row = batch.slice(i, 1)
-                keys = row.column("keys").flatten()
-                counts = row.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size, words = row.column("size")[0].as_py(), row.column("words")[0].as_py()
-                codes, share = opened(row.column("codes")[0].as_py(), 2)
-                codes, share = _wide(codes, size), _wide(share, words)
-                # Each list holds the block's words of one share, in the order of their numbers.
+                keys = batch.column("keys").slice(i, 1).flatten()
+                counts = batch.column("counts").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                codes, often, sizes = opened(batch.column("codes")[i].as_py(), np.uint32, np.uint32, np.int64)
+                words = len(often) + int(sizes.sum())
+                first = _by_share(often, len(sizes))
+                bounds = len(often) + np.concatenate(([0], np.cumsum(sizes)))
                 length, start, flats, base = np.zeros(words, np.int64), np.zeros(words, np.int64), [], 0
-                for entry in row.column("entries")[0].as_py():
-                    mine = np.flatnonzero(share == entry["share"])
-                    many, flat = _ids_of_list(entry["ids"], len(mine))
-                    length[mine], start[mine] = many, base + np.cumsum(many) - many
-                    flats.append(flat)
+                for entry in batch.column("entries")[i].as_py():
+                    many, flat = opened(entry["ids"], np.uint32, np.uint32)
+                    at = entry["share"]
+                    mine = np.concatenate((first[at], np.arange(bounds[at], bounds[at + 1])))
+                    length[mine] = many
+                    start[mine] = base + np.cumsum(many, dtype=np.int64) - many
+                    flats.append(flat.astype(np.int32))
                     base += len(flat)
-                flat = np.concatenate(flats).astype(np.int32) if flats else np.empty(0, np.int32)
-                reach = np.concatenate(([0], np.cumsum(length[codes])))
-                ends = reach[np.concatenate(([0], np.cumsum(counts)))]
-                ids = pa.array(flat[ranges(start[codes], length[codes])])
-                for low in range(0, len(keys), 1_000):
-                    some = keys.slice(low, 1_000)
-                    a, b = ends[low], ends[low + len(some)]
-                    lists = pa.ListArray.from_arrays(pa.array(ends[low : low + len(some) + 1] - a, pa.int32()), ids[a:b])
-                    yield pa.RecordBatch.from_arrays([some, lists], schema=schema)
+                flat = np.concatenate(flats) if flats else np.empty(0, np.int32)
+                ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+                # Some documents at a time: the ids of a block take far more room than its numbers.
+                low = 0
+                while low < len(keys):
+                    high = max(low + 1, min(int(np.searchsorted(ends, ends[low] + PLACED, "right")) - 1, low + 2_000))
+                    some = codes[ends[low] : ends[high]]
+                    many = length[some]
+                    reach = np.concatenate(([0], np.cumsum(many)))
+                    ids = pa.array(flat[ranges(start[some], many)])
+                    lists = pa.ListArray.from_arrays(pa.array(reach[ends[low : high + 1] - ends[low]], pa.int32()), ids)
+                    yield pa.RecordBatch.from_arrays([keys.slice(low, high - low), lists], schema=schema)
+                    low = high
             give_back()
 
     return run
@@ -259,7 +298,7 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shares = parts_for(spark, total, TASK_BYTES)
     kind = dict(rows.dtypes)["key"]
-    schema = f"block bigint, keys array<{kind}>, counts array<int>, codes binary, size bigint, words bigint, share int, listed binary"
+    schema = f"block bigint, keys array<{kind}>, counts array<int>, codes binary, share int, listed binary"
     # Written once, so that the numbers of blocks hold from here on.
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     split = numbered.mapInArrow(_split(shares, to_arrow_schema(_parse_datatype_string(schema))), schema)
@@ -268,7 +307,7 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     dealt = lists.repartition(shares, "share").sortWithinPartitions("share")
     known = dealt.mapInArrow(_encoded_lists(rank_file), "block bigint, share int, ids binary")
     entries = known.groupBy("block").agg(F.collect_list(F.struct("share", "ids")).alias("entries"))
-    blocks = held.filter("share IS NULL").select("block", "keys", "counts", "codes", "size", "words")
+    blocks = held.filter("share IS NULL").select("block", "keys", "counts", "codes")
     empty = F.array().cast("array<struct<share: int, ids: binary>>")
     full = blocks.join(entries, "block", "left").withColumn("entries", F.coalesce("entries", empty))
     result = f"key {kind}, ids array<int>"
