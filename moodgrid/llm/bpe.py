@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from moodgrid.llm.common import TASK_BYTES, parts_for, ranges, slices, spread, staged, text_or_empty
 from moodgrid.llm.tokens import give_back
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+LEVEL = 6
 # Pre-tokens of a block that are numbered by frequency.
 OFTEN = 4096
 # Pre-tokens whose ids are put in place at once.
@@ -128,7 +129,7 @@ def squeezed(*arrays) -> bytes:
         if not isinstance(a, bytes):
             a = np.ascontiguousarray(a)
             a = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
-        parts.append(pa.compress(a, codec="zstd", asbytes=True) if a else b"")
+        parts.append(pa.Codec("zstd", compression_level=LEVEL).compress(a, asbytes=True) if a else b"")
     sizes = [[len(p), len(a) if isinstance(a, bytes) else a.nbytes] for p, a in zip(parts, arrays, strict=True)]
     return np.array(sizes, np.int64).tobytes() + b"".join(parts)
 

@@ -36,12 +36,10 @@ tables give empty results. Further columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -150,7 +148,7 @@ def unpacked(data, first: int, size: int, wide_step: int, wide_tf: int, at: int)
     return steps + first, np.frombuffer(data, f"<u{wide_tf}", size, middle).astype(np.int64)
 
 
-def _indexed(documents: int, terms: int, schema: pa.Schema):
+def _indexed(documents: int, terms: int, shard_bytes: int, schema: pa.Schema):
     def shard(number: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         offsets, codes, vocabulary = terms_of(part.column("text"))
         lengths = np.diff(offsets)
@@ -198,7 +196,7 @@ def _indexed(documents: int, terms: int, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SHARD_BYTES):
+            for part in slices(batch, "text", shard_bytes):
                 yield from shard(part.column("row")[0].as_py(), part)
             give_back()
 
@@ -206,13 +204,13 @@ def _indexed(documents: int, terms: int, schema: pa.Schema):
 
 
 class Index:
-    """A written index: its table, and the counts N and L it was built with."""
+    """A written index: its table, the counts N and L it was built with, and the name of the key."""
 
-    def __init__(self, table: DataFrame, documents: int, terms: int):
-        self.table, self.documents, self.terms = table, documents, terms
+    def __init__(self, table: DataFrame, documents: int, terms: int, key: str):
+        self.table, self.documents, self.terms, self.key = table, documents, terms, key
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> Index:
     """Counts, then one row a shard with keys and lengths, and one a shard and term with the postings."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -225,8 +223,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     folder = new_folder(spark, "index")
-    numbered.mapInArrow(_indexed(documents, terms, arrow), schema).write.option("compression", "zstd").parquet(folder)
-    return Index(spark.read.schema(schema).parquet(folder), documents, terms)
+    numbered.mapInArrow(_indexed(documents, terms, shard_bytes, arrow), schema).write.option("compression", "zstd").parquet(folder)
+    return Index(spark.read.schema(schema).parquet(folder), documents, terms, key)
 
 
 class Lists:
@@ -381,4 +379,4 @@ def search(index: Index, items: DataFrame, k: int = 20, item: str = "item_id", t
     rank = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("key"))
     best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     named = best.join(numbered.select("query", "item"), "query")
-    return named.select(F.col("item").alias(item), "rank", F.col("key").alias("doc_id"), "score")
+    return named.select(F.col("item").alias(item), "rank", F.col("key").alias(index.key), "score")
