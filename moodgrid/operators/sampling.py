@@ -1,19 +1,81 @@
-"""Repeatable samples and bootstrap weights, keyed on row ids."""
+"""Repeatable samples and bootstrap weights, keyed on row ids.
+
+Randomness is arithmetic on a digest of the ids, so that any engine with md5 and
+64-bit integers draws the same: two 32-bit seeds a row, mixed with the number of
+the replicate. Numpy and column expressions give the same numbers.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAIN = 2**53
+WORD = 2**32
+GRAIN = 2**52
+# Fixed values of the mixing: odd numbers below 2^31, so that products stay below 2^63.
+STEP, FIRST, SECOND = 1_640_531_527, 2_146_121_005, 1_994_318_123
+
+
+def _digits(keys: Sequence[Column | str], start: int, count: int) -> Column:
+    """Hexadecimal digits of the keys' md5 as a number."""
+    text = F.concat_ws("|", *(k if isinstance(k, Column) else F.col(k) for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), start, count), 16, 10).cast("bigint")
 
 
 def uniform(*keys: Column | str) -> Column:
     """A number in [0, 1) that depends on the keys alone."""
-    return F.pmod(F.xxhash64(*keys), F.lit(GRAIN)) / F.lit(float(GRAIN))
+    return _digits([k.cast("string") if isinstance(k, Column) else F.col(k).cast("string") for k in keys], 1, 13) / F.lit(float(GRAIN))
+
+
+def seeds(ids: Sequence[str], seed: int) -> tuple[Column, Column]:
+    """The two seeds of a row."""
+    keys = [*(F.col(c).cast("string") for c in ids), F.lit(str(seed))]
+    return _digits(keys, 1, 8), _digits(keys, 9, 8)
+
+
+def mixed(one, two, number, shift, both):
+    """32 bits from two seeds and a number; ``shift`` and ``both`` are the engine's right shift and exclusive or."""
+    x = both((one + number * STEP) % WORD, two)
+    x = (both(x, shift(x, 16)) * FIRST) % WORD
+    x = (both(x, shift(x, 15)) * SECOND) % WORD
+    return both(x, shift(x, 16))
+
+
+def replicate_uniform(one: Column, two: Column, number: Column) -> Column:
+    """The uniform number of a row in a replicate."""
+    bits = mixed(one, two, number.cast("bigint"), F.shiftright, lambda a, b: a.bitwiseXOR(b))
+    return bits / F.lit(float(WORD))
+
+
+def poisson_edges() -> list[float]:
+    """The cumulative distribution of Poisson(1) at 0, 1, ..., 15."""
+    edges, mass, total = [], math.exp(-1), 0.0
+    for n in range(1, 17):
+        total += mass
+        edges.append(total)
+        mass /= n
+    return edges
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) count of a uniform number, by its cumulative distribution."""
+    edges = poisson_edges()
+    weight = F.lit(len(edges))
+    for n in range(len(edges) - 1, -1, -1):
+        weight = F.when(u < F.lit(edges[n]), F.lit(n)).otherwise(weight)
+    return weight
+
+
+def draws(columns: Sequence[np.ndarray], first: int, replicates: int) -> np.ndarray:
+    """Rows by replicates: the counts of ``with_replicates``, from the two seed columns."""
+    one, two = (np.asarray(c, np.int64)[:, None] for c in columns)
+    numbers = np.arange(first, first + replicates, dtype=np.int64)[None, :]
+    bits = mixed(one, two, numbers, np.right_shift, np.bitwise_xor)
+    return np.searchsorted(np.array(poisson_edges()) * WORD, bits.ravel(), "right").reshape(bits.shape).astype(float)
 
 
 def sample_fraction(df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 1) -> DataFrame:
@@ -41,11 +103,10 @@ def with_replicates(df: DataFrame, ids: Sequence[str], replicates: int, seed: in
     replacement; rows drawn zero times are not produced.
     """
     numbers = F.array(*(F.lit(b) for b in range(first, first + replicates)))
-    return (
-        df.withColumn("replicate", F.explode(numbers))
-        .withColumn("weight", poisson_weight(uniform(*(F.col(c) for c in ids), F.lit(seed), F.col("replicate"))))
-        .filter(F.col("weight") > 0)
-    )
+    one, two = seeds(ids, seed)
+    drawn = df.withColumns({"__one": one, "__two": two}).withColumn("replicate", F.explode(numbers))
+    u = replicate_uniform(F.col("__one"), F.col("__two"), F.col("replicate"))
+    return drawn.withColumn("weight", poisson_weight(u)).drop("__one", "__two").filter(F.col("weight") > 0)
 
 
 def bootstrap_mean_diff(

@@ -3,31 +3,52 @@
 With numeric columns X, an outcome y, weights w and factors F1..Fm the normal
 equations need only weighted sums: the cross-products of (y, X), the sums of
 (y, X) per level of each factor, and the joint weight of each pair of levels.
-They are three grouped aggregations, combined inside the tasks, whatever the
-number of rows. What is left is a system in the factor levels, solved once per
-key (replicate, region, model) in the executor that holds that key's sums. Its
-size is limited by ``MAX_LEVELS``; beyond that ``demean`` is used instead.
+One pass over the rows folds them into states (``accumulate``), which add up.
+What is left is a system in the factor levels, one per key (replicate, region,
+model). The factor with most levels is eliminated first, as its block is
+diagonal. Three ways, with the same results:
+
+- few levels in all: a key's state is solved in one task;
+- one wide factor (``MAX_LEVELS`` exceeded): its levels are dealt into buckets,
+  each bucket eliminates its own, and only the system of the other levels meets
+  in one task;
+- two wide factors (``REST_LEVELS`` exceeded without the widest): conjugate
+  gradients over the pairs of levels, in one task up to ``MAX_PAIRS`` of them and
+  over written tables beyond, see ``sparse``.
+
+The rank of the level effects is that of the whole system in each of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import pickle
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from moodgrid.operators.joins import is_small, lookup_join
+from moodgrid.operators.joins import lookup_join
+from moodgrid.operators.sampling import draws, seeds
+from moodgrid.plans.accumulate import REST, Plan, State, states
 from moodgrid.session import cut_lineage
 
 MAX_LEVELS = 6_000
+REST_LEVELS = 4_000
+BUCKET_LEVELS = 2_000
+MAX_PAIRS = 20_000_000
 TOTALS, COEF, LEVEL, FIT = "totals", "coef", "level", "fit"
 SOLUTION = "kind string, term string, level string, estimate double, std_error double, vec array<double>"
 COLLINEAR = 1e-9
-BLOCK = 32
+RIDGE = 1e-9
+GROUP = 5
 
 
 @dataclass(frozen=True)
@@ -50,9 +71,6 @@ def design(
     keep: Sequence[str] = (),
 ) -> Design:
     """Evaluate the columns of a model and drop incomplete rows."""
-    # Deriving constraints from every pair of terms keeps the optimizer busy for
-    # minutes on wide models; plans and results do not depend on it otherwise.
-    df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(
         *keys,
@@ -66,51 +84,46 @@ def design(
     return Design(rows, tuple(keys), tuple(terms), tuple(factors) or ("(intercept)",))
 
 
-def normal_sums(d: Design, extra: dict[str, Column] | None = None, z: str = "y", w: str = "w") -> DataFrame:
-    """The weighted sums of a design: keys, ``kind``, ``a``, ``b``, ``block``, ``vec``.
+@dataclass(frozen=True)
+class Shape:
+    """How a design is solved: the widest factor and its buckets (0: all in one task), or by gradients, or on tables."""
 
-    Kind -1 holds the totals and one line of the cross-products, kind i the sums
-    per level of factor i, kind m + p the joint weights of the p-th factor pair.
-    """
-    m, keys, k = len(d.factors), list(d.keys), len(d.terms)
-    columns = [z, *(f"x{i}" for i in range(k))]
-    names = list(extra or {})
-    head = [f"`{c}`" for c in keys]
-
-    f = [f"f{i}" for i in range(m)]
-    # Columns are taken in blocks and one row of the cross-products at a time:
-    # a few dozen sums stay in small compiled code where k*k/2 would not.
-    width = min(BLOCK, k + 1)
-    blocks = -(-(k + 1) // width)
-    packed = d.rows.select(
-        *keys, *f, F.col(w).alias("w"), *(e.alias(n) for n, e in (extra or {}).items()), F.array(*columns).alias("z"),
-        F.explode(F.array(*(F.lit(i) for i in range(blocks)))).alias("block") if blocks > 1 else F.lit(0).alias("block"),
+    wide: int | None = None
+    buckets: int = 0
+    iterate: bool = False
+    tables: bool = False
+
+
+def level_counts(d: Design) -> list[int]:
+    """The number of levels of each factor over all keys, approximately, in one pass."""
+    return [int(n) for n in d.rows.agg(*(F.approx_count_distinct(f"f{i}") for i in range(len(d.factors)))).first()]
+
+
+def shape_of(
+    d: Design, max_levels: int = MAX_LEVELS, rest_levels: int = REST_LEVELS, max_pairs: int = MAX_PAIRS
+) -> Shape:
+    """All ways give the same results, so an approximate count may decide."""
+    counts = level_counts(d)
+    if sum(counts) <= max_levels:
+        return Shape()
+    wide = max(range(len(counts)), key=counts.__getitem__)
+    if sum(counts) - counts[wide] > rest_levels:
+        m = len(counts)
+        pairs = [F.approx_count_distinct(F.struct(f"f{i}", f"f{j}")) for i in range(m) for j in range(i + 1, m)]
+        return Shape(iterate=True, tables=sum(d.rows.agg(*pairs).first()) > max_pairs)
+    return Shape(wide, -(-counts[wide] // BUCKET_LEVELS))
+
+
+def normal_sums(
+    d: Design, extra: dict[str, Column] | None = None, z: str = "y", w: str = "w", shape: Shape = Shape()
+) -> DataFrame:
+    """The weighted sums of a design as states: keys, ``group``, ``bucket``, ``state``."""
+    rows = d.rows.withColumns(extra) if extra else d.rows
+    plan = Plan(
+        d.keys, (z, *(f"x{i}" for i in range(len(d.terms)))), tuple(f"f{i}" for i in range(len(d.factors))), w,
+        tuple(extra or ()), wide=shape.wide, buckets=max(shape.buckets, 1),
     )
-    entry = [f"get(z, block * {width} + {j})" for j in range(width)]
-    lined = packed.select("*", F.posexplode("z").alias("at", "zi"))
-    sums = ["cast(count(1) AS double)", "sum(w)", *(f"sum({n})" for n in names)]
-    sums += [f"sum(w * zi * {e})" for e in entry]
-    totals = lined.groupBy(*keys, "at", "block").agg(F.expr(f"array({', '.join(sums)})").alias("vec"))
-    out = totals.selectExpr(*head, "-1 AS kind", "cast(at AS string) AS a", "'' AS b", "block", "vec")
-
-    first, last = f"coalesce({', '.join(f)})", f"coalesce({', '.join(reversed(f))})"
-
-    def sets(groups: list[tuple[int, ...]], vec: str, base: int) -> DataFrame:
-        masks = [sum(1 << (m - 1 - i) for i in range(m) if i not in group) for group in groups]
-        number = " ".join(f"WHEN {mask} THEN {base + n}" for n, mask in enumerate(masks))
-        head_cols = [*keys, "block"]
-        source = packed if base == 0 else packed.filter("block = 0")
-        grouped = source.groupingSets(
-            [[*head_cols, *(f[i] for i in group)] for group in groups], *head_cols, *f
-        ).agg(F.expr("cast(grouping_id() AS int)").alias("g"), F.expr(vec).alias("vec"))
-        return grouped.selectExpr(*head, f"CASE g {number} END AS kind", f"{first} AS a", f"{last} AS b", "block", "vec")
-
-    level_sums = ["sum(w)", *(f"sum(w * {e})" for e in entry)]
-    out = out.unionByName(sets([(i,) for i in range(m)], f"array({', '.join(level_sums)})", 0))
-    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
-    if pairs:
-        out = out.unionByName(sets(pairs, "array(sum(w))", m))
-    return out
+    return states(rows, plan)
 
 
 def _pseudo_inverse(matrix: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, int]:
@@ -141,68 +154,124 @@ def _independent(cross: np.ndarray, raw: np.ndarray) -> list[int]:
     return kept
 
 
-def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str], n_extra: int = 0) -> list[tuple]:
-    """Coefficients, level effects and fit figures from one key's sums."""
-    m, p = len(factors), len(terms) + 1
-    lines = part.loc[part["kind"] == -1]
-    lines = lines.assign(at=lines["a"].astype(int)).sort_values(["at", "block"])
-    totals = np.vstack(lines["vec"].to_numpy()).astype(float)
-    n_rows, sum_w, extra = totals[0, 0], totals[0, 1], totals[0, 2 : 2 + n_extra]
-    # The last block reaches beyond the last column; what is there is absent.
-    cross = totals[:, 2 + n_extra :].reshape(p, -1)[:, :p]
-    totals = np.hstack([totals[:: len(totals) // p, : 2 + n_extra], cross])
-    cross = (cross + cross.T) / 2
-    if not np.isfinite(totals).all():
-        raise ValueError("the weighted sums are not finite")
-    raw = np.diag(cross).copy()
-
-    names, weights, sums = [], [], []
-    for i in range(m):
-        rows = part.loc[part["kind"] == i].sort_values(["a", "block"])
-        vectors = np.vstack(rows["vec"].to_numpy()).astype(float)
-        own = rows["a"].drop_duplicates().tolist()
-        names.append(own)
-        weights.append(vectors[:: len(vectors) // len(own), 0])
-        sums.append(vectors[:, 1:].reshape(len(own), -1)[:, :p])
-    # The factor with most levels is eliminated first: its block is diagonal.
-    big = max(range(m), key=lambda i: len(names[i]))
-    others = [i for i in range(m) if i != big]
-    starts, size = {}, 0
+@dataclass
+class System:
+    """The normal equations of one key and replicate, the widest factor eliminated."""
+
+    names: list[list[str]]  # levels of each other factor (the widest: none)
+    weights: np.ndarray  # of those levels
+    matrix: np.ndarray
+    right: np.ndarray  # levels x columns
+    cross: np.ndarray  # columns x columns
+    raw: np.ndarray  # the diagonal before elimination
+    total: np.ndarray  # sum of each column over all rows, weighted
+    eliminated: int = 0
+
+
+def system_of(state: State, g: int, wide: int) -> System:
+    """All but the widest factor of a state, for one replicate; levels it never drew are left out."""
+    m, p = state.m, state.p
+    others = [i for i in range(m) if i != wide]
+    names, place, sums, weights, size = [[] for _ in range(m)], [None] * m, [], [], 0
     for i in others:
-        starts[i] = size
-        size += len(names[i])
-    c_block, b_block = np.zeros((size, size)), np.zeros((len(names[big]), size))
-    index = [{level: k for k, level in enumerate(level_names)} for level_names in names]
+        own = state.sums[i][:, g]
+        there = own[:, 0] > 0
+        place[i] = np.where(there, size + np.cumsum(there) - 1, -1)
+        listed = list(state.levels[i])
+        names[i] = [listed[k] for k in np.flatnonzero(there).tolist()]
+        sums.append(own[there, 1:])
+        weights.append(own[there, 0])
+        size += int(there.sum())
+    matrix = np.zeros((size, size))
+    weight = np.concatenate(weights) if weights else np.zeros(0)
+    matrix[np.arange(size), np.arange(size)] = weight
     for i in others:
-        at = starts[i] + np.arange(len(names[i]))
-        c_block[at, at] = weights[i]
-    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
-    for n, (i, j) in enumerate(pairs):
-        rows = part.loc[part["kind"] == m + n]
-        a = rows["a"].map(index[i]).to_numpy()
-        b = rows["b"].map(index[j]).to_numpy()
-        joint = np.array([v[0] for v in rows["vec"]])
-        if i == big:
-            b_block[a, starts[j] + b] = joint
-        elif j == big:
-            b_block[b, starts[i] + a] = joint
-        else:
-            c_block[starts[i] + a, starts[j] + b] = joint
-            c_block[starts[j] + b, starts[i] + a] = joint
-    top = sums[big]
-    rest = np.vstack([sums[i] for i in others]) if others else np.zeros((0, p))
-    scaled = b_block / weights[big][:, None]
-    inverse, rank = _pseudo_inverse(c_block - b_block.T @ scaled, np.diag(c_block).copy())
-    effects_rest = inverse @ (rest - scaled.T @ top)
-    effects_big = (top - b_block @ effects_rest) / weights[big][:, None]
-    within = cross - top.T @ effects_big - rest.T @ effects_rest
+        for j in (j for j in others if j > i):
+            a, b, values = state.pair(i, j)
+            a, b, v = place[i][a], place[j][b], values[:, g]
+            keep = v > 0
+            matrix[a[keep], b[keep]] = v[keep]
+            matrix[b[keep], a[keep]] = v[keep]
+    right = np.vstack(sums) if sums else np.zeros((0, p))
+    cross = (state.cross[g] + state.cross[g].T) / 2
+    return System(names, weight, matrix, right, cross.copy(), np.diag(cross).copy(), np.zeros(p))
+
 
+def wide_block(state: State, g: int, wide: int, at: Callable[[int, np.ndarray], np.ndarray], size: int):
+    """Levels of the widest factor, their weights, sums and joint weights with the ``size`` other levels.
+
+    ``at`` gives the places of another factor's levels (by their numbers in the state) in the system.
+    """
+    own = state.sums[wide][:, g]
+    there = own[:, 0] > 0
+    row = np.where(there, np.cumsum(there) - 1, -1)
+    joint = np.zeros((int(there.sum()), size))
+    for i in (i for i in range(state.m) if i != wide):
+        a, b, values = state.pair(min(i, wide), max(i, wide))
+        big, other = (a, b) if wide < i else (b, a)
+        keep = values[:, g] > 0
+        joint[row[big[keep]], at(i, other[keep])] = values[keep, g]
+    listed = list(state.levels[wide])
+    return [listed[k] for k in np.flatnonzero(there).tolist()], own[there, 0], own[there, 1:], joint
+
+
+def eliminate(system: System, weights: np.ndarray, sums: np.ndarray, joint: np.ndarray) -> None:
+    """Takes levels of the widest factor out of the equations."""
+    scaled = joint / weights[:, None]
+    system.matrix -= joint.T @ scaled
+    system.right -= scaled.T @ sums
+    system.cross -= sums.T @ (sums / weights[:, None])
+    system.total += sums.sum(axis=0)
+    system.eliminated += len(weights)
+
+
+def _ridge_solution(matrix: np.ndarray, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A solution of consistent equations without their rank: a small ridge, taken back by refinement."""
+    if not len(matrix):
+        return right
+    scale = np.sqrt(weights)
+    scaled = matrix / np.outer(scale, scale)
+    b = right / scale[:, None]
+    inverse = np.linalg.inv(scaled + RIDGE * np.eye(len(scaled)))
+    x = inverse @ b
+    for _ in range(3):
+        x += inverse @ (b - scaled @ x)
+    return x / scale[:, None]
+
+
+@dataclass
+class Solved:
+    effects: np.ndarray  # of the other factors' levels, by column
+    beta: np.ndarray  # by term, zero where left out
+    rows: list[tuple]  # COEF, FIT and TOTALS rows
+
+
+def solved_system(system: System, totals: np.ndarray, terms: Sequence[str], errors: bool = True) -> Solved:
+    """Coefficients and fit figures; ``errors`` asks for the rank and all that rests on it."""
+    if errors:
+        inverse, rank = _pseudo_inverse(system.matrix, system.weights)
+        effects = inverse @ system.right
+    else:
+        rank, effects = 0, _ridge_solution(system.matrix, system.weights, system.right)
+    within = system.cross - system.right.T @ effects
+    return _coefficients(within, system.raw, system.eliminated + rank, system.total[0], totals, terms, effects, errors)
+
+
+def _coefficients(
+    within: np.ndarray, raw: np.ndarray, absorbed: float, sum_y: float, totals: np.ndarray, terms: Sequence[str],
+    effects: np.ndarray, errors: bool = True,
+) -> Solved:
+    """The model of the terms once the level effects are out of the cross-products."""
+    n_rows, sum_w = totals[0], totals[1]
     kept = _independent(within[1:, 1:], raw[1:])
     chosen = [k + 1 for k in kept]
     block = within[np.ix_(chosen, chosen)]
-    beta = np.linalg.solve(block, within[chosen, 0]) if kept else np.zeros(0)
-    rss = max(within[0, 0] - (beta @ within[chosen, 0] if kept else 0.0), 0.0)
-    absorbed = len(names[big]) + rank
+    own = np.linalg.solve(block, within[chosen, 0]) if kept else np.zeros(0)
+    beta = np.zeros(len(terms))
+    beta[kept] = own
+    if not errors:
+        return Solved(effects, beta, [(COEF, terms[k], None, float(beta[k]), None, None) for k in kept])
+    rss = max(within[0, 0] - (own @ within[chosen, 0] if kept else 0.0), 0.0)
     df_resid = max(n_rows - absorbed - len(kept), 1.0)
     bread = np.linalg.inv(block) if kept else np.zeros((0, 0))
     sigma2 = rss / df_resid
@@ -210,8 +279,8 @@ def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str],
     for pos, k in enumerate(kept):
         row = np.zeros(len(terms))
         row[kept] = bread[pos]
-        out.append((COEF, terms[k], None, float(beta[pos]), float(math.sqrt(max(sigma2 * bread[pos, pos], 0.0))), row.tolist()))
-    sst = cross[0, 0] - (sums[big][:, 0].sum() ** 2) / sum_w
+        error = float(math.sqrt(max(sigma2 * bread[pos, pos], 0.0)))
+        out.append((COEF, terms[k], None, float(own[pos]), error, row.tolist()))
     figures = {
         "n": n_rows,
         "weight": sum_w,
@@ -220,37 +289,201 @@ def solve_sums(part: pd.DataFrame, terms: Sequence[str], factors: Sequence[str],
         "n_terms": len(kept),
         "df_resid": df_resid,
         "sigma2": sigma2,
-        "sst": sst,
+        "sst": raw[0] - sum_y**2 / sum_w,
     }
     out += [(FIT, name, None, float(value), None, None) for name, value in figures.items()]
-    out += [(TOTALS, str(i), None, float(value), None, None) for i, value in enumerate(extra)]
-    for i in range(m):
-        effects = effects_big if i == big else effects_rest[starts[i] : starts[i] + len(names[i])]
-        own = effects[:, 0] - effects[:, chosen] @ beta
-        for level, effect, vector in zip(names[i], own, effects, strict=True):
-            out.append((LEVEL, str(i), level, float(effect), None, vector.tolist()))
+    out += [(TOTALS, str(i), None, float(value), None, None) for i, value in enumerate(totals[2:])]
+    return Solved(effects, beta, out)
+
+
+def level_rows(factor: int, names: Sequence[str], effects: np.ndarray, beta: np.ndarray) -> list[tuple]:
+    own = effects[:, 0] - effects[:, 1:] @ beta
+    return [
+        (LEVEL, str(factor), name, float(value), None, vector.tolist())
+        for name, value, vector in zip(names, own, effects, strict=True)
+    ]
+
+
+def solve_state(state: State, g: int, terms: Sequence[str], errors: bool = True) -> list[tuple]:
+    """All solution rows of one replicate of a whole state."""
+    counts = [int((s[:, g, 0] > 0).sum()) for s in state.sums]
+    wide = max(range(state.m), key=counts.__getitem__)
+    system = system_of(state, g, wide)
+    place, size = {}, 0
+    for i in (i for i in range(state.m) if i != wide):
+        there = state.sums[i][:, g, 0] > 0
+        place[i] = np.where(there, size + np.cumsum(there) - 1, -1)
+        size += int(there.sum())
+    names, weights, sums, joint = wide_block(state, g, wide, lambda i, codes: place[i][codes], size)
+    eliminate(system, weights, sums, joint)
+    found = solved_system(system, state.totals[g], terms, errors)
+    if not errors:
+        return found.rows
+    out, at = list(found.rows), 0
+    for i in range(state.m):
+        if i == wide:
+            out += level_rows(i, names, (sums - joint @ found.effects) / weights[:, None], found.beta)
+        else:
+            out += level_rows(i, system.names[i], found.effects[at : at + len(system.names[i])], found.beta)
+            at += len(system.names[i])
     return out
 
 
-def solve(d: Design, sums: DataFrame, n_extra: int = 0) -> DataFrame:
-    """Solve every key's system in the executors."""
-    keys, terms, factors = list(d.keys), d.terms, d.factors
-    types = dict(d.rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), SOLUTION])
+def gradient_solution(state: State, terms: Sequence[str]) -> list[tuple]:
+    """All solution rows of a whole state without a dense matrix."""
+    from moodgrid.plans.sparse import Links, null_dimension
+
+    links = Links(state)
+    right = np.vstack([s[:, 0, 1:] for s in state.sums])[links.there]
+    effects = links.solve(right)
+    cross = (state.cross[0] + state.cross[0].T) / 2
+    within = cross - right.T @ effects
+    sum_y = state.sums[0][:, 0, 1].sum()
+    rank = null_dimension(links)
+    found = _coefficients((within + within.T) / 2, np.diag(cross).copy(), rank, sum_y, state.totals[0], terms, effects)
+    out, at = list(found.rows), 0
+    for i, names in enumerate(links.names):
+        out += level_rows(i, names, effects[at : at + len(names)], found.beta)
+        at += len(names)
+    return out
+
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        head = [part[k].iloc[0] for k in keys]
-        rows = [(*head, *r) for r in solve_sums(part, terms, factors, n_extra)] if (part["kind"] == -1).any() else []
-        return pd.DataFrame(rows, columns=[*keys, "kind", "term", "level", "estimate", "std_error", "vec"])
+def _rows_out(head: list, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array([v] * len(rows), f.type) for v, f in zip(head, schema, strict=False)]
+    body = list(zip(*rows, strict=True)) if rows else [()] * (len(schema) - len(head))
+    columns += [pa.array(list(c), f.type) for c, f in zip(body, list(schema)[len(head) :], strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    group = keys or [F.lit(1).alias("__one")]
-    return sums.groupBy(*group).applyInPandas(one, schema)
+
+def _schema(d: Design, *more: str) -> str:
+    types = dict(d.rows.dtypes)
+    return ", ".join([*(f"`{k}` {types[k]}" for k in d.keys), *more, SOLUTION])
 
 
-def count_levels(d: Design) -> int:
-    """The number of factor levels, approximately, in one pass."""
-    counts = d.rows.agg(*(F.approx_count_distinct(f"f{i}") for i in range(len(d.factors)))).first()
-    return int(sum(counts))
+def solve(d: Design, sums: DataFrame, shape: Shape = Shape(), errors: bool = True) -> DataFrame:
+    """Solve every key's system in the executors."""
+    if shape.wide is not None:
+        return _solve_wide(d, sums, shape.wide)
+    n, terms = len(d.keys), d.terms
+    schema = _schema(d)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                head = [batch.column(c)[i].as_py() for c in range(n)]
+                state = State.unpacked(batch.column(n + 2)[i].as_py())
+                rows = gradient_solution(state, terms) if shape.iterate else solve_state(state, 0, terms, errors)
+                yield _rows_out(head, rows, arrow)
+
+    return sums.mapInArrow(run, schema)
+
+
+def _reduced(state: State, wide: int) -> System:
+    """A bucket's own levels of the wide factor, eliminated from an otherwise empty system."""
+    p = state.p
+    names = [[] if i == wide else list(state.levels[i]) for i in range(state.m)]
+    starts = np.cumsum([0, *(len(x) for x in names)])
+    size = int(starts[-1])
+    system = System(names, np.zeros(size), np.zeros((size, size)), np.zeros((size, p)), np.zeros((p, p)), np.zeros(p), np.zeros(p))
+    _, weights, sums, joint = wide_block(state, 0, wide, lambda i, codes: starts[i] + codes, size)
+    eliminate(system, weights, sums, joint)
+    return system
+
+
+def _solve_wide(d: Design, sums: DataFrame, wide: int) -> DataFrame:
+    """The solution when the levels of one factor lie in buckets.
+
+    Every bucket eliminates its levels; the system of the others meets in one task;
+    the effects of the wide factor follow from its solution, bucket by bucket.
+    """
+    keys, n, terms = list(d.keys), len(d.keys), d.terms
+    held = cut_lineage(sums)
+    head_types = ", ".join(f"`{k}` {t}" for k, t in dict(d.rows.dtypes).items() if k in keys)
+    reduced_schema = ", ".join(x for x in (head_types, "bucket int, part binary") if x)
+    reduced_arrow = to_arrow_schema(_parse_datatype_string(reduced_schema))
+    schema = _schema(d)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                head = [batch.column(c)[i].as_py() for c in range(n)]
+                bucket, state = batch.column(n + 1)[i].as_py(), State.unpacked(batch.column(n + 2)[i].as_py())
+                part = state if bucket == REST else _reduced(state, wide)
+                values = (*head, bucket, zlib.compress(pickle.dumps(part, protocol=5), 1))
+                columns = [pa.array([v], f.type) for v, f in zip(values, reduced_arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=reduced_arrow)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rest, system, where = None, None, None, []
+
+        def place(part: System) -> None:
+            index = np.concatenate([np.array([where[i][x] for x in names], np.int64) for i, names in enumerate(part.names)])
+            system.matrix[np.ix_(index, index)] += part.matrix
+            system.right[index] += part.right
+            system.cross += part.cross
+            system.total += part.total
+            system.eliminated += part.eliminated
+
+        def out() -> pa.RecordBatch:
+            found = solved_system(system, rest.totals[0], terms)
+            rows, first = list(found.rows), 0
+            for i, names in enumerate(system.names):
+                rows += level_rows(i, names, found.effects[first : first + len(names)], found.beta)
+                first += len(names)
+            return _rows_out(list(at), rows, arrow)
+
+        for batch in batches:
+            for i in range(len(batch)):
+                key = tuple(batch.column(c)[i].as_py() for c in range(n))
+                part = pickle.loads(zlib.decompress(batch.column(n + 1)[i].as_py()))
+                if key != at:
+                    if at is not None:
+                        yield out()
+                    # A key's rest comes before its buckets.
+                    at, rest, system = key, part, system_of(part, 0, wide)
+                    starts = np.cumsum([0, *(len(x) for x in system.names)])
+                    where = [{x: int(starts[f]) + k for k, x in enumerate(names)} for f, names in enumerate(system.names)]
+                else:
+                    place(part)
+        if at is not None:
+            yield out()
+
+    parts = held.mapInArrow(reduce, reduced_schema)
+    cores = d.rows.sparkSession.sparkContext.defaultParallelism
+    parts = parts.repartition(cores, *keys) if keys else parts.repartition(1)
+    parts = parts.sortWithinPartitions(*keys, "bucket")
+    solution = cut_lineage(parts.mapInArrow(finish, schema))
+
+    # Effects of the wide factor: each bucket meets its key's solution.
+    known = solution.filter(F.col("kind").isin(LEVEL, COEF)).groupBy(*keys).agg(
+        F.collect_list(F.struct("kind", "term", "level", "estimate", "vec")).alias("solution")
+    )
+    buckets = held.filter(F.col("bucket") != REST)
+    if keys:
+        met = buckets.join(known, keys).select(*keys, "state", "solution")
+    else:
+        met = buckets.select("state").withColumn("solution", known.select("solution").scalar())
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                head = [batch.column(c)[i].as_py() for c in range(n)]
+                state = State.unpacked(batch.column(n)[i].as_py())
+                rows = batch.column(n + 1)[i].as_py()
+                beta = np.zeros(len(terms))
+                for r in rows:
+                    if r["kind"] == COEF:
+                        beta[terms.index(r["term"])] = r["estimate"]
+                own: dict[tuple[int, str], list[float]] = {(int(r["term"]), r["level"]): r["vec"] for r in rows if r["kind"] == LEVEL}
+                names = [[] if f == wide else list(state.levels[f]) for f in range(state.m)]
+                starts = np.cumsum([0, *(len(x) for x in names)])
+                table = np.array([own[f, x] for f, listed in enumerate(names) for x in listed]).reshape(-1, state.p)
+                big, weights, sums, joint = wide_block(state, 0, wide, lambda f, codes: starts[f] + codes, int(starts[-1]))
+                yield _rows_out(head, level_rows(wide, big, (sums - joint @ table) / weights[:, None], beta), arrow)
+
+    return solution.unionByName(met.mapInArrow(effects, schema))
 
 
 def tidy(solution: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -296,151 +529,90 @@ def fe_ols(
     weight: str | Column | None = None,
     keys: Sequence[str] = (),
     max_levels: int = MAX_LEVELS,
+    rest_levels: int = REST_LEVELS,
+    max_pairs: int = MAX_PAIRS,
 ) -> DataFrame:
     """Fit one model per key; returns the solution rows (see ``tidy``)."""
     d = design(df, y, terms, factors, weight, keys)
-    return fitted(d, max_levels)
-
+    return fitted(d, max_levels, rest_levels, max_pairs)
 
-def fitted(d: Design, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Solution rows of a design: a dense system, or demeaned rows if it has too many levels."""
-    if d.factors and count_levels(d) > max_levels:
-        return _demeaned_fit(d)
-    return solve(d, normal_sums(d))
 
+def fitted(
+    d: Design, max_levels: int = MAX_LEVELS, rest_levels: int = REST_LEVELS, max_pairs: int = MAX_PAIRS
+) -> DataFrame:
+    """Solution rows of a design, by the way that its number of levels asks for."""
+    return solution_of(d, shape_of(d, max_levels, rest_levels, max_pairs))
 
-def _demeaned_fit(d: Design) -> DataFrame:
-    """The solution from demeaned rows, with the figures and level effects of the dense one."""
-    keys, k = list(d.keys), len(d.terms)
-    flat, effects = _settled(d, 1e-8, 500)
-    solution = cut_lineage(solve(flat, normal_sums(flat))).filter(F.col("kind") != LEVEL)
 
-    def pick(kind: str, term: str) -> Column:
-        return F.max(F.when((F.col("kind") == kind) & (F.col("term") == term), F.col("estimate")))
+def solution_of(
+    d: Design, shape: Shape, extra: dict[str, Column] | None = None, z: str = "y", w: str = "w"
+) -> DataFrame:
+    """Solution rows of a design in a given way."""
+    if shape.tables:
+        from moodgrid.plans.sparse import iterated
 
-    found = solution.groupBy(*keys).agg(
-        *(pick(FIT, c).alias(f"__{c}") for c in ("n", "rss", "n_terms", "df_resid")),
-        *(F.coalesce(pick(COEF, t), F.lit(0.0)).alias(f"__b{j}") for j, t in enumerate(d.terms)),
-    )
-    wy = F.col("w") * F.col("y")
-    spread = d.rows.groupBy(*keys).agg((F.sum(wy * F.col("y")) - F.sum(wy) ** 2 / F.sum("w")).alias("__sst"))
-
-    def attached(rows: DataFrame, table: DataFrame) -> DataFrame:
-        if keys:
-            return rows.join(table, keys)
-        return rows.withColumn("__one", table.select(F.struct(*table.columns).alias("s")).scalar()).select("*", "__one.*").drop("__one")
-
-    facts = cut_lineage(attached(attached(found, absorbed_rank(d)), spread))
-    free = F.greatest(F.col("__n") - F.col("__rank") - F.col("__n_terms"), F.lit(1.0))
-    term = F.col("term")
-    value = (
-        F.when(F.col("kind") != FIT, F.col("estimate"))
-        .when(term == "absorbed", F.col("__rank"))
-        .when(term == "df_resid", free)
-        .when(term == "sigma2", F.col("__rss") / free)
-        .when(term == "sst", F.col("__sst"))
-        .otherwise(F.col("estimate"))
-    )
-    out = attached(solution, facts).withColumns(
-        {"estimate": value, "std_error": F.col("std_error") * F.sqrt(F.col("__df_resid") / free)}
-    )
-    out = out.select(*solution.columns)
-    for i, table in enumerate(effects):
-        own = F.col("y") - sum((F.col(f"__b{j}") * F.col(f"x{j}") for j in range(k)), F.lit(0.0))
-        out = out.unionByName(
-            attached(table, facts).select(
-                *keys,
-                F.lit(LEVEL).alias("kind"),
-                F.lit(str(i)).alias("term"),
-                F.col(f"f{i}").alias("level"),
-                own.alias("estimate"),
-                F.lit(None).cast("double").alias("std_error"),
-                F.array("y", *(f"x{j}" for j in range(k))).alias("vec"),
-            )
-        )
-    return out
+        return iterated(d, extra, z, w)
+    return solve(d, normal_sums(d, extra, z, w, shape), shape)
 
 
-def absorbed_rank(d: Design) -> DataFrame:
-    """Per key the number of independent level effects as ``__rank``.
+def bootstrap_ols(
+    df: DataFrame,
+    y: str | Column,
+    terms: dict[str, Column],
+    factors: Sequence[str],
+    ids: Sequence[str],
+    replicates: int = 80,
+    seed: int = 1,
+    first: int = 1,
+) -> DataFrame:
+    """replicate, term, estimate of ``fe_ols`` on resampled rows.
 
-    A factor whose levels are unions of another one's levels adds nothing; each
-    further factor shares the constant with the first. Exact for nested factors
-    and for factors whose levels are connected; other redundancies are not looked for.
+    The rows are read once. They meet by levels of the widest factor, spread where one
+    is hot, so that few pairs of levels occur in two tasks; a task draws the weights of
+    all replicates for a batch of rows at once. ``GROUP`` replicates travel together.
     """
-    keys, m = list(d.keys), len(d.factors)
-    f = [f"f{i}" for i in range(m)]
-    sets = {(i,): 0 for i in range(m)} | {(i, j): 0 for i in range(m) for j in range(i + 1, m)}
-    for chosen in sets:
-        sets[chosen] = (1 << m) - 1 - sum(1 << (m - 1 - i) for i in chosen)
-    groups = d.rows.groupingSets([[*keys, *(f[i] for i in c)] for c in sets], *keys, *f).agg(F.grouping_id().alias("g"))
-    n = {c: F.count_if(F.col("g") == bits).alias("n_" + "_".join(map(str, c))) for c, bits in sets.items()}
-    counts = groups.groupBy(*keys).agg(*n.values())
-    size = [F.col(f"n_{i}") for i in range(m)]
-
-    def adds(j: int) -> Column:
-        inside = F.lit(False)
-        for i in (i for i in range(m) if i != j):
-            nested = F.col(f"n_{min(i, j)}_{max(i, j)}") == size[i]
-            inside = inside | (nested & ((size[j] < size[i]) if i > j else (size[j] <= size[i])))
-        return ~inside
-
-    rank = sum((F.when(adds(j), size[j] - 1).otherwise(F.lit(0)) for j in range(m)), F.lit(1))
-    return counts.select(*keys, rank.cast("double").alias("__rank"))
-
-
-def demeaned(d: Design, tolerance: float = 1e-8, max_rounds: int = 500) -> Design:
-    """The design with factor means removed; see ``fitted`` for the figures of the whole model."""
-    return _settled(d, tolerance, max_rounds)[0]
-
-
-def _settled(d: Design, tolerance: float, max_rounds: int) -> tuple[Design, list[DataFrame]]:
-    """Rows and level effects (of y and every term) by alternating projections.
-
-    For factors with more levels than a dense system takes. The rows are never
-    rewritten: every step subtracts the level effects found so far, takes the
-    means of what is left by one factor and adds them to that factor's effects.
-    Only the effect tables are checkpointed; they meet the rows by joins that
-    check their size.
-    """
-    keys, m = list(d.keys), len(d.factors)
+    one, two = seeds(ids, seed)
+    d = design(df.withColumns({"__one": one, "__two": two}), y, terms, factors, keep=("__one", "__two"))
+    counts = level_counts(d)
+    shape = Shape()
+    if sum(counts) > MAX_LEVELS:
+        raise ValueError("replicates of so many levels: use fe_ols with a replicate key")
+    wide = max(range(len(counts)), key=counts.__getitem__)
+    rows = d.rows.hint("rebalance", f"f{wide}")
+    plan = Plan(
+        (), ("y", *(f"x{i}" for i in range(len(d.terms)))), tuple(f"f{i}" for i in range(len(d.factors))), "w",
+        draw=partial(draws, first=first, replicates=replicates), seeds=("__one", "__two"), replicates=replicates, group=GROUP,
+    )
+    names = d.terms
+    schema = "replicate int, term string, estimate double"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                group, state = batch.column(0)[i].as_py(), State.unpacked(batch.column(2)[i].as_py())
+                for g in range(state.g):
+                    number = first + group * GROUP + g
+                    found = [(number, r[1], r[3]) for r in solve_state(state, g, names, errors=False)]
+                    yield _rows_out([], found, arrow)
+
+    return states(rows, plan).mapInArrow(run, schema)
+
+
+def demeaned(d: Design, max_levels: int = MAX_LEVELS, rest_levels: int = REST_LEVELS) -> Design:
+    """The design with all level effects taken out of y and the terms; the rows are read twice."""
+    keys = list(d.keys)
+    solution = cut_lineage(fitted(d, max_levels, rest_levels))
+    rows = d.rows
+    for i in range(len(d.factors)):
+        effects = solution.filter((F.col("kind") == LEVEL) & (F.col("term") == str(i))).select(
+            *keys, F.col("level").alias(f"f{i}"), F.col("vec").alias(f"e{i}")
+        )
+        rows = lookup_join(rows, effects, [*keys, f"f{i}"], "inner")
+    gone = lambda j: sum((F.col(f"e{i}")[j] for i in range(len(d.factors))), F.lit(0.0))
     values = ["y", *(f"x{i}" for i in range(len(d.terms)))]
-    effects: list[DataFrame | None] = [None] * m
-    sizes: list[bool | None] = [None] * m
-
-    def cleaned() -> DataFrame:
-        rows = d.rows
-        for i in range(m):
-            if effects[i] is None:
-                continue
-            table = effects[i].select(*keys, f"f{i}", *(F.col(v).alias(f"m_{v}") for v in values))
-            rows = lookup_join(rows, table, [*keys, f"f{i}"], "inner", small=sizes[i])
-            rows = rows.withColumns({v: F.col(v) - F.col(f"m_{v}") for v in values}).drop(*(f"m_{v}" for v in values))
-        return rows
-
-    for _ in range(max_rounds):
-        largest = 0.0
-        for i in range(m):
-            level = [*keys, f"f{i}"]
-            means = cleaned().groupBy(*level).agg(
-                *((F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(v) for v in values)
-            )
-            step = means if effects[i] is None else (
-                effects[i].select(*level, *(F.col(v).alias(f"old_{v}") for v in values)).join(means, level, "inner")
-                .select(*level, *((F.col(v) + F.col(f"old_{v}")).alias(v) for v in values), F.greatest(*(F.abs(v) for v in values), F.lit(0.0)).alias("move"))
-            )
-            table = cut_lineage(step)
-            if effects[i] is not None:
-                largest = max(largest, table.agg(F.max("move")).first()[0] or 0.0)
-            else:
-                largest, sizes[i] = float("inf"), is_small(table)
-            effects[i] = table
-        if largest < tolerance:
-            break
-    else:
-        raise RuntimeError("the factor means did not settle")
-    flat = cleaned().drop(*(f"f{i}" for i in range(m))).withColumn("f0", F.lit("all"))
-    return Design(flat, d.keys, d.terms, ("(absorbed)",)), effects
+    flat = rows.select(*keys, "w", *((F.col(v) - gone(j)).alias(v) for j, v in enumerate(values)), F.lit("all").alias("f0"))
+    return Design(flat, d.keys, d.terms, ("(absorbed)",))
 
 
 def clustered(

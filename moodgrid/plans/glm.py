@@ -1,7 +1,8 @@
 """Poisson and logit models with absorbed factors, by reweighted least squares.
 
-One step is one ``normal_sums`` aggregation over the rows; the level effects
-return to the rows through size-checked lookups. Models that share a form
+One step folds the rows once and solves as least squares does, by whichever way the
+number of levels asks for; the level effects return to the rows through size-checked
+lookups. Models that share a form
 (replicates, regions, outcome-predictor pairs) run together as keys of one
 aggregation, each with its own convergence.
 """
@@ -19,12 +20,13 @@ from moodgrid.plans.estimation import (
     COEF,
     LEVEL,
     MAX_LEVELS,
+    REST_LEVELS,
     TOTALS,
     Design,
-    count_levels,
+    Shape,
     design,
-    normal_sums,
-    solve,
+    shape_of,
+    solution_of,
 )
 from moodgrid.session import cut_lineage
 
@@ -107,6 +109,8 @@ def fe_glm(
     tolerance: float = 1e-8,
     max_steps: int = 50,
     separated: bool = True,
+    max_levels: int = MAX_LEVELS,
+    rest_levels: int = REST_LEVELS,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit one model per key; returns (coefficients, fit figures).
 
@@ -117,11 +121,10 @@ def fe_glm(
     if family not in ("poisson", "binomial"):
         raise ValueError("family is poisson or binomial")
     d = design(df, y, terms, factors, weight, keys)
-    if factors and count_levels(d) > MAX_LEVELS:
-        raise ValueError("too many factor levels; put the widest factor into the keys or bin it")
     if separated and factors:
         d = drop_separated(d, family)
     d = Design(d.rows.persist(), d.keys, d.terms, d.factors)
+    shape = shape_of(d, max_levels, rest_levels) if factors else Shape()
     keys, k = list(keys), len(d.terms)
 
     # Halfway between each value and the overall mean, away from the borders.
@@ -136,10 +139,9 @@ def fe_glm(
             if steps == max_steps or halvings > MAX_HALVINGS:
                 raise RuntimeError(f"the {family} model did not settle in {steps} steps")
             step = Design(_working(family, rows), d.keys, d.terms, d.factors)
-            sums = normal_sums(step, {"dev": F.col("dev"), "ll": F.col("ll")}, z="z", w="v")
-            # A step's solution is small (terms and levels per key) and is
-            # needed by every later step, so it is written out once.
-            following = cut_lineage(solve(step, sums, n_extra=2))
+            # A step's solution (terms and levels per key) is needed by every
+            # later step, so it is written out once.
+            following = cut_lineage(solution_of(step, shape, {"dev": F.col("dev"), "ll": F.col("ll")}, z="z", w="v"))
             deviance = {
                 tuple(r[c] for c in keys): r["estimate"]
                 for r in following.filter((F.col("kind") == TOTALS) & (F.col("term") == "0")).collect()

@@ -13,7 +13,7 @@ from moodgrid.functions.clock import tod_continuous
 from moodgrid.operators.aggregates import quantile_bins
 from moodgrid.functions.recode import majority_class
 from moodgrid.operators.sampling import with_replicates
-from moodgrid.plans.estimation import fe_ols, figures, tidy
+from moodgrid.plans.estimation import bootstrap_ols, fe_ols, figures, tidy
 from moodgrid.plans.glm import fe_glm
 
 # The absorbed factors, race classes and income thirds.
@@ -117,9 +117,11 @@ def bootstrap_fit(
 ) -> DataFrame:
     """replicate, term, estimate. ``first`` restarts an interrupted series.
 
-    All replicates ride one aggregation: the replicate number is a grouping
-    key, its draw count a weight.
+    Gaussian replicates are columns of one weight matrix in a single pass over the
+    rows. For other families the replicate number is a key of the model.
     """
+    if form.family == "gaussian":
+        return bootstrap_ols(rows, outcome, form.terms, form.absorb, ids, replicates, seed, first)
     drawn = with_replicates(rows, ids, replicates, seed, first)
     return fit(drawn, outcome, form, ["replicate"], "weight").select("replicate", "term", "estimate")
 
