@@ -133,6 +133,49 @@ def crime_county_day(nibrs: DataFrame, cod: DataFrame, population: DataFrame) ->
     return both.filter(F.col("date").isNotNull()).join(people, ["year", "fips"], "left")
 
 
+def _own_hour(nibrs: DataFrame) -> Column:
+    """Incidents whose hour is known and their own: of some only the date of the report was recorded."""
+    return F.col("hour").isNotNull() & F.col("report_date_flag").isNull()
+
+
+def crime_county_hour(nibrs: DataFrame) -> DataFrame:
+    """Counts per county, date and hour; rows dated by their report are set apart (``crime_without_hour``)."""
+    rows = nibrs.filter(F.col("fips").isNotNull() & _own_hour(nibrs)).withColumn("fips", clock.pad_fips(F.col("fips")))
+    return count_if_by(
+        rows, ["fips", "date", "hour"],
+        violent_counts(F.col("offense_category_name"), VIOLENT_NIBRS, "Homicide Offenses", "Assault Offenses", ""),
+    )
+
+
+def crime_without_hour(nibrs: DataFrame) -> DataFrame:
+    """Incidents per county and day that no hour can be given."""
+    rows = nibrs.filter(F.col("fips").isNotNull() & ~_own_hour(nibrs)).withColumn("fips", clock.pad_fips(F.col("fips")))
+    return rows.groupBy("fips", "date").agg(F.count(F.lit(1)).alias("reported"))
+
+
+def hourly_crime_rows(hours: DataFrame, mood: DataFrame, population: DataFrame) -> DataFrame:
+    """Hours with a count and with mood, the year's population, and the factors of the models."""
+    joined = hours.join(mood, ["fips", "date", "hour"]).withColumn("year", F.substring("date", 1, 4).cast("int"))
+    joined = joined.join(population, ["year", "fips"], "left")
+    at = F.to_date("date")
+    return joined.withColumns(
+        {
+            "dow": F.dayofweek(at),
+            "doy": F.substring("date", 6, 5),
+            "statemonth": F.concat_ws("-", F.substring("fips", 1, 2), F.substring("date", 6, 2)),
+            "millions": F.col("population") / 1e6,
+        }
+    )
+
+
+def hourly_crime_models(rows: DataFrame) -> DataFrame:
+    """Poisson models of the hourly counts on the mood of the same county and hour."""
+    return model_grid(
+        rows, ("violent", "assault", "homicides"), ("vader", "afinn", "hedono"), {"population": F.col("millions")},
+        ["hour", "dow", "doy", "year", "statemonth"],
+    )
+
+
 def crime_models(county_day: DataFrame, mood: DataFrame, keys: Sequence[str], min_posts: int, absorb: Sequence[str]) -> DataFrame:
     """Poisson models of three crime counts on three mood scores.
 
@@ -166,15 +209,18 @@ def death_rate_line(deaths: DataFrame, mood: DataFrame) -> DataFrame:
     )
 
 
-def death_count_models(deaths: DataFrame, mood: DataFrame, predictors: Sequence[str] = SCORES) -> DataFrame:
+DEATH_FACTORS = ("dow", "year", "state", "month", "statemonth")
+
+
+def death_count_models(
+    deaths: DataFrame, mood: DataFrame, outcome: str = "deaths", predictors: Sequence[str] = SCORES, absorb: Sequence[str] = DEATH_FACTORS
+) -> DataFrame:
     """Poisson models of death counts; county-months without a record count 0."""
     m = mood.join(deaths, ["fips", "month", "year"], "left").withColumns(
-        {"deaths": F.coalesce("deaths", F.lit(0)), "state": F.substring("fips", 1, 2)}
+        {outcome: F.coalesce(outcome, F.lit(0)), "state": F.substring("fips", 1, 2)}
     )
     m = m.filter(F.col("population") > 0).withColumn("statemonth", F.concat_ws("_", "state", "month"))
-    return model_grid(
-        m, ["deaths"], predictors, {"log_population": F.log("population")}, ["dow", "year", "state", "month", "statemonth"]
-    )
+    return model_grid(m, [outcome], predictors, {"log_population": F.log("population")}, absorb)
 
 
 def survey_link(

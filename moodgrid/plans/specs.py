@@ -85,9 +85,9 @@ def spec(name: str, race: str = "race_white", classes: Sequence[str] = RACES) ->
     raise ValueError(f"no form called {name}")
 
 
-def linear_spec(by: str | None = None) -> Spec:
-    """wbgt + raining + srad, each also times ``by``; used per region."""
-    weather = {**_one("wbgt"), **_one("raining"), **_one("srad")}
+def linear_spec(by: str | None = None, x: str = "wbgt") -> Spec:
+    """x + raining + srad, each also times ``by``; used per region."""
+    weather = {**_one(x), **_one("raining"), **_one("srad")}
     terms = weather if by is None else {**weather, **_one(by), **product(weather, _one(by))}
     return Spec(f"linear_{by or 'plain'}", terms, ABSORBED_BY_GROUP)
 

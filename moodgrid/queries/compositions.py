@@ -230,25 +230,41 @@ def dated(df):
 @query("Q9_crime_models_day")
 def _(t):
     county_day = t.stored(dated(outcomes.crime_county_day(t.nibrs, t.cod, t.population)), "county_day")
-    out = outcomes.crime_models(county_day, state_mood(t), ["state", "date"], 1, ["dow", "month", "year", "state"])
-    return rounded(out.select("outcome", "predictor", "statistic", "aic"), 4)
+    out = outcomes.crime_models(county_day, state_mood(t), ["state", "date"], 1, ["dow", "doy", "year", "month", "state"])
+    return rounded(out.select("outcome", "predictor", "statistic", "aic"), 3)
+
+
+@query(
+    "Q9_crime_county_hour",
+    """SELECT lpad(cast(fips AS string), 5, '0') AS fips, date, hour, count(*) FILTER (offense_category_name = 'Homicide Offenses') AS homicides,
+              count(*) FILTER (offense_category_name = 'Assault Offenses') AS assault,
+              count(*) FILTER (offense_category_name IN ('Homicide Offenses', 'Animal Cruelty', 'Arson', 'Assault Offenses',
+                'Burglary/Breaking & Entering', 'Destruction/Damage/Vandalism of Property', 'Kidnapping/Abduction', 'Robbery')) AS violent
+       FROM nibrs WHERE fips IS NOT NULL AND hour IS NOT NULL AND report_date_flag IS NULL GROUP BY 1, 2, 3""",
+    ("nibrs",),
+)
+def _(t):
+    return outcomes.crime_county_hour(t.nibrs)
+
+
+@query(
+    "Q9_crime_undated",
+    """SELECT lpad(cast(fips AS string), 5, '0') AS fips, date, count(*) AS reported FROM nibrs
+       WHERE fips IS NOT NULL AND (hour IS NULL OR report_date_flag IS NOT NULL) GROUP BY 1, 2""",
+    ("nibrs",),
+)
+def _(t):
+    return outcomes.crime_without_hour(t.nibrs)
 
 
 @query("Q9_crime_models_hour")
 def _(t):
-    at = F.substring("tod", 1, 2).cast("int").alias("hour")
-    mood = t.panel.groupBy("state", "dow", at).agg(
-        *(F.avg(c).alias(c) for c in outcomes.SCORES),
-        F.sum("depress_term").alias("homicides"),
-        F.sum("weather_term").alias("assault"),
-        F.sum(F.col("depress_term") + F.col("weather_term")).alias("violent"),
-    )
-    people = t.population.groupBy(F.substring("fips", 1, 2).alias("state")).agg((F.sum("population") / 1e6).alias("population"))
-    rows = t.stored(mood.join(people, ["state"], "inner"), "state_hour")
-    fits = specs.model_grid(
-        rows, ("violent", "assault", "homicides"), outcomes.SCORES, {"population": F.col("population")}, ["hour", "dow", "state"]
-    )
-    return rounded(fits.select("outcome", "predictor", "statistic"), 4)
+    hour = F.split("tod", ":")[0].cast("int").alias("hour")
+    day = F.date_format("date", "yyyy-MM-dd").alias("date")
+    mood = t.panel.groupBy("fips", day, hour).agg(*(F.avg(c).alias(c) for c in outcomes.SCORES))
+    rows = t.stored(outcomes.hourly_crime_rows(outcomes.crime_county_hour(t.nibrs), mood, t.population), "county_hour")
+    fits = outcomes.hourly_crime_models(rows)
+    return rounded(fits.select("outcome", "predictor", "statistic"), 3)
 
 
 @query(
@@ -279,7 +295,12 @@ def _(t):
 def _(t):
     mood = outcomes.county_month_mood(t.panel).join(t.population, ["fips", "year"], "inner")
     rows = t.stored(mood, "mood")
-    return rounded(outcomes.death_count_models(t.deaths, rows).select("outcome", "predictor", "estimate", "statistic"), 4)
+    # The second outcome's first model also absorbs the counties.
+    absorb = outcomes.DEATH_FACTORS
+    fits = outcomes.death_count_models(t.deaths, rows).withColumn("factors", F.lit("state"))
+    fits = fits.unionByName(outcomes.death_count_models(t.deaths, rows, "mort", ["hedono", "afinn"]).withColumn("factors", F.lit("state")))
+    county = outcomes.death_count_models(t.deaths, rows, "mort", ["vader"], ["fips", *absorb]).withColumn("factors", F.lit("county"))
+    return rounded(fits.unionByName(county).select("outcome", "predictor", "factors", "estimate", "statistic"), 3)
 
 
 @query(
@@ -306,15 +327,15 @@ def _(t):
 @query("Q12_effect_comparison")
 def _(t):
     rows = t.stored(specs.analysis_rows(t.panel))
-    form = specs.Spec("plain", specs.spec("plain").terms, ("dow", "state", "year", "month"))
-    coefs = specs.bootstrap_fit(rows, "vader", form, ["id"], replicates=10)
-    grid = rows.filter(F.floor("wbgt").isin(5, 25)).select(F.floor("wbgt").cast("double").alias("wbgt")).distinct()
+    form = specs.spec("plain")
+    coefs = specs.bootstrap_fit(rows, "vader", form, ["id"], replicates=80)
+    grid = t.spark.range(5, 26, 20).select(F.col("id").cast("double").alias("wbgt"))
     heat = predict_curve(coefs, grid, piecewise("wbgt"), ["wbgt"]).groupBy("replicate").agg(
         (F.max(F.when(F.col("wbgt") == 25, F.col("value"))) - F.max(F.when(F.col("wbgt") == 5, F.col("value")))).alias("v")
     )
     ends = heat.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
     bands = ends.select(F.lit("heat").alias("label"), F.col("p")[0].alias("low"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("high"))
-    return rounded(outcomes.effect_comparison(rows, ["id"], EVENT_REGIONS, "1998-06-15", 60, 50, bands))
+    return rounded(outcomes.effect_comparison(rows, ["id"], EVENT_REGIONS, "1998-06-15", 60, 100, bands))
 
 
 @query(

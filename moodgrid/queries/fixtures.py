@@ -163,7 +163,8 @@ def _lexicon(d: Dialect) -> str:
 def _deaths(d: Dialect) -> str:
     return """
     SELECT fips, year, substring(statemonth, 4, 2) AS month,
-           CASE WHEN sum(depress_term) % 5 = 4 THEN NULL ELSE cast(sum(depress_term) AS bigint) END AS deaths
+           CASE WHEN sum(depress_term) % 5 = 4 THEN NULL ELSE cast(sum(depress_term) AS bigint) END AS deaths,
+           cast(sum(depress_term + weather_term) AS bigint) AS mort
     FROM {panel} GROUP BY fips, year, substring(statemonth, 4, 2)"""
 
 
@@ -185,6 +186,8 @@ def _nibrs(d: Dialect) -> str:
     return f"""
     SELECT CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE fips_no END AS fips,
            {d.fmt('l_shipdate', 'yyyy-MM-dd', '%Y-%m-%d')} AS date, l_orderkey,
+           CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE cast(hour(shipped) AS int) END AS hour,
+           CASE WHEN l_returnflag = 'R' THEN 'R' END AS report_date_flag,
            CASE l_partkey % 6 WHEN 0 THEN 'Homicide Offenses' WHEN 1 THEN 'Assault Offenses' WHEN 2 THEN 'Arson'
                 WHEN 3 THEN 'Fraud Offenses' WHEN 4 THEN 'Robbery' ELSE 'Bribery' END AS offense_category_name
     FROM {{ships}}"""

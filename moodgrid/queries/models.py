@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from moodgrid.functions import basis
@@ -13,6 +15,10 @@ from moodgrid.plans.penalised import elastic_net_predict
 from moodgrid.queries.registry import query, r, rounded
 
 
+# Replicates of the published bands.
+REPLICATES = 80
+
+
 def col(name):
     return {name: F.col(name)}
 
@@ -80,22 +86,51 @@ def _(t):
 def _(t):
     rows = specs.analysis_rows(t.stored(t.panel))
     form = specs.spec("plain")
-    coefs, _ = fe_glm(rows, "depress_term", form.terms, ("dow", "state", "year", "month"), "binomial")
-    return rounded(coefs, 7)
+    coefs, _ = fe_glm(rows, "depress_term", form.terms, form.absorb, "binomial")
+    return rounded(coefs, 6)
 
 
 @query("E3_bootstrap_fit")
 def _(t):
     rows = specs.analysis_rows(t.stored(t.panel))
-    form = specs.Spec("small", {**col("wbgt"), **col("raining"), **col("srad")}, ("dow", "state", "year", "month"))
-    return rounded(specs.bootstrap_fit(rows, "vader", form, ["id"], replicates=20), 9)
+    return rounded(specs.bootstrap_fit(rows, "vader", specs.spec("plain"), ["id"], REPLICATES), 9)
+
+
+def drawn_sql(ids: str, seed: int, first: int, last: int) -> str:
+    """``draw`` with r (replicate) and k (count) for every row of ``panel``: the mixing of two md5 seeds, and Poisson(1)."""
+    edges, mass, total, when = [], math.exp(-1), 0.0, ""
+    for n in range(16):
+        total += mass
+        edges.append(total)
+        mass /= n + 1
+    when = " ".join(f"WHEN u < {e!r}::DOUBLE THEN {n}" for n, e in enumerate(edges))
+    digits = lambda at: f"('0x' || substr(md5(concat_ws('|', {ids}, '{seed}')), {at}, 8))::BIGINT"
+    return f"""seeded AS (SELECT *, {digits(1)} AS s1, {digits(9)} AS s2 FROM panel),
+      m1 AS (SELECT p.*, r, xor((s1 + r * 1640531527) % 4294967296, s2) AS x FROM seeded p, range({first}, {last + 1}) t(r)),
+      m2 AS (SELECT *, (xor(x, x >> 16) * 2146121005) % 4294967296 AS x2 FROM m1),
+      m3 AS (SELECT *, (xor(x2, x2 >> 15) * 1994318123) % 4294967296 AS x3 FROM m2),
+      m4 AS (SELECT *, xor(x3, x3 >> 16) / 4294967296.0::DOUBLE AS u FROM m3),
+      draw AS (SELECT *, CASE {when} ELSE 16 END AS k FROM m4)"""
+
+
+@query(
+    "E3_bootstrap_one_factor",
+    f"""WITH {drawn_sql("id", 1, 1, 8)},
+        d AS (SELECT r, k, vader - sum(k * vader) OVER g / sum(k) OVER g AS y, wbgt - sum(k * wbgt) OVER g / sum(k) OVER g AS a
+              FROM draw WHERE k > 0 WINDOW g AS (PARTITION BY r, fips))
+        SELECT r::INT AS replicate, 'wbgt' AS term, {r('sum(k * a * y) / sum(k * a * a)', 9)} AS estimate FROM d GROUP BY r""",
+    ("panel",),
+)
+def _(t):
+    form = specs.Spec("one", col("wbgt"), ("fips",))
+    return rounded(specs.bootstrap_fit(t.stored(t.panel), "vader", form, ["id"], 8), 9)
 
 
 @query("E3_bootstrap_poisson")
 def _(t):
     from moodgrid.operators.sampling import with_replicates
 
-    drawn = with_replicates(t.stored(t.panel), ["id"], 4)
+    drawn = with_replicates(t.stored(t.panel), ["id"], 20)
     coefs, _ = fe_glm(drawn, "depress_term", col("wbgt"), ["state", "year"], "poisson", "weight", ["replicate"])
     return rounded(coefs.select("replicate", "term", "estimate"), 7)
 
@@ -151,7 +186,6 @@ def _(t):
 def _(t):
     rows = specs.analysis_rows(t.stored(t.panel))
     forms = [specs.spec(n, "race_black") for n in ("plain", "income", "race", "income_race")]
-    forms = [specs.Spec(f.name, f.terms, ("dow", "state", "year", "month")) for f in forms]
     return rounded(specs.compare(rows, "vader", forms).select("form", "n_terms", "aic"), 4)
 
 
@@ -277,7 +311,8 @@ def _(t):
 
 @query("E13_model_grid")
 def _(t):
-    counts = t.panel.groupBy("state", "dow", "year").agg(
+    month = F.substring("statemonth", 4, 2).alias("month")
+    counts = t.panel.groupBy("state", "dow", "doy", "year", month).agg(
         F.sum("depress_term").alias("homicides"),
         F.sum("weather_term").alias("assault"),
         F.sum(F.col("depress_term") + F.col("weather_term")).alias("violent"),
@@ -285,12 +320,13 @@ def _(t):
         F.count("*").alias("n"),
     )
     fits = specs.model_grid(
-        counts, ["violent", "assault", "homicides"], ["vader", "afinn", "hedono"], {"log_n": F.log("n")}, ["state", "dow", "year"]
+        t.stored(counts, "counts"), ["violent", "assault", "homicides"], ["vader", "afinn", "hedono"], {"log_n": F.log("n")},
+        ["dow", "doy", "year", "month", "state"], "n",
     )
-    return rounded(fits.select("outcome", "predictor", "estimate", "statistic", "aic"), 5)
+    return rounded(fits.select("outcome", "predictor", "estimate", "statistic", "aic"), 4)
 
 
-def form_query(name: str, outcome: str, race: str = "race_white"):
+def form_query(name: str, outcome: str, race: str):
     """One fit of a named form with all six absorbed factors."""
 
     @query(f"form_{name}_{outcome}")
@@ -300,47 +336,144 @@ def form_query(name: str, outcome: str, race: str = "race_white"):
         return rounded(specs.fit(rows, outcome, form).select("term", "estimate", "std_error"), 8)
 
 
+WHITE, BLACK = "race_white", "race_black"
 for _name, _outcome, _race in (
-    ("plain", "hedono", "race_white"),
-    ("plain", "afinn", "race_white"),
-    ("income", "vader", "race_white"),
-    ("income_q", "vader", "race_white"),
-    ("race_q", "vader", "race_white"),
-    ("race", "vader", "race_white"),
-    ("income_race", "vader", "race_black"),
-    ("income_race", "hedono", "race_white"),
-    ("time_of_day", "vader", "race_white"),
+    ("plain", "hedono", WHITE),
+    ("plain", "afinn", WHITE),
+    ("income", "vader", WHITE),
+    ("income", "hedono", WHITE),
+    ("income", "afinn", WHITE),
+    ("income_q", "vader", WHITE),
+    ("income_q", "hedono", WHITE),
+    ("race_q", "vader", WHITE),
+    ("race_q", "hedono", WHITE),
+    ("race_q", "afinn", WHITE),
+    ("race", "vader", WHITE),
+    ("race", "hedono", WHITE),
+    ("income_race", "vader", BLACK),
+    ("income_race", "hedono", WHITE),
+    ("income_race_q", "vader", WHITE),
+    ("income_race_q", "hedono", WHITE),
+    ("time_of_day", "vader", WHITE),
 ):
     form_query(_name, _outcome, _race)
 
 
-@query("form_depress_race_q")
-def _(t):
-    rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), "race_q")
-    form = specs.spec("race_q")
-    coefs, _ = fe_glm(rows, "depress_term", form.terms, ("dow", "year", "month"), "binomial")
-    return rounded(coefs.select("term", "estimate"), 6)
+def depress_query(name: str):
+    """Logit of the depressive flag with the terms of a form and all six factors."""
 
+    @query(f"form_depress_{name}")
+    def _(t):
+        rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), name)
+        form = specs.spec(name)
+        coefs, _ = fe_glm(rows, "depress_term", form.terms, form.absorb, "binomial")
+        return rounded(coefs.select("term", "estimate"), 5)
 
-@query("form_linear_by_state")
-def _(t):
-    rows = specs.analysis_rows(t.stored(t.panel)).filter("wbgt > 5")
+
+for _name in ("plain", "income", "race_q"):
+    depress_query(_name)
+
+
+def linear_forms(rows, key, absorb, x="wbgt"):
+    """The four linear forms for each value of a key."""
     out = None
     for by in (None, "income", "race_white", "race_black"):
-        form = specs.linear_spec(by)
-        one = specs.fit(rows, "vader", specs.Spec(form.name, form.terms, ("dow", "year", "month")), ["state"])
-        one = one.withColumn("form", F.lit(form.name))
+        form = specs.linear_spec(by, x)
+        one = specs.fit(rows, "vader", specs.Spec(form.name, form.terms, absorb), [key]).withColumn("form", F.lit(form.name))
         out = one if out is None else out.unionByName(one)
-    return rounded(out.select("form", "state", "term", "estimate", "std_error"), 8)
+    return rounded(out.select("form", key, "term", "estimate", "std_error"), 8)
 
 
-@query("curve_plain_bootstrap")
+@query("form_linear_by_state")
 def _(t):
-    rows = specs.analysis_rows(t.stored(t.panel))
-    form = specs.spec("plain")
-    small = specs.Spec("plain", form.terms, ("dow", "state", "year", "month"))
-    coefs = specs.bootstrap_fit(rows, "vader", small, ["id"], replicates=10)
-    grid = t.panel.select(F.floor("wbgt").cast("double").alias("wbgt")).distinct()
-    pred = curves.predict_curve(coefs, grid, basis.piecewise("wbgt"), ["wbgt"])
-    return rounded(curves.shifted_band(pred, "wbgt", 5.0), 7)
+    rows = specs.analysis_rows(t.stored(t.panel)).filter("wbgt > 5")
+    return linear_forms(rows, "state", specs.ABSORBED_BY_GROUP)
+
+
+@query("form_linear_temp_by_state")
+def _(t):
+    rows = specs.analysis_rows(t.stored(t.panel)).filter("temp > 5")
+    return linear_forms(rows, "state", specs.ABSORBED_BY_GROUP, "temp")
+
+
+@query("form_linear_by_region")
+def _(t):
+    # City regions: counties by the last digit of their number.
+    rows = specs.analysis_rows(t.stored(t.panel)).filter("wbgt > 5").withColumn("region", F.substring("fips", 5, 1))
+    return linear_forms(rows, "region", specs.ABSORBED_BY_GROUP)
+
+
+@query("form_linear_by_hour")
+def _(t):
+    rows = specs.analysis_rows(t.stored(t.panel)).filter("wbgt > 5").withColumn("hour", F.split("tod", ":")[0].cast("int"))
+    return linear_forms(rows, "hour", ("dow", "doy", "tod", "fips", "year", "statemonth"))
+
 
+# The grid of the published curves: temperatures, and the 5, 50 and 95 percent points of the shares.
+CURVE_WBGT = (-22, 33)
+CURVE_POINTS = (0.05, 0.5, 0.95)
+
+
+def curve_grid(rows, x, by, classes):
+    """Values of ``x`` at each combination of the ``by`` columns; other weather columns are zero."""
+    base = {"wbgt": F.lit(0.0), "raining": F.lit(0.0), "srad": F.lit(0.0)}
+    values = {
+        "wbgt": F.sequence(*(F.lit(v) for v in CURVE_WBGT)),
+        "raining": F.array(F.lit(0), F.lit(1)),
+        "srad": F.sequence(F.lit(0), F.lit(1000), F.lit(50)),
+        "tod": F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.concat(F.floor(i / 6).cast("string"), F.lit(":"), (i % 6).cast("string"))),
+    }
+    cuts = rows.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in CURVE_POINTS))).alias(c) for c in by if c not in classes), F.count("*").alias("n"))
+    grid = cuts.withColumns({c: F.explode(c) for c in by[:1] if c not in classes})
+    for c in by[1:]:
+        grid = grid.withColumn(c, F.explode(c))
+    for c, listed in classes.items():
+        grid = grid.withColumn(c, F.explode(F.array(*(F.lit(v) for v in listed))))
+    return grid.withColumns(base).withColumn(x, F.explode(values[x])).drop("n")
+
+
+def band_query(name, outcome, x="wbgt", at=5, race=WHITE):
+    """Bootstrap band of a form's curve: difference to ``x = at``, 2.5, 50 and 97.5 percent of the replicates."""
+    by = {"income": ["income"], "race": [race], "income_race": ["income", race]}.get(name, [])
+    classes = {"income_q": {"income_third": specs.THIRDS}, "race_q": {"race_majority": specs.RACES}}.get(name, {})
+    groups = [*by, *classes]
+
+    @query(f"curve_{name}_{outcome}" + ("" if x == "wbgt" else f"_{x}"))
+    def _(t):
+        rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), name)
+        form = specs.spec(name, race)
+        coefs = specs.bootstrap_fit(rows, outcome, form, ["id"], REPLICATES)
+        pred = curves.predict_curve(coefs, curve_grid(rows, x, by, classes), form.terms, [x, *groups])
+        return rounded(curves.shifted_band(pred, x, at, groups), 7)
+
+
+for _form, _outcome, _race in (
+    ("plain", "vader", WHITE),
+    ("plain", "hedono", WHITE),
+    ("plain", "afinn", WHITE),
+    ("income", "vader", WHITE),
+    ("income", "hedono", WHITE),
+    ("income", "afinn", WHITE),
+    ("income_q", "vader", WHITE),
+    ("income_q", "hedono", WHITE),
+    ("race_q", "vader", WHITE),
+    ("race_q", "hedono", WHITE),
+    ("race_q", "afinn", WHITE),
+    ("race", "vader", WHITE),
+    ("race", "hedono", WHITE),
+    ("income_race", "vader", BLACK),
+    ("income_race", "hedono", WHITE),
+):
+    band_query(_form, _outcome, race=_race)
+for _form in ("income", "race_q"):
+    band_query(_form, "vader", "raining", 0)
+    band_query(_form, "vader", "srad", 0)
+
+
+@query("curve_time_of_day_vader")
+def _(t):
+    rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), "time_of_day")
+    form = specs.spec("time_of_day")
+    coefs = specs.bootstrap_fit(rows, "vader", form, ["id"], REPLICATES)
+    grid = curve_grid(rows, "tod", [], {}).withColumn("wbgt", F.lit(1.0))
+    return rounded(curves.confidence_band(curves.predict_curve(coefs, grid, form.terms, ["tod"]), ["tod"]), 7)
