@@ -41,6 +41,8 @@ from moodgrid.llm.common import TASK_BYTES, parts_for, ranges, slices, spread, s
 from moodgrid.llm.tokens import give_back
 
 BLOCK_BYTES = 32 << 20
+# Text that is cut into pre-tokens at once: that takes some thirty times its bytes.
+PART_BYTES = 1 << 20
 LEVEL = 6
 # Pre-tokens of a block that are numbered by frequency.
 OFTEN = 4096
@@ -172,9 +174,9 @@ class Block:
         share = np.array([zlib.crc32(w) % shares for w in words], np.int64)
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         # Frequent pre-tokens get low numbers in order of frequency, the others numbers by share and bytes.
-        often, rare = order[:OFTEN], order[OFTEN:].tolist()
-        rare.sort(key=lambda i: (share[i], words[i]))
-        order = np.concatenate((often, np.array(rare, np.int64)))
+        often = order[:OFTEN]
+        rare = np.array(sorted(order[OFTEN:].tolist(), key=words.__getitem__), np.int64)
+        order = np.concatenate((often, rare[np.argsort(share[rare], kind="stable")]))
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words))
         keys = pa.concat_arrays(self.keys)
@@ -209,7 +211,7 @@ def _split(shares: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(), None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 number = part.column("row")[0].as_py() if number is None else number
                 block.add(part)
                 if block.size >= BLOCK_BYTES:
@@ -307,10 +309,12 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     lists = held.filter("share IS NOT NULL").select("block", "share", "listed")
     dealt = lists.repartition(shares, "share").sortWithinPartitions("share")
     known = dealt.mapInArrow(_encoded_lists(rank_file), "block bigint, share int, ids binary")
-    entries = known.groupBy("block").agg(F.collect_list(F.struct("share", "ids")).alias("entries"))
+    # A task places few blocks, since a batch holds all that a task was given.
+    tasks = 2 * shares
+    entries = known.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("share", "ids")).alias("entries"))
     blocks = held.filter("share IS NULL").select("block", "keys", "counts", "codes")
     empty = F.array().cast("array<struct<share: int, ids: binary>>")
-    full = blocks.join(entries, "block", "left").withColumn("entries", F.coalesce("entries", empty))
+    full = blocks.repartition(tasks, "block").join(entries, "block", "left").withColumn("entries", F.coalesce("entries", empty))
     result = f"key {kind}, ids array<int>"
     arrow = to_arrow_schema(_parse_datatype_string(result))
     return full.mapInArrow(_placed(arrow), result).withColumnRenamed("key", key)
