@@ -25,6 +25,7 @@ import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial
 
@@ -84,6 +85,22 @@ def design(
     return Design(rows, tuple(keys), tuple(terms), tuple(factors) or ("(intercept)",))
 
 
+@contextmanager
+def plain_plans(df: DataFrame) -> Iterator[None]:
+    """Inside, the optimizer does not derive constraints from every pair of a wide model's terms.
+
+    That takes it minutes and changes neither plan nor result. The session's own
+    setting is back afterwards; whatever is planned inside must also run inside.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 @dataclass(frozen=True)
 class Shape:
     """How a design is solved: the widest factor and its buckets (0: all in one task), or by gradients, or on tables."""
@@ -540,8 +557,12 @@ def fe_ols(
 def fitted(
     d: Design, max_levels: int = MAX_LEVELS, rest_levels: int = REST_LEVELS, max_pairs: int = MAX_PAIRS
 ) -> DataFrame:
-    """Solution rows of a design, by the way that its number of levels asks for."""
-    return solution_of(d, shape_of(d, max_levels, rest_levels, max_pairs))
+    """Solution rows of a design, by the way that its number of levels asks for.
+
+    They are written once, as most uses read them several times.
+    """
+    with plain_plans(d.rows):
+        return cut_lineage(solution_of(d, shape_of(d, max_levels, rest_levels, max_pairs)))
 
 
 def solution_of(
@@ -573,8 +594,8 @@ def bootstrap_ols(
     """
     one, two = seeds(ids, seed)
     d = design(df.withColumns({"__one": one, "__two": two}), y, terms, factors, keep=("__one", "__two"))
-    counts = level_counts(d)
-    shape = Shape()
+    with plain_plans(df):
+        counts = level_counts(d)
     if sum(counts) > MAX_LEVELS:
         raise ValueError("replicates of so many levels: use fe_ols with a replicate key")
     wide = max(range(len(counts)), key=counts.__getitem__)
@@ -596,13 +617,14 @@ def bootstrap_ols(
                     found = [(number, r[1], r[3]) for r in solve_state(state, g, names, errors=False)]
                     yield _rows_out([], found, arrow)
 
-    return states(rows, plan).mapInArrow(run, schema)
+    with plain_plans(df):
+        return cut_lineage(states(rows, plan).mapInArrow(run, schema))
 
 
 def demeaned(d: Design, max_levels: int = MAX_LEVELS, rest_levels: int = REST_LEVELS) -> Design:
     """The design with all level effects taken out of y and the terms; the rows are read twice."""
     keys = list(d.keys)
-    solution = cut_lineage(fitted(d, max_levels, rest_levels))
+    solution = fitted(d, max_levels, rest_levels)
     rows = d.rows
     for i in range(len(d.factors)):
         effects = solution.filter((F.col("kind") == LEVEL) & (F.col("term") == str(i))).select(
@@ -629,7 +651,7 @@ def clustered(
     solution provides, and folds the scores per cluster.
     """
     d = design(df, y, terms, factors, keep=[c for c in (cluster,) if c not in factors])
-    solution = cut_lineage(fitted(d, max_levels))
+    solution = fitted(d, max_levels)
     k = len(terms)
     coefs = {r["term"]: r for r in solution.filter(F.col("kind") == COEF).collect()}
     fit = figures(solution).first()

@@ -23,8 +23,8 @@ from moodgrid.plans.estimation import (
     REST_LEVELS,
     TOTALS,
     Design,
-    Shape,
     design,
+    plain_plans,
     shape_of,
     solution_of,
 )
@@ -120,12 +120,41 @@ def fe_glm(
     """
     if family not in ("poisson", "binomial"):
         raise ValueError("family is poisson or binomial")
-    d = design(df, y, terms, factors, weight, keys)
-    if separated and factors:
+    with plain_plans(df):
+        d = design(df, y, terms, factors, weight, keys)
+        solution = _settled_glm(d, bool(factors) and separated, family, tolerance, max_steps, max_levels, rest_levels)
+    coefs = solution.filter(F.col("kind") == COEF)
+    # Unit dispersion: the inverse information alone gives the errors.
+    position = F.array_position(F.array(*(F.lit(t) for t in d.terms)), F.col("term")).cast("int")
+    error = F.sqrt(F.element_at("vec", position))
+    tidy = coefs.select(
+        *keys, "term", "estimate", error.alias("std_error"), (F.col("estimate") / error).alias("statistic")
+    )
+    pick = lambda kind, term: F.max(F.when((F.col("kind") == kind) & (F.col("term") == term), F.col("estimate")))
+    figures = (
+        solution.groupBy(*keys)
+        .agg(
+            pick("fit", "n").alias("n"),
+            pick(TOTALS, "0").alias("deviance"),
+            pick(TOTALS, "1").alias("log_lik"),
+            (pick("fit", "absorbed") + pick("fit", "n_terms")).alias("parameters"),
+        )
+        .withColumn("aic", F.lit(-2.0) * F.col("log_lik") + F.lit(2.0) * F.col("parameters"))
+    )
+    return tidy, figures
+
+
+def _settled_glm(
+    d: Design, separated: bool, family: str, tolerance: float, max_steps: int, max_levels: int, rest_levels: int
+) -> DataFrame:
+    """The solution rows of the last step."""
+    # Kept before anything filters on it.
+    held = d.rows.persist()
+    d = Design(held, d.keys, d.terms, d.factors)
+    if separated:
         d = drop_separated(d, family)
-    d = Design(d.rows.persist(), d.keys, d.terms, d.factors)
-    shape = shape_of(d, max_levels, rest_levels) if factors else Shape()
-    keys, k = list(keys), len(d.terms)
+    shape = shape_of(d, max_levels, rest_levels)
+    keys, k = list(d.keys), len(d.terms)
 
     # Halfway between each value and the overall mean, away from the borders.
     centre = F.greatest(d.rows.agg(F.avg("y")).scalar(), F.lit(1e-6)) if family == "poisson" else F.lit(0.5)
@@ -165,26 +194,8 @@ def fe_glm(
                 small = is_small(solution.filter(F.col("kind") == LEVEL))
             rows = _predictor(d, solution, keys, k, small)
     finally:
-        d.rows.unpersist()
-    coefs = solution.filter(F.col("kind") == COEF)
-    # Unit dispersion: the inverse information alone gives the errors.
-    position = F.array_position(F.array(*(F.lit(t) for t in d.terms)), F.col("term")).cast("int")
-    error = F.sqrt(F.element_at("vec", position))
-    tidy = coefs.select(
-        *keys, "term", "estimate", error.alias("std_error"), (F.col("estimate") / error).alias("statistic")
-    )
-    pick = lambda kind, term: F.max(F.when((F.col("kind") == kind) & (F.col("term") == term), F.col("estimate")))
-    figures = (
-        solution.groupBy(*keys)
-        .agg(
-            pick("fit", "n").alias("n"),
-            pick(TOTALS, "0").alias("deviance"),
-            pick(TOTALS, "1").alias("log_lik"),
-            (pick("fit", "absorbed") + pick("fit", "n_terms")).alias("parameters"),
-        )
-        .withColumn("aic", F.lit(-2.0) * F.col("log_lik") + F.lit(2.0) * F.col("parameters"))
-    )
-    return tidy, figures
+        held.unpersist()
+    return solution
 
 
 def _halfway(solution: DataFrame, older: DataFrame, keys: list[str], worse: list[tuple]) -> DataFrame:
