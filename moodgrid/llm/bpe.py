@@ -28,8 +28,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from moodgrid.llm.common import TASK_BYTES, parts_for, ranges, slices, spread, staged, text_or_empty
 from moodgrid.llm.tokens import give_back
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 # Text that is cut into pre-tokens at once: that takes some thirty times its bytes.
 PART_BYTES = 1 << 20
 LEVEL = 6
@@ -169,10 +169,12 @@ class Block:
 
     def rows(self, block: int, shares: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """One row for the block, one for each share with some of its pre-tokens."""
-        codes = np.concatenate(self.codes)
         words = list(self.known)
         share = np.array([zlib.crc32(w) % shares for w in words], np.int64)
-        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        times = np.zeros(len(words), np.int64)
+        for codes in self.codes:
+            times += np.bincount(codes, minlength=len(words))
+        order = np.argsort(-times, kind="stable")
         # Frequent pre-tokens get low numbers in order of frequency, the others numbers by share and bytes.
         often = order[:OFTEN]
         rare = np.array(sorted(order[OFTEN:].tolist(), key=words.__getitem__), np.int64)
@@ -184,7 +186,8 @@ class Block:
             "block": pa.array([block]),
             "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
             "counts": pa.array([np.concatenate(self.counts)], pa.list_(pa.int32())),
-            "codes": pa.array([squeezed(place[codes], share[often].astype(np.uint32), np.bincount(share[order[OFTEN:]], minlength=shares))], pa.binary()),
+            "codes": pa.array([[squeezed(place[codes]) for codes in self.codes]], pa.list_(pa.binary())),
+            "words": pa.array([squeezed(share[often].astype(np.uint32), np.bincount(share[order[OFTEN:]], minlength=shares))], pa.binary()),
         }
         yield _row(schema, values)
         first = _by_share(share[often], shares)
@@ -254,13 +257,14 @@ def _encoded_lists(path: str):
     return run
 
 
-def _placed(schema: pa.Schema):
+def _placed(schema: pa.Schema, table: Callable[[], tuple[pa.Array, np.ndarray]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 keys = batch.column("keys").slice(i, 1).flatten()
                 counts = batch.column("counts").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
-                codes, often, sizes = opened(batch.column("codes")[i].as_py(), np.uint32, np.uint32, np.int64)
+                codes = np.concatenate([opened(c, np.uint32)[0] for c in batch.column("codes")[i].as_py()])
+                often, sizes = opened(batch.column("words")[i].as_py(), np.uint32, np.int64)
                 words = len(often) + int(sizes.sum())
                 first = _by_share(often, len(sizes))
                 bounds = len(often) + np.concatenate(([0], np.cumsum(sizes)))
@@ -284,15 +288,23 @@ def _placed(schema: pa.Schema):
                     reach = np.concatenate(([0], np.cumsum(many)))
                     ids = pa.array(flat[ranges(start[some], many)])
                     lists = pa.ListArray.from_arrays(pa.array(reach[ends[low : high + 1] - ends[low]], pa.int32()), ids)
-                    yield pa.RecordBatch.from_arrays([keys.slice(low, high - low), lists], schema=schema)
+                    columns = [keys.slice(low, high - low), lists]
+                    if table is not None:
+                        columns.append(bytes_of(lists, *table()))
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
                     low = high
             give_back()
 
     return run
 
 
-def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row the key and ``ids``, those of the whole text."""
+def encode(
+    docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """Per row the key and ``ids``, those of the whole text.
+
+    With ``decoded`` also what ``decode`` makes of them, joined in the same task.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -301,7 +313,7 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shares = parts_for(spark, total, TASK_BYTES)
     kind = dict(rows.dtypes)["key"]
-    schema = f"block bigint, keys array<{kind}>, counts array<int>, codes binary, share int, listed binary"
+    schema = f"block bigint, keys array<{kind}>, counts array<int>, codes array<binary>, words binary, share int, listed binary"
     # Written once, so that the numbers of blocks hold from here on.
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     split = numbered.mapInArrow(_split(shares, to_arrow_schema(_parse_datatype_string(schema))), schema)
@@ -312,39 +324,48 @@ def encode(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str = "te
     # A task places few blocks, since a batch holds all that a task was given.
     tasks = 2 * shares
     entries = known.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("share", "ids")).alias("entries"))
-    blocks = held.filter("share IS NULL").select("block", "keys", "counts", "codes")
+    blocks = held.filter("share IS NULL").select("block", "keys", "counts", "codes", "words")
     empty = F.array().cast("array<struct<share: int, ids: binary>>")
     full = blocks.repartition(tasks, "block").join(entries, "block", "left").withColumn("entries", F.coalesce("entries", empty))
-    result = f"key {kind}, ids array<int>"
+    result = f"key {kind}, ids array<int>" + (", decoded binary" if decoded else "")
     arrow = to_arrow_schema(_parse_datatype_string(result))
-    return full.mapInArrow(_placed(arrow), result).withColumnRenamed("key", key)
+    table = partial(token_table, rank_file) if decoded else None
+    return full.mapInArrow(_placed(arrow, table), result).withColumnRenamed("key", key)
+
+
+@lru_cache(maxsize=2)
+def token_table(path: str) -> tuple[pa.Array, np.ndarray]:
+    """The bytes of each id, and which ids there are."""
+    table = ranks(path)
+    tokens = [b""] * (max(table.values()) + 1)
+    for token, rank in table.items():
+        tokens[rank] = token
+    known = np.zeros(len(tokens), bool)
+    known[list(table.values())] = True
+    return pa.array(tokens, pa.large_binary()), known
+
+
+def bytes_of(lists: pa.Array, tokens: pa.Array, known: np.ndarray) -> pa.Array:
+    """Lists of ids joined with their bytes."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    numbers = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+    outside = (numbers < 0) | (numbers >= len(tokens))
+    if outside.any() or not known[numbers].all():
+        raise ValueError("an id is not in the vocabulary")
+    pieces = pc.take(tokens, flat.cast(pa.int64()))
+    reach = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))))
+    ends = reach[np.concatenate(([0], np.cumsum(counts)))].astype(np.int64)
+    # The pieces lie one behind another: a text is a stretch of their bytes.
+    data = pieces.buffers()[2] or pa.py_buffer(b"")
+    out = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), data])
+    return out.cast(pa.binary())
 
 
 def _decoded(path: str, ids: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(path)
-        tokens = [b""] * (max(table.values()) + 1)
-        for token, rank in table.items():
-            tokens[rank] = token
-        known = np.zeros(len(tokens), bool)
-        known[list(table.values())] = True
-        tokens = pa.array(tokens, pa.large_binary())
         for batch in batches:
-            lists = batch.column(ids)
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            numbers = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
-            outside = (numbers < 0) | (numbers >= len(tokens))
-            if outside.any() or not known[numbers].all():
-                raise ValueError("an id is not in the vocabulary")
-            pieces = pc.take(tokens, flat.cast(pa.int64()))
-            lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
-            reach = np.concatenate(([0], np.cumsum(lengths)))
-            ends = reach[np.concatenate(([0], np.cumsum(counts)))]
-            # The pieces lie one behind another: a text is a stretch of their bytes.
-            data = pieces.buffers()[2] or pa.py_buffer(b"")
-            out = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), data])
-            columns = [*batch.columns, out.cast(pa.binary())]
+            columns = [*batch.columns, bytes_of(batch.column(ids), *token_table(path))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run

@@ -107,8 +107,8 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table_of(spark, folder, "documents"), RANK_FILE)
-    return bpe.decode(encoded, RANK_FILE).select(
+    encoded = bpe.encode(table_of(spark, folder, "documents"), RANK_FILE, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
