@@ -130,7 +130,7 @@ def squeezed(*arrays) -> bytes:
     for a in arrays:
         if not isinstance(a, bytes):
             a = np.ascontiguousarray(a)
-            a = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+            a = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
         parts.append(pa.Codec("zstd", compression_level=LEVEL).compress(a, asbytes=True) if a else b"")
     sizes = [[len(p), len(a) if isinstance(a, bytes) else a.nbytes] for p, a in zip(parts, arrays, strict=True)]
     return np.array(sizes, np.int64).tobytes() + b"".join(parts)

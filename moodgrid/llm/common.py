@@ -104,3 +104,10 @@ def table_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def row_hash(key: str, text: str):
+    """A number for key and text together; an absent one differs from any text."""
+    number = F.col(key).cast("long").cast("string")
+    parts = [x for c in (number, F.col(text)) for x in (c.isNull(), F.coalesce(c, F.lit("")))]
+    return F.xxhash64(*parts)

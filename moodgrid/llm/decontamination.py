@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.llm.common import slices, spread, staged, words_of
+from moodgrid.llm.common import row_hash, slices, spread, staged, words_of
 
 # Marked positions of a window: one run and two spaced masks, of weight seven.
 MASKS = ("1111111", "1101100111", "11010010111")
@@ -182,7 +182,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``__leak_id`` stands for key and text together, so that null and repeated keys do no harm."""
-    return docs.withColumn("__leak_id", F.xxhash64(F.col(key).cast("string"), F.col(text)))
+    return docs.withColumn("__leak_id", row_hash(key, text))
 
 
 def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.llm.common import slices, spread, staged, words_of
+from moodgrid.llm.common import row_hash, slices, spread, staged, words_of
 
 # The most labelled rows the trees are fitted on.
 SAMPLE = 20_000
@@ -227,10 +227,6 @@ def _judged(model: Trees | None):
     return run
 
 
-def row_hash(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key).cast("long").cast("string"), F.col(text)).alias("row_hash")
-
-
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns; equal rows share their fate."""
     bad = judge(docs, labels, key, text).where(~F.col("kept")).select(F.col("row_hash").alias("__judged_row")).distinct()
@@ -243,7 +239,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     ``row_hash`` stands for key and text together.
     """
-    rows = spread(docs.select(F.col(key).cast("long").alias("key"), row_hash(key, text), F.col(text).alias("text")))
+    rows = spread(docs.select(F.col(key).cast("long").alias("key"), row_hash(key, text).alias("row_hash"), F.col(text).alias("text")))
     stats = staged(rows.mapInArrow(_stats, STATS), "quality")
     x, y = _sampled(stats, labels, key)
     model = fit(x, y, np.isin(FEATURES, FALLING)) if len(np.unique(y)) > 1 else None

@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodgrid.llm import graph
-from moodgrid.llm.common import parts_for, ranges, slices, spread, staged
+from moodgrid.llm.common import parts_for, ranges, row_hash, slices, spread, staged
 
 # Widths of the segments, lowest bits first.
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -196,14 +196,10 @@ def links(marks: DataFrame, distance: int) -> DataFrame:
 
 def _marked(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
     """``key, row, mark`` of every document, written; ``row`` stands for key and text together."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("row", _row("key", "text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("row", row_hash("key", "text"))
     return staged(spread(rows).mapInArrow(_fingerprints(shingle), "key long, row long, mark long"), "marks")
 
 
-def _row(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key).cast("string"), F.col(text))
-
-
 def _rooted(marked: DataFrame, distance: int) -> DataFrame:
     """Each distinct fingerprint with its component's root, its least key, and its first row (null keys last)."""
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")
@@ -231,6 +227,6 @@ def representatives(
     """One document of each component with all its columns: the least key, a null key only if there is no other."""
     rooted = _rooted(_marked(docs, shingle, key, text), distance)
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__near_row"))
-    rows = docs.withColumn("__near_row", F.xxhash64(F.col(key).cast("long").cast("string"), F.col(text)))
+    rows = docs.withColumn("__near_row", row_hash(key, text))
     # Rows that are equal in key and text are one document.
     return rows.join(kept, "__near_row", "left_semi").dropDuplicates(["__near_row"]).drop("__near_row")

@@ -134,7 +134,8 @@ class Encoder:
         """
         if self.kind == "words":
             vocabulary = pc.ascii_lower(vocabulary)
-        cut = pc.replace_substring_regex(vocabulary, r"(\p{L})([.,])", rf"\1{CUT}\2")
+        # U+0130 becomes a letter and a mark when the tokenizer folds it: no cut behind it.
+        cut = pc.replace_substring_regex(vocabulary, r"([^\P{L}\x{130}])([.,])", rf"\1{CUT}\2")
         if self.kind == "spaces":
             cut = pc.replace_substring_regex(cut, r"([.,])(\n)", rf"\1{CUT}\2")
         # A piece that holds the cut sign itself stays whole.

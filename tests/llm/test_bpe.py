@@ -99,3 +99,10 @@ def test_query(spark, small, library):
         g = got[r.doc_id]
         assert g.n_tokens == len(ids) and g.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert g.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_decoding_in_the_same_task(spark):
+    texts = [*strings(9, 200), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = {r.doc_id: bytes(r.decoded) for r in bpe.encode(docs, RANKS, decoded=True).collect()}
+    assert one == {i: (t or "").encode() for i, t in enumerate(texts)}

@@ -44,3 +44,13 @@ def test_odd_rows(spark, odd, small, size):
     docs = odd.limit(size).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("n_chars"), "mark")
     *_, packed = stage_by_stage(spark, docs, small)
     assert packed.count() >= 0
+
+
+def test_a_null_is_no_text(spark, small):
+    """Rows that differ only in which of key and text is null keep their own fate."""
+    rows = [(5, None, "en", "s", 0), (None, "5", "en", "s", 1), (6, "x y z", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r.doc_id, r.text) for r in simhash.representatives(docs).collect()}
+    assert (None, "5") in kept and (5, None) in kept
+    clean = decontamination.clean(docs, table_of(spark, small, "benchmark"))
+    assert clean.count() == 3

@@ -118,3 +118,13 @@ def test_empty_tables(spark, odd):
     records.write_records(odd.limit(0), folder, BYTE_FILE)
     assert records.positions(records.write_index(spark, folder)).count() == 0
     assert records.read_shuffled(spark, folder).count() == 0
+
+
+def test_letters_that_fold_into_two_characters():
+    """U+0130 is a letter and a combining mark in lower case."""
+    rnd = np.random.default_rng(6)
+    parts = ["İ", ".", ",", " ", "a", "TEDAVİ.", "é", "\n", "ı", "K", "1", "'s"]
+    texts = ["".join(rnd.choice(parts, rnd.integers(0, 12))) for _ in range(3_000)] + ["TEDAVİ.", "İ,İ."]
+    for path, kind in ((WORD_FILE, "words"), (BYTE_FILE, "spaces")):
+        offsets, ids = tokens.Encoder(path, kind).encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in tokens.each_document(offsets)] == expected(path, kind, texts)
