@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUANTILE_SLICES = 512
+from moodgrid.operators.joins import lookup_join
+from moodgrid.session import cut_lineage
+
+SORTED_ROWS = 1_000_000  # rows of one interval that a task may sort
+QUANTILE_BINS = 4096
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], n: str = "n") -> DataFrame:
@@ -57,51 +61,68 @@ def weighted_mean_by(df: DataFrame, keys: Sequence[str], value: str, weight: str
     )
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (), limit: int = SORTED_ROWS
+) -> DataFrame:
     """Exact quantiles with linear interpolation, however large the groups are.
 
-    Values are first folded to counts. Approximate cut points of the whole
-    column slice the value axis; slice totals give each rank's slice, and only
-    that slice is sorted. No task ever holds a group, only one slice of it.
-    Returns ``keys``, ``prob``, ``value``.
+    Each wanted rank has an interval of values that holds it, at first the whole
+    range. While more than ``limit`` rows lie in one, its rows are counted in equal
+    bins, and the bin with the rank, from its least to its greatest value, is the
+    next interval: a value that holds most rows soon stands alone. Only the last
+    intervals are sorted, each in a task. Returns ``keys``, ``prob``, ``value``.
     """
-    keys = list(keys)
-    rows = df.select(*keys, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    steps = [i / QUANTILE_SLICES for i in range(1, QUANTILE_SLICES)]
-    cuts = rows.agg(F.percentile_approx("v", steps, 10_000).alias("c")).scalar()
-    counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    # The slice is the number of cut points below the value, by bisection.
-    halves = F.array(*(F.lit(QUANTILE_SLICES >> i) for i in range(1, QUANTILE_SLICES.bit_length())))
-    below = F.aggregate(
-        halves,
-        F.lit(0),
-        lambda at, step: F.when(F.element_at("cuts", at + step) < F.col("v"), at + step).otherwise(at),
-    )
-    sliced = counted.withColumn("cuts", cuts).withColumn("slice", below).drop("cuts")
-
-    totals = sliced.groupBy(*keys, "slice").agg(F.sum("n").alias("m"))
-    # At most QUANTILE_SLICES rows per key from here on.
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("slice")
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    ranges = totals.withColumn("upto", F.sum("m").over(along)).withColumn("size", F.sum("m").over(whole))
-    wanted = (
-        ranges.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
-        .withColumn("at", (F.col("size") - 1) * F.col("prob"))
+    listed, v = list(keys), F.col("v")
+    rows = df.select(*listed, F.col(col).cast("double").alias("v")).filter(v.isNotNull())
+    if not listed:
+        listed, rows = ["__all"], rows.withColumn("__all", F.lit(0))
+    ends = rows.groupBy(*listed).agg(F.count(F.lit(1)).alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranked = (
+        ends.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+        .withColumn("at", (F.col("held") - 1) * F.col("prob"))
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
-        .select(*keys, "slice", "prob", "at", "rank", (F.col("upto") - F.col("m")).alias("before"))
+        .withColumn("before", F.lit(0).cast("long"))
     )
-    # Only the slices that hold a wanted rank are sorted.
-    along_slice = Window.partitionBy(*keys, "slice", "prob", "rank").orderBy("v")
-    found = (
-        sliced.join(wanted, [*keys, "slice"], "inner")
-        .withColumn("end", F.col("before") + F.sum("n").over(along_slice))
-        .filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
+    columns = [*listed, "prob", "at", "rank", "before", "held", "lo", "hi"]
+    wanted, last = cut_lineage(ranked.select(*columns)), None
+    wide = F.col("lo") < F.col("hi")
+    crowded = wide & (F.col("held") > limit)
+
+    def inside(which: Column) -> DataFrame:
+        """Rows with the open interval they lie in; a key has two intervals for each probability at most."""
+        spans = wanted.filter(which).groupBy(*listed).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+        met = lookup_join(rows, spans, listed, "inner", ["v"], small=None if keys else True)
+        own = F.filter("spans", lambda s: (v >= s.lo) & (v <= s.hi))
+        return met.select(*listed, "v", F.explode(own).alias("s")).select(*listed, "v", "s.lo", "s.hi")
+
+    holds = (F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n"))
+    while True:
+        most = wanted.filter(crowded).agg(F.max("held")).first()[0]
+        if most is None or most == last:
+            break
+        last = most
+        place = F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BINS)
+        bins = inside(crowded).groupBy(*listed, "lo", F.least(place, F.lit(QUANTILE_BINS - 1)).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        # At most QUANTILE_BINS rows for each interval.
+        upto = F.sum("n").over(Window.partitionBy(*listed, "lo").orderBy("bin"))
+        moved = wanted.filter(crowded).drop("held", "hi").join(bins.withColumn("upto", upto), [*listed, "lo"]).filter(holds)
+        moved = moved.select(
+            *listed, "prob", "at", "rank", (F.col("before") + F.col("upto") - F.col("n")).alias("before"), F.col("n").alias("held"),
+            F.col("low").alias("lo"), F.col("high").alias("hi"),
+        )
+        wanted = cut_lineage(wanted.filter(~crowded).unionByName(moved))
+    counted = inside(wide).groupBy(*listed, "lo", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*listed, "lo").orderBy("v"))
+    sorted_out = wanted.filter(wide).join(counted.withColumn("upto", upto), [*listed, "lo"]).filter(holds)
+    found = wanted.filter(~wide).select(*listed, "prob", "at", F.col("lo").alias("v")).unionByName(
+        sorted_out.select(*listed, "prob", "at", "v")
     )
     low, high = F.min("v"), F.max("v")
-    return found.groupBy(*keys, "prob").agg(
+    return found.groupBy(*listed, "prob").agg(
         (low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("value")
-    )
+    ).drop("__all")
 
 
 def quantile_cuts(df: DataFrame, col: str, probs: Sequence[float]) -> Column:

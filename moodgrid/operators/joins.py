@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodgrid.session import cut_lineage
+
 SMALL_ROWS = 200_000  # rows a lookup may have to be sent to every executor
 HOT_SHARE = 0.001  # a key holding more than this share of the rows is salted
 SALTS = 64
+BANDS = (2, 4)  # edits up to which texts are met by their segments
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
@@ -113,10 +116,13 @@ def nearest_key_join(
     """For each left row the right row with equal ``on`` and the closest text.
 
     Equal texts are settled by an equi-join and texts one edit apart by joining
-    on their one-letter deletions. Only rows still open compare themselves with
-    the distinct texts of their own ``on`` group; those comparisons are spread
-    by salt and folded to a minimum where they arise. Ties take the smallest
-    text, then the smallest row; ``right_text`` names the matched key.
+    on their one-letter deletions. For the rest the bound k goes through ``BANDS``:
+    of k + 1 segments of a text one stays whole under k edits, so texts within k
+    share a segment at places at most k apart, and only such pairs are compared.
+    Rows open beyond the last band compare themselves with the distinct texts of
+    their own ``on`` group, spread by salt and folded to a minimum where they
+    arise. Ties take the smallest text, then the smallest row; ``right_text``
+    names the matched key.
     """
     on = list(on)
     keys = left.select(*on, text).distinct()
@@ -146,8 +152,14 @@ def nearest_key_join(
         .withColumn("__d", F.levenshtein(F.col(text), F.col("__r")))
         .filter(F.col("__d") == 1)
     )
-    near = _closest(one_edit, on, text)
-    open_keys = open_keys.join(near.select(*on, text), [*on, text], "left_anti")
+    near = cut_lineage(_closest(one_edit, on, text))
+    open_keys = cut_lineage(open_keys.join(near.select(*on, text), [*on, text], "left_anti"))
+    for k in BANDS:
+        if open_keys.isEmpty():
+            break
+        banded = cut_lineage(_closest(_within(open_keys, candidates, on, text, k), on, text))
+        near = near.unionByName(banded)
+        open_keys = cut_lineage(open_keys.join(banded.select(*on, text), [*on, text], "left_anti"))
 
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     far_pairs = (
@@ -172,6 +184,25 @@ def nearest_key_join(
     return left.join(matched, [*on, text], "left")
 
 
+def _within(left: DataFrame, right: DataFrame, on: list[str], text: str, k: int) -> DataFrame:
+    """Pairs of texts at most ``k`` edits apart, with their distance ``__d``.
+
+    A text of m letters has k + 1 segments of m div (k + 1) letters, the last m mod
+    (k + 1) of them one letter longer.
+    """
+    size = f"(m DIV {k + 1} + IF(i >= {k + 1} - m % {k + 1}, 1, 0))"
+    start = f"(i * (m DIV {k + 1}) + greatest(i - ({k + 1} - m % {k + 1}), 0))"
+    whole = f"transform(sequence(0, {k}), i -> named_struct('m', m, 'i', i, 's', substring(__r, {start} + 1, {size})))"
+    filed = right.withColumn("m", F.length("__r")).withColumn("__p", F.explode(F.expr(whole))).select(*on, "__r", "__p")
+    # Where a segment of a text of m letters may stand in this one.
+    first, last = f"greatest({start} - {k}, 0)", f"least({start} + {k}, n - {size})"
+    places = f"transform(IF({last} < {first}, array(), sequence({first}, {last})), p -> named_struct('m', m, 'i', i, 's', substring(__l, p + 1, {size})))"
+    parts = f"array_distinct(flatten(flatten(transform(sequence(greatest(n - {k}, 0), n + {k}), m -> transform(sequence(0, {k}), i -> {places})))))"
+    asked = left.withColumns({"__l": F.col(text), "n": F.length(text)}).withColumn("__p", F.explode(F.expr(parts))).drop("__l", "n")
+    pairs = asked.join(filed, [*on, "__p"], "inner").select(*on, text, "__r").distinct()
+    return pairs.withColumn("__d", F.levenshtein(F.col(text), F.col("__r"), k)).filter(F.col("__d") >= 0)
+
+
 def _closest(pairs: DataFrame, on: list[str], text: str) -> DataFrame:
     best = pairs.groupBy(*on, text).agg(F.min(F.struct("__d", "__r")).alias("__b"))
     return best.select(*on, text, F.col("__b.__r").alias("__r"), F.col("__b.__d").alias("__d"))

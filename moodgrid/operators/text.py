@@ -101,6 +101,14 @@ def word_frequency(df: DataFrame, text: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n").alias("t")).scalar())
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """A source of fewer files than cores over all of them: texts cost far more to score than to move."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def word_shift(df: DataFrame, side: str, sides: tuple[str, str], text: str, lexicon: DataFrame, delta: float = 0.0) -> DataFrame:
     """Each word's part in the difference of mean happiness of two samples.
 
@@ -168,7 +176,7 @@ def rule_polarity(
     (positive strengthens). Texts without a listed word score 0.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(RULE_WORD), F.lit(0))
-    base = df.filter(F.col(text).isNotNull()).select(
+    base = over_cores(df).filter(F.col(text).isNotNull()).select(
         *keys,
         found.alias("__w"),
         F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(4)).alias("__ex"),

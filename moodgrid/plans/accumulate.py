@@ -306,7 +306,7 @@ def _merged(n_keys: int, schema: pa.Schema):
 
 
 def partial_states(rows: DataFrame, plan: Plan) -> tuple[DataFrame, StructType]:
-    """keys, ``group`` of replicates, ``bucket``, ``state``, as the tasks hand them on."""
+    """keys, ``__group`` of replicates, ``__bucket``, ``__state``, as the tasks hand them on."""
     wanted = [*plan.keys, *plan.columns, plan.weight, *plan.extra, *plan.seeds, *plan.factors]
     rows = rows.select(*dict.fromkeys(wanted))
     if plan.keys:
@@ -314,7 +314,7 @@ def partial_states(rows: DataFrame, plan: Plan) -> tuple[DataFrame, StructType]:
         rows = rows.sortWithinPartitions(*plan.keys)
     fields = [rows.schema[k] for k in plan.keys]
     schema = StructType(
-        [*fields, StructField("group", IntegerType()), StructField("bucket", IntegerType()), StructField("state", BinaryType())]
+        [*fields, StructField("__group", IntegerType()), StructField("__bucket", IntegerType()), StructField("__state", BinaryType())]
     )
     return rows.mapInArrow(_folded(plan, to_arrow_schema(schema)), schema), schema
 
@@ -323,7 +323,7 @@ def states(rows: DataFrame, plan: Plan) -> DataFrame:
     """One state for each key, group of replicates and bucket, with all rows folded in."""
     found, schema = partial_states(rows, plan)
     arrow = to_arrow_schema(schema)
-    names = [*plan.keys, "group", "bucket"]
+    names = [*plan.keys, "__group", "__bucket"]
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if cores > FAN:
         # Two levels: no task adds up the states of all tasks.

@@ -134,7 +134,7 @@ def shape_of(
 def normal_sums(
     d: Design, extra: dict[str, Column] | None = None, z: str = "y", w: str = "w", shape: Shape = Shape()
 ) -> DataFrame:
-    """The weighted sums of a design as states: keys, ``group``, ``bucket``, ``state``."""
+    """The weighted sums of a design as states: keys, ``__group``, ``__bucket``, ``__state``."""
     rows = d.rows.withColumns(extra) if extra else d.rows
     plan = Plan(
         d.keys, (z, *(f"x{i}" for i in range(len(d.terms)))), tuple(f"f{i}" for i in range(len(d.factors))), w,
@@ -417,7 +417,7 @@ def _solve_wide(d: Design, sums: DataFrame, wide: int) -> DataFrame:
     keys, n, terms = list(d.keys), len(d.keys), d.terms
     held = cut_lineage(sums)
     head_types = ", ".join(f"`{k}` {t}" for k, t in dict(d.rows.dtypes).items() if k in keys)
-    reduced_schema = ", ".join(x for x in (head_types, "bucket int, part binary") if x)
+    reduced_schema = ", ".join(x for x in (head_types, "__bucket int, __part binary") if x)
     reduced_arrow = to_arrow_schema(_parse_datatype_string(reduced_schema))
     schema = _schema(d)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
@@ -470,18 +470,18 @@ def _solve_wide(d: Design, sums: DataFrame, wide: int) -> DataFrame:
     parts = held.mapInArrow(reduce, reduced_schema)
     cores = d.rows.sparkSession.sparkContext.defaultParallelism
     parts = parts.repartition(cores, *keys) if keys else parts.repartition(1)
-    parts = parts.sortWithinPartitions(*keys, "bucket")
+    parts = parts.sortWithinPartitions(*keys, "__bucket")
     solution = cut_lineage(parts.mapInArrow(finish, schema))
 
     # Effects of the wide factor: each bucket meets its key's solution.
     known = solution.filter(F.col("kind").isin(LEVEL, COEF)).groupBy(*keys).agg(
-        F.collect_list(F.struct("kind", "term", "level", "estimate", "vec")).alias("solution")
+        F.collect_list(F.struct("kind", "term", "level", "estimate", "vec")).alias("__solution")
     )
-    buckets = held.filter(F.col("bucket") != REST)
+    buckets = held.filter(F.col("__bucket") != REST)
     if keys:
-        met = buckets.join(known, keys).select(*keys, "state", "solution")
+        met = buckets.join(known, keys).select(*keys, "__state", "__solution")
     else:
-        met = buckets.select("state").withColumn("solution", known.select("solution").scalar())
+        met = buckets.select("__state").withColumn("__solution", known.select("__solution").scalar())
 
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -305,8 +305,12 @@ def rank_of_levels(d, levels: DataFrame, links: DataFrame) -> DataFrame:
 
 def iterated(d, extra: dict[str, Column] | None, z: str, w: str) -> DataFrame:
     """Solution rows of a design; see ``estimation.solution_of``."""
-    from moodgrid.plans.estimation import LEVEL, _coefficients, _rows_out, _schema
+    from moodgrid.plans.estimation import LEVEL, Design, _coefficients, _rows_out, _schema
 
+    # Names of their own for the keys: the tables have many short ones.
+    own_names = [f"__key{i}" for i in range(len(d.keys))]
+    names = dict(zip(d.keys, own_names, strict=True))
+    d = Design(d.rows.withColumnsRenamed(names), tuple(own_names), d.terms, d.factors)
     keys, p, n, terms = list(d.keys), 1 + len(d.terms), len(d.keys), d.terms
     totals, levels, links = level_tables(d, extra, z, w)
     solved = conjugate(levels, links, [f"t{c}" for c in range(p)], keys)
@@ -354,4 +358,4 @@ def iterated(d, extra: dict[str, Column] | None, z: str, w: str) -> DataFrame:
         *keys, F.lit(LEVEL).alias("kind"), F.col("i").cast("string").alias("term"), F.col("a").alias("level"), own.alias("estimate"),
         F.lit(None).cast("double").alias("std_error"), F.array(*(f"x{c}" for c in range(p))).alias("vec"),
     )
-    return fit.unionByName(levels_out)
+    return fit.unionByName(levels_out).withColumnsRenamed({v: k for k, v in names.items()})

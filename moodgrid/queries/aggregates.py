@@ -195,12 +195,16 @@ def _(t):
     return count_records(t.documents, F.col("source"))
 
 
-@query("A12_count_files", "SELECT count(*) AS records FROM documents UNION ALL SELECT count(*) FROM documents")
+@query("A12_count_files", "SELECT coalesce(source, 'total') AS file, count(*) AS records FROM documents GROUP BY ROLLUP (source)")
 def _(t):
     from moodgrid.sources.readers import count_records
 
-    # One input file: its own row and the total row carry the same count.
-    return count_records(t.documents).select("records")
+    # One file for each source.
+    folder = t.fresh_folder("by-source")
+    t.documents.repartition("source").write.partitionBy("source").parquet(folder)
+    counted = count_records(t.spark.read.schema(t.documents.schema).parquet(folder))
+    named = F.regexp_extract("file", "source=([^/]*)/", 1)
+    return counted.select(F.when(F.col("file") == "total", F.col("file")).otherwise(named).alias("file"), "records")
 
 
 @query("A13_value_counts", "SELECT fips, count(*) AS n FROM panel GROUP BY fips ORDER BY n DESC, fips", ("panel",))

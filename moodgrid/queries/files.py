@@ -59,10 +59,10 @@ def _(t):
     return readers.read_json_array(t.spark, f"{folder}/*/", t.conversations.schema).na.drop("all")
 
 
-@query("S3_read_csv_set", "SELECT cast(doc_id AS string) AS id, text, lang FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
+@query("S3_read_csv_set", "SELECT cast(doc_id AS string) AS id, text, lang FROM documents")
 def _(t):
     folder = t.fresh_folder("csv")
-    docs = t.documents.filter(~F.contains("text", F.lit("\r"))).select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
     docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
     return readers.read_csv_set(t.spark, folder, "id string, text string, lang string")
 
@@ -85,8 +85,10 @@ def _(t):
         F.rpad("o_orderpriority", 20, " "),
         F.lpad(F.col("o_totalprice").cast("decimal(15,2)").cast("string"), 16, " "),
     )
+    folder = t.fresh_folder("fixed")
+    t.orders.select(line.alias("value")).write.text(folder)
     fields = [("o_orderkey", 12, "long"), ("o_orderpriority", 20, "string"), ("o_totalprice", 16, "double")]
-    return readers.fixed_width(t.orders.select(line.alias("value")), fields)
+    return readers.read_fixed_width(t.spark, folder, fields)
 
 
 @query("S6_read_tsv_footer", "SELECT fips, year, month, deaths FROM deaths WHERE deaths IS NOT NULL", ("deaths",))

@@ -48,16 +48,18 @@ def _(t):
 
 @query(
     "J3_full_outer_join",
-    """SELECT coalesce(a.custkey, b.custkey) AS custkey, spent, acctbal FROM
-         (SELECT o_custkey AS custkey, count(*) AS spent FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a
-         FULL JOIN (SELECT c_custkey AS custkey, c_acctbal AS acctbal FROM customer WHERE c_acctbal > 0) b ON a.custkey = b.custkey""",
+    """SELECT fips, date, nibrs, cod FROM
+         (SELECT lpad(cast(fips AS string), 5, '0') AS fips, date, count(*) AS nibrs FROM nibrs GROUP BY 1, 2) a
+         FULL JOIN (SELECT substr(census_block, 1, 5) AS fips, substr(date_single, 1, 10) AS date, count(*) AS cod FROM cod GROUP BY 1, 2) b
+         USING (fips, date)""",
+    ("nibrs", "cod"),
 )
 def _(t):
-    spent = (
-        t.orders.filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("spent"))
+    one = t.nibrs.groupBy(F.lpad(F.col("fips").cast("string"), 5, "0").alias("fips"), "date").agg(F.count("*").alias("nibrs"))
+    two = t.cod.groupBy(F.substring("census_block", 1, 5).alias("fips"), F.substring("date_single", 1, 10).alias("date")).agg(
+        F.count("*").alias("cod")
     )
-    funds = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("acctbal"))
-    return ops.merge_many([spent, funds], ["custkey"], "full_outer")
+    return ops.merge_many([one, two], ["fips", "date"], "full_outer")
 
 
 @query(
@@ -86,10 +88,10 @@ def _(t):
     return ops.matching(t.points.select("event_id", "user_id"), toxic, ["user_id"])
 
 
-@query("J5_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("J5_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def _(t):
-    bought = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return ops.missing(t.customer.select("c_custkey", "c_name"), bought, ["c_custkey"])
+    active = t.events.select(F.col("user_id").alias("c_custkey"))
+    return ops.missing(t.customer.select("c_custkey", "c_name"), active, ["c_custkey"])
 
 
 @query(

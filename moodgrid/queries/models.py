@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from moodgrid.functions import basis
@@ -12,7 +10,7 @@ from moodgrid.plans import curves, specs
 from moodgrid.plans.estimation import clustered, demeaned, design, fe_ols, normal_sums, solve, tidy
 from moodgrid.plans.glm import fe_glm
 from moodgrid.plans.penalised import elastic_net_predict
-from moodgrid.queries.registry import query, r, rounded
+from moodgrid.queries.registry import drawn_sql, query, r, rounded
 
 
 # Replicates of the published bands.
@@ -96,26 +94,9 @@ def _(t):
     return rounded(specs.bootstrap_fit(rows, "vader", specs.spec("plain"), ["id"], REPLICATES), 9)
 
 
-def drawn_sql(ids: str, seed: int, first: int, last: int) -> str:
-    """``draw`` with r (replicate) and k (count) for every row of ``panel``: the mixing of two md5 seeds, and Poisson(1)."""
-    edges, mass, total, when = [], math.exp(-1), 0.0, ""
-    for n in range(16):
-        total += mass
-        edges.append(total)
-        mass /= n + 1
-    when = " ".join(f"WHEN u < {e!r}::DOUBLE THEN {n}" for n, e in enumerate(edges))
-    digits = lambda at: f"('0x' || substr(md5(concat_ws('|', {ids}, '{seed}')), {at}, 8))::BIGINT"
-    return f"""seeded AS (SELECT *, {digits(1)} AS s1, {digits(9)} AS s2 FROM panel),
-      m1 AS (SELECT p.*, r, xor((s1 + r * 1640531527) % 4294967296, s2) AS x FROM seeded p, range({first}, {last + 1}) t(r)),
-      m2 AS (SELECT *, (xor(x, x >> 16) * 2146121005) % 4294967296 AS x2 FROM m1),
-      m3 AS (SELECT *, (xor(x2, x2 >> 15) * 1994318123) % 4294967296 AS x3 FROM m2),
-      m4 AS (SELECT *, xor(x3, x3 >> 16) / 4294967296.0::DOUBLE AS u FROM m3),
-      draw AS (SELECT *, CASE {when} ELSE 16 END AS k FROM m4)"""
-
-
 @query(
     "E3_bootstrap_one_factor",
-    f"""WITH {drawn_sql("id", 1, 1, 8)},
+    f"""WITH {drawn_sql("panel", "id", 1, 1, 8)},
         d AS (SELECT r, k, vader - sum(k * vader) OVER g / sum(k) OVER g AS y, wbgt - sum(k * wbgt) OVER g / sum(k) OVER g AS a
               FROM draw WHERE k > 0 WINDOW g AS (PARTITION BY r, fips))
         SELECT r::INT AS replicate, 'wbgt' AS term, {r('sum(k * a * y) / sum(k * a * a)', 9)} AS estimate FROM d GROUP BY r""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -100,3 +101,20 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expression: str, digits: int = 6) -> str:
     return f"(round({expression}, {digits}) + 0.0)"
+
+
+def drawn_sql(source: str, ids: str, seed: int, first: int, last: int) -> str:
+    """``draw`` with r (replicate) and k (count) for every row of ``source``: two md5 seeds, mixed, and Poisson(1)."""
+    edges, mass, total = [], math.exp(-1), 0.0
+    for n in range(16):
+        total += mass
+        edges.append(total)
+        mass /= n + 1
+    when = " ".join(f"WHEN u < {e!r}::DOUBLE THEN {n}" for n, e in enumerate(edges))
+    digits = lambda at: f"('0x' || substr(md5(concat_ws('|', {ids}, '{seed}')), {at}, 8))::BIGINT"
+    return f"""seeded AS (SELECT *, {digits(1)} AS s1, {digits(9)} AS s2 FROM {source}),
+      m1 AS (SELECT p.*, r, xor((s1 + r * 1640531527) % 4294967296, s2) AS x FROM seeded p, range({first}, {last + 1}) t(r)),
+      m2 AS (SELECT *, (xor(x, x >> 16) * 2146121005) % 4294967296 AS x2 FROM m1),
+      m3 AS (SELECT *, (xor(x2, x2 >> 15) * 1994318123) % 4294967296 AS x3 FROM m2),
+      m4 AS (SELECT *, xor(x3, x3 >> 16) / 4294967296.0::DOUBLE AS u FROM m3),
+      draw AS (SELECT *, CASE {when} ELSE 16 END AS k FROM m4)"""

@@ -8,7 +8,7 @@ from moodgrid.operators import sampling
 from moodgrid.operators import windows as ops
 from moodgrid.operators.aggregates import mean_by
 from moodgrid.operators.joins import densify
-from moodgrid.queries.registry import query, r, rounded
+from moodgrid.queries.registry import drawn_sql, query, r, rounded
 from moodgrid.sources.readers import union_by_name
 
 SCORES = ["afinn", "hedono", "vader"]
@@ -100,12 +100,22 @@ def _(t):
     return ops.top_k(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 20)
 
 
-@query("M1_sample_fraction")
+@query(
+    "M1_sample_fraction",
+    """SELECT id, fips, date FROM panel
+       WHERE ('0x' || substr(md5(concat_ws('|', id, '1')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 1e-2""",
+    ("panel",),
+)
 def _(t):
     return sampling.sample_fraction(t.panel, 0.01, ["id"]).select("id", "fips", "date")
 
 
-@query("M2_bootstrap_weights")
+@query(
+    "M2_bootstrap_weights",
+    f"""WITH {drawn_sql('panel', 'id', 1, 1, 8)} SELECT r::INT AS replicate, count(*) AS drawn, sum(k)::BIGINT AS total,
+        {r('avg(k)')} AS mean_when_drawn FROM draw WHERE k > 0 GROUP BY r""",
+    ("panel",),
+)
 def _(t):
     drawn = sampling.with_replicates(t.panel.select("id"), ["id"], 8)
     return rounded(
@@ -115,7 +125,17 @@ def _(t):
     )
 
 
-@query("M3_bootstrap_mean_diff")
+DIFF_SQL = f"""m AS (SELECT r, sum(k * vader) FILTER (g = 1) / sum(k) FILTER (g = 1) - sum(k * vader) FILTER (g = 2) / sum(k) FILTER (g = 2) AS v
+                     FROM draw WHERE k > 0 GROUP BY r)
+       SELECT {r('quantile_cont(v, 25e-3)')} AS low, {r('quantile_cont(v, 5e-1)')} AS mid, {r('quantile_cont(v, 975e-3)')} AS high FROM m"""
+
+
+@query(
+    "M3_bootstrap_mean_diff",
+    f"""WITH days AS (SELECT id, vader, CASE dow WHEN 'Monday' THEN 1 ELSE 2 END AS g FROM panel WHERE dow IN ('Monday', 'Saturday') AND vader IS NOT NULL),
+        {drawn_sql('days', 'id', 1, 1, 100)}, {DIFF_SQL}""",
+    ("panel",),
+)
 def _(t):
     return rounded(sampling.bootstrap_mean_diff(t.panel, "dow", "vader", ("Monday", "Saturday"), ["id"], 100))
 
@@ -147,7 +167,14 @@ def _(t):
     return rounded(mean_by(around, ["side"], ["vader"]))
 
 
-@query("M4_event_window_compare")
+@query(
+    "M4_event_window_compare",
+    f"""WITH around AS (SELECT id, vader, CASE WHEN date >= date '1998-06-15' THEN 2 ELSE 1 END AS g FROM panel
+            WHERE fips IN ({', '.join(f"'{f}'" for f in EVENT_REGIONS)}) AND vader IS NOT NULL
+              AND date >= date '1998-06-15' - 60 AND date < date '1998-06-15' + 60),
+        {drawn_sql('around', 'id', 1, 1, 100)}, {DIFF_SQL}""",
+    ("panel",),
+)
 def _(t):
     around = sampling.event_window(t.panel, "fips", EVENT_REGIONS, "date", "1998-06-15", 60)
     return rounded(sampling.bootstrap_mean_diff(around, "side", "vader", ("before", "after"), ["id"], 100))

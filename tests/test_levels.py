@@ -179,7 +179,7 @@ def test_gradients_over_written_tables(six):
     solution = fe_ols(df.select(*few.columns), "y", terms(), ["fips", "dow"], keys=["h"], max_levels=1, rest_levels=1, max_pairs=1).persist()
     got = {(r.h, r.term): r for r in tidy(solution, ["h"]).collect()}
     fits = {r.h: r for r in figures(solution, ["h"]).collect()}
-    for h, part in few.groupby("h"):
+    for h, part in few.groupby("h"):  # a key whose name the tables use too
         want = dense(part, ["fips", "dow"])
         assert np.allclose([got[h, t].estimate for t in "ab"], want["beta"], atol=1e-8)
         assert np.allclose([got[h, t].std_error for t in "ab"], want["error"], rtol=1e-6)

@@ -18,6 +18,40 @@ def test_quantiles_match_numpy(spark):
     assert len(got) == 10
 
 
+def test_quantiles_refine_crowded_intervals(spark):
+    """No interval of more than ``limit`` rows is sorted, also where one value holds most rows."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.full(4_000, 7.25), rng.normal(7.25, 1e-3, 900), rng.normal(0, 1e6, 90), [-1e300, 1e300]])
+    rows = [(k, float(v)) for k in ("a", "b") for v in (values if k == "a" else values[::7])]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0, 0.01, 0.025, 0.1, 0.5, 0.93, 0.975, 1]
+    for keys in ([], ["k"]):
+        got = aggregates.quantiles(df, "v", probs, keys, limit=50).collect()
+        assert len(got) == len(probs) * (2 if keys else 1)
+        for r in got:
+            own = [v for k, v in rows if not keys or k == r.k]
+            assert np.isclose(r.value, np.quantile(own, r.prob), rtol=1e-12)
+    assert aggregates.quantiles(df.limit(0), "v", probs).count() == 0
+
+
+def test_segments_find_all_texts_within_the_band(spark):
+    random.seed(8)
+    base = ["".join(random.choice("01234567") for _ in range(random.randint(1, 14))) for _ in range(40)]
+
+    def worn(s):
+        for _ in range(random.randint(0, 5)):
+            at = random.randint(0, len(s))
+            s = random.choice([s[:at] + random.choice("01234567") + s[at:], s[: max(at - 1, 0)] + s[at:], s[:at] + "9" + s[at + 1 :]])
+        return s
+
+    left = spark.createDataFrame(sorted({(1, worn(random.choice(base))) for _ in range(120)}), "at int, id string")
+    right = spark.createDataFrame(sorted({(1, b) for b in base}), "at int, __r string")
+    every = left.join(right, "at").withColumn("d", F.levenshtein("id", "__r"))
+    for k in (2, 4):
+        got = {(r.id, r["__r"], r["__d"]) for r in joins._within(left, right, ["at"], "id", k).collect()}
+        assert got == {(r.id, r["__r"], r.d) for r in every.filter(F.col("d") <= k).collect()}
+
+
 def test_salted_join_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(joins, "HOT_SHARE", 0.1)
     fact = spark.range(900).select("id", F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"))
