@@ -112,7 +112,9 @@ def _(t):
     return rounded(kept.select("id", "wbgt", "vader"))
 
 
-CPI_SQL = "CASE survey_year " + " ".join(f"WHEN {y} THEN {v}e0" for y, v in recode.TO_2019.items()) + " END"
+CPI_SQL = """CASE survey_year WHEN 2011 THEN 1.134772e0 WHEN 2012 THEN 1.1161985e0 WHEN 2013 THEN 1.0969534e0
+              WHEN 2014 THEN 1.0746823e0 WHEN 2015 THEN 1.0733538e0 WHEN 2016 THEN 1.0627546e0 WHEN 2017 THEN 1.0456737e0
+              WHEN 2018 THEN 1.0164848e0 END"""
 
 
 @query(
@@ -316,7 +318,7 @@ def _(t):
 KNOT_SQL = ", ".join(
     f"{r(f'greatest(wbgt - ({k}), 0)')} AS wbgt_{'m' if k < 0 else ''}{abs(k)}, "
     f"{r(f'race_white * greatest(wbgt - ({k}), 0)')} AS white_wbgt_{'m' if k < 0 else ''}{abs(k)}"
-    for k in basis.WBGT_KNOTS
+    for k in (-10, 0, 5, 10, 15, 20, 25)
 )
 
 

@@ -222,6 +222,10 @@ def _(t):
     return rounded(ops.char_budget(t.documents, "source", "lang", "text"))
 
 
+DEPRESSIVE_SQL = """'addictive', 'alone', 'anxiety', 'appetite', 'attacks', 'bleak', 'depress', 'depressed', 'depression', 'drowsiness',
+  'episodes', 'fatigue', 'frightened', 'lonely', 'nausea', 'nervousness', 'severe', 'sleep', 'suicidal', 'suicide', 'trapped'"""
+
+
 @query(
     "T12_score_all",
     f"""WITH v AS ({polarity_sql('posts', 'id', 'pure_text')}),
@@ -231,7 +235,7 @@ def _(t):
         SELECT p.id, p.tweet_created_at,
           cast(list_has_any(regexp_extract_all({CLEAN.replace('{t}', 'pure_text')}, '[\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*'), [{TERM_LIST}]) AS int) AS weather_term,
           cast(list_has_any(regexp_extract_all(pure_text, '[\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*'),
-               [{', '.join(f"'{w}'" for w in tk.DEPRESSIVE_TERMS)}]) AS int) AS depress_term, afinn, hedono, vader
+               [{DEPRESSIVE_SQL}]) AS int) AS depress_term, afinn, hedono, vader
         FROM posts p LEFT JOIN a USING (id) LEFT JOIN v USING (id)""",
     ("posts", "lexicon"),
 )
