@@ -72,7 +72,7 @@ def lexicon_scores(
     least ``delta`` away from the neutral 5 and is null without any.
     """
     lists = list(dict.fromkeys([*sums, *means]))
-    words = explode_tokens(df, keys, text)
+    words = explode_tokens(over_cores(df), keys, text)
     scored = lookup_join(words, lexicon.select("word", *lists), ["word"], "left", salt_by=keys)
     n, rows = F.max("n_tokens"), F.count(F.lit(1))
     aggs = []
