@@ -402,7 +402,7 @@ def curve_grid(rows, x, by, classes):
         "wbgt": F.sequence(*(F.lit(v) for v in CURVE_WBGT)),
         "raining": F.array(F.lit(0), F.lit(1)),
         "srad": F.sequence(F.lit(0), F.lit(1000), F.lit(50)),
-        "tod": F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.concat(F.floor(i / 6).cast("string"), F.lit(":"), (i % 6).cast("string"))),
+        "tod": F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.format_string("%02d:%d", F.floor(i / 6), i % 6)),
     }
     cuts = rows.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in CURVE_POINTS))).alias(c) for c in by if c not in classes), F.count("*").alias("n"))
     grid = cuts.withColumns({c: F.explode(c) for c in by[:1] if c not in classes})
