@@ -2,7 +2,8 @@
 
 A state holds, for some rows of one model, the weighted cross-products of the
 columns, their sums for each level of each factor, and the joint weight of each
-pair of levels that occurs. States of different rows add up. With an n x G matrix
+pair of levels that occurs. States of different rows add up. Joint weights that are
+small whole numbers, as the counts of replicates are, take a byte or two. With an n x G matrix
 of weights one state serves G replicates at once: whatever does not depend on the
 weights (reading the rows, numbering levels, sorting pairs) is done once for all.
 
@@ -28,7 +29,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 STATE_BYTES = 128 << 20
 # Pairs are held unsorted up to this many times what sorting left of them.
 SLACK = 3
-# Cells of a block of weighted columns that is worked on at once.
+# Cells of a block of products that is worked on at once.
 CELLS = 4 << 20
 FAN = 32
 REST = -1
@@ -48,6 +49,7 @@ class State:
     sums: list[np.ndarray] = field(default_factory=list)  # per factor: levels x g x (weight, columns)
     pairs: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     held: int = 0
+    held_bytes: int = 0
     sorted_size: int = 0
 
     def __post_init__(self) -> None:
@@ -73,23 +75,45 @@ class State:
         self.totals[:, 1] += w.sum(axis=0)
         if self.e:
             self.totals[:, 2:] += extra.sum(axis=0)
-        for g in range(self.g):
-            self.cross[g] += (z * w[:, g : g + 1]).T @ z
+        self._add_cross(z, w)
         full = np.column_stack((np.ones(len(z)), z))
-        some = max(1, CELLS // max(full.size, 1))
-        orders = [np.argsort(c, kind="stable") for c in codes]
-        for low in range(0, self.g, some):
-            part = (w[:, low : low + some, None] * full[:, None, :]).reshape(len(z), -1)
-            for i, order in enumerate(orders):
-                found, starts = _starts(codes[i][order])
-                folded = np.add.reduceat(part[order], starts, axis=0)
-                self.sums[i][found, low : low + some] += folded.reshape(len(found), -1, 1 + self.p)
+        for i in range(self.m):
+            order = np.argsort(codes[i], kind="stable")
+            found, starts = _starts(codes[i][order])
+            if self.g == 1:
+                self.sums[i][found, 0] += np.add.reduceat((w * full)[order], starts, axis=0)
+                continue
+            # A product a level: the weighted columns of all replicates are never laid out.
+            weights, columns = w[order], full[order]
+            for level, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                self.sums[i][level] += weights[a:b].T @ columns[a:b]
         for (i, j), held in self.pairs.items():
             both = (codes[i] << 32) | codes[j]
             order = np.argsort(both, kind="stable")
             found, starts = _starts(both[order])
-            held.append((found, np.add.reduceat(w[order], starts, axis=0)))
-            self.held += len(found)
+            self._hold(held, found, _tight(np.add.reduceat(w[order], starts, axis=0)))
+        self._settle()
+
+    def _add_cross(self, z: np.ndarray, w: np.ndarray) -> None:
+        """Weighted cross-products; for replicates from the products of each two columns, some rows at a time."""
+        one, two = np.triu_indices(self.p)
+        some = CELLS // max(len(one), 1)
+        if self.g == 1 or some < self.g:
+            for g in range(self.g):
+                self.cross[g] += (z * w[:, g : g + 1]).T @ z
+            return
+        found = np.zeros((self.g, len(one)))
+        for low in range(0, len(z), some):
+            found += w[low : low + some].T @ (z[low : low + some, one] * z[low : low + some, two])
+        self.cross[:, one, two] += found
+        self.cross[:, two, one] += np.where(one == two, 0.0, found)
+
+    def _hold(self, held: list, found: np.ndarray, values: np.ndarray) -> None:
+        held.append((found, values))
+        self.held += len(found)
+        self.held_bytes += found.nbytes + values.nbytes
+
+    def _settle(self) -> None:
         if self.held > SLACK * self.sorted_size + 100_000:
             self.compact()
 
@@ -98,10 +122,12 @@ class State:
             if len(held) > 1:
                 both = np.concatenate([h[0] for h in held])
                 values = np.concatenate([h[1] for h in held])
+                held.clear()
                 order = np.argsort(both, kind="stable")
                 found, starts = _starts(both[order])
-                self.pairs[key] = [(found, np.add.reduceat(values[order], starts, axis=0))]
+                self.pairs[key] = [(found, _tight(_folded_values(values, order, starts)))]
         self.held = self.sorted_size = sum(len(h[0]) for held in self.pairs.values() for h in held)
+        self.held_bytes = sum(h[0].nbytes + h[1].nbytes for held in self.pairs.values() for h in held)
 
     def merge(self, other: State) -> None:
         self.totals += other.totals
@@ -112,13 +138,11 @@ class State:
         for (i, j), held in other.pairs.items():
             for both, values in held:
                 moved = (to[i][both >> 32] << 32) | to[j][both & 0xFFFFFFFF]
-                self.pairs[i, j].append((moved, values))
-                self.held += len(both)
-        if self.held > SLACK * self.sorted_size + 100_000:
-            self.compact()
+                self._hold(self.pairs[i, j], moved, values)
+        self._settle()
 
     def bytes(self) -> int:
-        return self.held * (8 + 8 * self.g) + sum(s.nbytes for s in self.sums) + self.cross.nbytes
+        return self.held_bytes + sum(s.nbytes for s in self.sums) + self.cross.nbytes
 
     def pair(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Levels of both factors and weights (pairs x g), of a compact state."""
@@ -187,6 +211,24 @@ class State:
         return out
 
 
+def _tight(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest type that holds them exactly."""
+    top = values.max(initial=0)
+    if values.dtype != np.float64 or not top <= 65_535 or values.min(initial=0) < 0:
+        return values
+    small = values.astype(np.uint8 if top <= 255 else np.uint16)
+    return small if (small == values).all() else values
+
+
+def _folded_values(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of the ordered rows in full precision, some columns at a time."""
+    out = np.empty((len(starts), values.shape[1]))
+    step = max(1, CELLS // max(len(order), 1))
+    for low in range(0, values.shape[1], step):
+        out[:, low : low + step] = np.add.reduceat(values[order, low : low + step].astype(float), starts, axis=0)
+    return out
+
+
 def _starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different values of a sorted array and where each starts."""
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, np.int64)

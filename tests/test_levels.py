@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodgrid.operators.sampling import draws, poisson_edges, seeds, with_replicates
+from moodgrid.plans import estimation
 from moodgrid.plans.accumulate import State
 from moodgrid.plans.estimation import bootstrap_ols, demeaned, design, fe_ols, figures, normal_sums, solve, tidy
 from moodgrid.plans.glm import fe_glm
@@ -124,6 +125,33 @@ def test_replicates_in_one_pass(six):
         assert np.allclose([got[b + 3, t] for t in "ab"], want, atol=1e-8)
 
 
+@pytest.mark.parametrize("way", [{"max_levels": 1}, {"max_levels": 1, "rest_levels": 1}], ids=["buckets", "gradients"])
+def test_replicates_beyond_the_dense_size(six, way, monkeypatch):
+    """Many levels raised before; now they are dealt into buckets, or solved by gradients."""
+    monkeypatch.setattr(estimation, "BUCKET_LEVELS", 20)
+    pdf, df = six
+    got = {(r.replicate, r.term): r.estimate for r in bootstrap_ols(df, "y", terms(), SIX, ["id"], replicates=7, seed=4, **way).collect()}
+    one, two = (np.array([r[0] for r in df.select(s).collect()]) for s in seeds(["id"], 4))
+    weights = draws((one, two), 1, 7)
+    assert len(got) == 14
+    for b in range(7):
+        there = weights[:, b] > 0
+        want = dense(pdf[there], weights=weights[there, b])["beta"]
+        assert np.allclose([got[b + 1, t] for t in "ab"], want, atol=1e-8)
+
+
+def test_joint_weights_stay_exact():
+    """Counts take a byte while they fit; sums beyond it and fractions keep their value."""
+    for w, kind in ((1.0, np.uint8), (200.0, np.uint16), (40_000.0, np.float64), (0.3, np.float64)):
+        state = State(1, 2, 2)
+        codes = [state.codes(0, ["a"]), state.codes(1, ["b"])]
+        for _ in range(2):
+            state.add(np.ones((1, 1)), np.full((1, 2), w), codes, np.zeros((1, 0)))
+        state.compact()
+        values = state.pair(0, 1)[2]
+        assert values.dtype == kind and (values == 2 * w).all() and state.cross[1, 0, 0] == 2 * w
+
+
 def test_draws_are_the_column_s(six):
     _, df = six
     one, two = (np.array([r[0] for r in df.select(s).collect()]) for s in seeds(["id"], 1))
