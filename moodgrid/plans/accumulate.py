@@ -8,8 +8,9 @@ of weights one state serves G replicates at once: whatever does not depend on th
 weights (reading the rows, numbering levels, sorting pairs) is done once for all.
 
 Every task folds its rows into states in Arrow batches and hands on the states
-only, packed; they are added up in a tree. A state that outgrows ``STATE_BYTES``
-is handed on early and a new one begun, so a task's memory is bounded.
+only, packed; they are added up in a tree. A state that outgrows ``STATE_BYTES``, or
+whose pairs outgrow ``PAIR_BYTES`` (sorting and dealing them takes several times as
+much), is handed on early and a new one begun, so a task's memory is bounded.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 STATE_BYTES = 128 << 20
+PAIR_BYTES = 32 << 20
 # Pairs are held unsorted up to this many times what sorting left of them.
 SLACK = 3
 # Cells of a block of products that is worked on at once.
@@ -311,7 +313,7 @@ def _folded(plan: Plan, schema: pa.Schema):
                     state.add(z, w, codes, extra)
                 else:
                     state.add(z[at], w[at], codes, extra[at])
-            if sum(s.bytes() for s in states.values()) > STATE_BYTES:
+            if sum(s.bytes() for s in states.values()) > STATE_BYTES or sum(s.held_bytes for s in states.values()) > PAIR_BYTES:
                 yield from _handed(states, plan, schema)
                 states = {}
         yield from _handed(states, plan, schema)

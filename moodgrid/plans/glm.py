@@ -5,6 +5,10 @@ number of levels asks for; the level effects return to the rows through size-che
 lookups. Models that share a form
 (replicates, regions, outcome-predictor pairs) run together as keys of one
 aggregation, each with its own convergence.
+
+A Poisson model needs no more of equal rows than their sums: with ``collapse`` rows of
+equal key, terms and levels become one, which bounds resampled models by the number of
+different rows.
 """
 
 from __future__ import annotations
@@ -75,6 +79,37 @@ def _working(family: str, rows: DataFrame) -> DataFrame:
     )
 
 
+def collapsed_rows(d: Design) -> Design:
+    """Rows of equal keys, terms and levels as one: summed weight, mean outcome, and what the deviance needs besides.
+
+    Rows without weight say nothing and are left out.
+    """
+    cell = [*d.keys, *(f"x{i}" for i in range(len(d.terms))), *(f"f{i}" for i in range(len(d.factors)))]
+    y, w = F.col("y"), F.col("w")
+    cells = d.rows.filter("w > 0").groupBy(*cell).agg(
+        F.sum("w").alias("w"),
+        (F.sum(w * y) / F.sum("w")).alias("y"),
+        F.sum(F.when(y > 0, w * y * F.log(y)).otherwise(F.lit(0.0))).alias("own"),
+        F.sum(w * log_factorial(y)).alias("factorials"),
+        F.count(F.lit(1)).cast("double").alias("count"),
+    )
+    return Design(cells, d.keys, d.terms, d.factors)
+
+
+def _working_cells(rows: DataFrame) -> DataFrame:
+    """``_working`` of Poisson models on collapsed rows."""
+    y, w, eta = F.col("y"), F.col("w"), F.col("eta")
+    rows = rows.withColumn("mu", _mean("poisson", eta))
+    mu = F.col("mu")
+    return rows.select(
+        "*",
+        (eta + (y - mu) / mu).alias("z"),
+        (w * mu).alias("v"),
+        (F.lit(2.0) * (F.col("own") - w * y * F.log(mu) - w * (y - mu))).alias("dev"),
+        (w * y * F.log(mu) - w * mu - F.col("factorials")).alias("ll"),
+    )
+
+
 def drop_separated(d: Design, family: str) -> Design:
     """Remove factor levels without any event, whose effect has no finite value.
 
@@ -111,6 +146,7 @@ def fe_glm(
     separated: bool = True,
     max_levels: int = MAX_LEVELS,
     rest_levels: int = REST_LEVELS,
+    collapse: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit one model per key; returns (coefficients, fit figures).
 
@@ -120,9 +156,11 @@ def fe_glm(
     """
     if family not in ("poisson", "binomial"):
         raise ValueError("family is poisson or binomial")
+    if collapse and family != "poisson":
+        raise ValueError("only Poisson rows collapse")
     with plain_plans(df):
         d = design(df, y, terms, factors, weight, keys)
-        solution = _settled_glm(d, bool(factors) and separated, family, tolerance, max_steps, max_levels, rest_levels)
+        solution = _settled_glm(d, bool(factors) and separated, family, tolerance, max_steps, max_levels, rest_levels, collapse)
     coefs = solution.filter(F.col("kind") == COEF)
     # Unit dispersion: the inverse information alone gives the errors.
     position = F.array_position(F.array(*(F.lit(t) for t in d.terms)), F.col("term")).cast("int")
@@ -134,7 +172,7 @@ def fe_glm(
     figures = (
         solution.groupBy(*keys)
         .agg(
-            pick("fit", "n").alias("n"),
+            (pick(TOTALS, "2") if collapse else pick("fit", "n")).alias("n"),
             pick(TOTALS, "0").alias("deviance"),
             pick(TOTALS, "1").alias("log_lik"),
             (pick("fit", "absorbed") + pick("fit", "n_terms")).alias("parameters"),
@@ -145,9 +183,12 @@ def fe_glm(
 
 
 def _settled_glm(
-    d: Design, separated: bool, family: str, tolerance: float, max_steps: int, max_levels: int, rest_levels: int
+    d: Design, separated: bool, family: str, tolerance: float, max_steps: int, max_levels: int, rest_levels: int,
+    collapse: bool = False,
 ) -> DataFrame:
     """The solution rows of the last step."""
+    if collapse:
+        d = collapsed_rows(d)
     # Kept before anything filters on it.
     held = d.rows.persist()
     d = Design(held, d.keys, d.terms, d.factors)
@@ -160,6 +201,7 @@ def _settled_glm(
     centre = F.greatest(d.rows.agg(F.avg("y")).scalar(), F.lit(1e-6)) if family == "poisson" else F.lit(0.5)
     first = (F.col("y") + centre) / F.lit(2.0)
     rows = d.rows.withColumn("eta", F.log(first) if family == "poisson" else F.log(first / (F.lit(1.0) - first)))
+    sums = {"dev": F.col("dev"), "ll": F.col("ll"), **({"rows": F.col("count")} if collapse else {})}
     previous: dict[tuple, float] = {}
     older, solution, small = None, None, None
     steps = halvings = 0
@@ -167,10 +209,11 @@ def _settled_glm(
         while True:
             if steps == max_steps or halvings > MAX_HALVINGS:
                 raise RuntimeError(f"the {family} model did not settle in {steps} steps")
-            step = Design(_working(family, rows), d.keys, d.terms, d.factors)
+            working = _working_cells(rows) if collapse else _working(family, rows)
+            step = Design(working, d.keys, d.terms, d.factors)
             # A step's solution (terms and levels per key) is needed by every
             # later step, so it is written out once.
-            following = cut_lineage(solution_of(step, shape, {"dev": F.col("dev"), "ll": F.col("ll")}, z="z", w="v"))
+            following = cut_lineage(solution_of(step, shape, sums, z="z", w="v"))
             deviance = {
                 tuple(r[c] for c in keys): r["estimate"]
                 for r in following.filter((F.col("kind") == TOTALS) & (F.col("term") == "0")).collect()

@@ -244,8 +244,10 @@ def survey_models(linked: DataFrame, ids: Sequence[str], replicates: int = 100,
     """Bootstrap coefficients of the Poisson model of bad days on running mood."""
     from moodgrid.operators.sampling import with_replicates
 
-    drawn = with_replicates(linked, ids, replicates)
-    coefs, _ = fe_glm(drawn, "mh", {f"vader{k}": F.col(f"vader{k}")}, ["state", "yearmonth"], "poisson", "weight", ["replicate"])
+    mood, factors = f"vader{k}", ["state", "yearmonth"]
+    # Equal answers meet before they are drawn, so the drawn rows fold where they arise.
+    drawn = with_replicates(linked.hint("rebalance", mood, *factors), ids, replicates)
+    coefs, _ = fe_glm(drawn, "mh", {mood: F.col(mood)}, factors, "poisson", "weight", ["replicate"], collapse=True)
     return coefs.select("replicate", "term", "estimate")
 
 

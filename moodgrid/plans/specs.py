@@ -123,6 +123,9 @@ def bootstrap_fit(
     if form.family == "gaussian":
         return bootstrap_ols(rows, outcome, form.terms, form.absorb, ids, replicates, seed, first)
     drawn = with_replicates(rows, ids, replicates, seed, first)
+    if form.family == "poisson":
+        coefs, _ = fe_glm(drawn, outcome, form.terms, form.absorb, "poisson", "weight", ["replicate"], collapse=True)
+        return coefs.select("replicate", "term", "estimate")
     return fit(drawn, outcome, form, ["replicate"], "weight").select("replicate", "term", "estimate")
 
 

@@ -111,8 +111,10 @@ def _(t):
 def _(t):
     from moodgrid.operators.sampling import with_replicates
 
-    drawn = with_replicates(t.stored(t.panel), ["id"], 20)
-    coefs, _ = fe_glm(drawn, "depress_term", col("wbgt"), ["state", "year"], "poisson", "weight", ["replicate"])
+    # Equal rows meet before they are drawn, so the drawn rows fold where they arise.
+    rows = t.panel.select("id", "depress_term", "wbgt", "state", "year").hint("rebalance", "wbgt", "state", "year")
+    drawn = with_replicates(rows, ["id"], 20)
+    coefs, _ = fe_glm(drawn, "depress_term", col("wbgt"), ["state", "year"], "poisson", "weight", ["replicate"], collapse=True)
     return rounded(coefs.select("replicate", "term", "estimate"), 7)
 
 

@@ -9,7 +9,7 @@ from moodgrid.operators.sampling import draws, poisson_edges, seeds, with_replic
 from moodgrid.plans import estimation
 from moodgrid.plans.accumulate import State
 from moodgrid.plans.estimation import bootstrap_ols, demeaned, design, fe_ols, figures, normal_sums, solve, tidy
-from moodgrid.plans.glm import fe_glm
+from moodgrid.plans.glm import collapsed_rows, fe_glm
 
 SIX = ["dow", "doy", "tod", "fips", "year", "statemonth"]
 
@@ -113,6 +113,22 @@ def test_poisson_beyond_the_dense_size(six, way):
         assert abs(got[t].estimate - beta[i]) < 1e-6 and abs(got[t].std_error - errors[i]) < 1e-5
 
 
+def test_equal_poisson_rows_collapse(six):
+    """The same model, figures and count of rows from one row for each different one."""
+    pdf, df = six
+    rows = df.select("c", "w", "h", "fips", "dow", F.round("a").alias("a"))
+    d = design(rows, "c", {"a": F.col("a")}, ["fips", "dow"], "w", ["h"])
+    assert collapsed_rows(d).rows.count() < len(pdf) * 0.9
+    plain, full = (
+        fe_glm(rows, "c", {"a": F.col("a")}, ["fips", "dow"], "poisson", "w", ["h"], collapse=c) for c in (False, True)
+    )
+    for one, two in zip(plain, full, strict=True):
+        a, b = one.orderBy("h").toPandas(), two.orderBy("h").toPandas()
+        assert len(a) == 2 and list(a.columns) == list(b.columns)
+        numbers = a.select_dtypes("number").columns
+        assert np.allclose(a[numbers], b[numbers], rtol=1e-7)
+
+
 def test_replicates_in_one_pass(six):
     pdf, df = six
     got = {(r.replicate, r.term): r.estimate for r in bootstrap_ols(df, "y", terms(), SIX, ["id"], replicates=12, seed=4, first=3).collect()}
