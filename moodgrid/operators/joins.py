@@ -14,6 +14,8 @@ SMALL_ROWS = 200_000  # rows a lookup may have to be sent to every executor
 HOT_SHARE = 0.001  # a key holding more than this share of the rows is salted
 SALTS = 64
 BANDS = (2, 4)  # edits up to which texts are met by their segments
+DIRECT = 10_000  # texts of a group that cost less to compare than to meet by segments
+SALT_KEYS = 500  # open texts of a group for each copy of its candidates
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
@@ -111,18 +113,20 @@ def densify(df: DataFrame, key: str, day: str, first: Column, last: Column) -> D
 
 
 def nearest_key_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], text: str, right_text: str
+    left: DataFrame, right: DataFrame, on: Sequence[str], text: str, right_text: str, direct: int = DIRECT
 ) -> DataFrame:
     """For each left row the right row with equal ``on`` and the closest text.
 
     Equal texts are settled by an equi-join and texts one edit apart by joining
-    on their one-letter deletions. For the rest the bound k goes through ``BANDS``:
+    on their one-letter deletions. The rest are compared with all texts of their group
+    where these are at most ``direct``; else the bound k first goes through ``BANDS``:
     of k + 1 segments of a text one stays whole under k edits, so texts within k
     share a segment at places at most k apart, and only such pairs are compared.
     Rows open beyond the last band compare themselves with the distinct texts of
     their own ``on`` group, spread by salt and folded to a minimum where they
     arise. Ties take the smallest text, then the smallest row; ``right_text``
-    names the matched key.
+    names the matched key. The exploded sides always meet by a shuffle: their size is
+    estimated from the rows before the explosion, so they might be broadcast.
     """
     on = list(on)
     keys = left.select(*on, text).distinct()
@@ -148,12 +152,16 @@ def nearest_key_join(
     one_left = open_keys.withColumn("__v", F.explode(deletions(text)))
     one_right = candidates.withColumn("__v", F.explode(deletions("__r")))
     one_edit = (
-        one_left.join(one_right, [*on, "__v"], "inner")
+        one_left.join(one_right.hint("merge"), [*on, "__v"], "inner")
         .withColumn("__d", F.levenshtein(F.col(text), F.col("__r")))
         .filter(F.col("__d") == 1)
     )
     near = cut_lineage(_closest(one_edit, on, text))
     open_keys = cut_lineage(open_keys.join(near.select(*on, text), [*on, text], "left_anti"))
+    held = candidates.groupBy(*on).agg(F.count(F.lit(1)).alias("__held"))
+    sized = cut_lineage(open_keys.join(held, on, "left").withColumn("__held", F.coalesce("__held", F.lit(0))))
+    few = sized.filter(F.col("__held") <= direct).drop("__held")
+    open_keys = sized.filter(F.col("__held") > direct).drop("__held")
     for k in BANDS:
         if open_keys.isEmpty():
             break
@@ -161,13 +169,16 @@ def nearest_key_join(
         near = near.unionByName(banded)
         open_keys = cut_lineage(open_keys.join(banded.select(*on, text), [*on, text], "left_anti"))
 
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    open_keys = few.unionByName(open_keys)
+    salts = F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / F.lit(SALT_KEYS))).cast("long")
+    spread = open_keys.groupBy(*on).agg(salts.alias("__salts"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))
     far_pairs = (
-        open_keys.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
+        open_keys.join(spread, on, "inner")
+        .withColumn("__salt", F.pmod(F.xxhash64(text), F.col("__salts")))
+        .drop("__salts")
         .join(
-            candidates.join(open_keys.select(*on).distinct(), on, "left_semi").withColumn(
-                "__salt", F.explode(salts)
-            ),
+            candidates.join(spread, on, "inner").withColumn("__salt", copies).drop("__salts").hint("merge"),
             [*on, "__salt"],
             "inner",
         )
@@ -199,7 +210,7 @@ def _within(left: DataFrame, right: DataFrame, on: list[str], text: str, k: int)
     places = f"transform(IF({last} < {first}, array(), sequence({first}, {last})), p -> named_struct('m', m, 'i', i, 's', substring(__l, p + 1, {size})))"
     parts = f"array_distinct(flatten(flatten(transform(sequence(greatest(n - {k}, 0), n + {k}), m -> transform(sequence(0, {k}), i -> {places})))))"
     asked = left.withColumns({"__l": F.col(text), "n": F.length(text)}).withColumn("__p", F.explode(F.expr(parts))).drop("__l", "n")
-    pairs = asked.join(filed, [*on, "__p"], "inner").select(*on, text, "__r").distinct()
+    pairs = asked.join(filed.hint("merge"), [*on, "__p"], "inner").select(*on, text, "__r").distinct()
     return pairs.withColumn("__d", F.levenshtein(F.col(text), F.col("__r"), k)).filter(F.col("__d") >= 0)
 
 

@@ -84,6 +84,25 @@ def test_nearest_key_is_exact(spark):
         assert got[(at, s)] == best
 
 
+def test_bands_and_whole_groups_find_the_same(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choice("0123456") for _ in range(random.randint(5, 12)))
+    left = spark.createDataFrame([(random.choice([0, 1, 2, None]), word()) for _ in range(60)], "at int, id string")
+    right = spark.createDataFrame([(random.choice([0, 1, None]), word(), i) for i in range(70)], "at int, id string, v int")
+    one, two = (
+        sorted(map(repr, joins.nearest_key_join(left, right, ["at"], "id", "m", direct=n).collect())) for n in (0, joins.DIRECT)
+    )
+    assert len(one) == 60 and one == two
+
+
+def test_exploded_texts_are_not_broadcast(spark):
+    """Few short rows explode into many: their estimated size must not send them to the driver."""
+    texts = spark.createDataFrame([(1, "0123456789")], "at int, id string")
+    pairs = joins._within(texts, texts.withColumnRenamed("id", "__r"), ["at"], "id", 4)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in pairs.collect()] == [(1, "0123456789", "0123456789", 0)]
+
+
 def test_concave_polygon_and_left_join(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
     shape = spark.createDataFrame([("u", ring)], "name string, ring array<struct<x: double, y: double>>")
