@@ -281,6 +281,17 @@ def _handed(states: dict[tuple, State], plan: Plan, schema: pa.Schema) -> Iterat
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
 
+def _outgrown(states: dict[tuple, State]) -> bool:
+    """Whether the states are to be handed on, which sorting their pairs may still put off."""
+    held = lambda: sum(s.held_bytes for s in states.values())
+    if held() > PAIR_BYTES:
+        for state in states.values():
+            state.compact()
+        if held() > PAIR_BYTES // 2:
+            return True
+    return sum(s.bytes() for s in states.values()) > STATE_BYTES
+
+
 def _folded(plan: Plan, schema: pa.Schema):
     p, m = len(plan.columns), len(plan.factors)
 
@@ -313,7 +324,7 @@ def _folded(plan: Plan, schema: pa.Schema):
                     state.add(z, w, codes, extra)
                 else:
                     state.add(z[at], w[at], codes, extra[at])
-            if sum(s.bytes() for s in states.values()) > STATE_BYTES or sum(s.held_bytes for s in states.values()) > PAIR_BYTES:
+            if _outgrown(states):
                 yield from _handed(states, plan, schema)
                 states = {}
         yield from _handed(states, plan, schema)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodgrid.operators.sampling import draws, poisson_edges, seeds, with_replicates
-from moodgrid.plans import estimation
+from moodgrid.plans import accumulate, estimation
 from moodgrid.plans.accumulate import State
 from moodgrid.plans.estimation import bootstrap_ols, demeaned, design, fe_ols, figures, normal_sums, solve, tidy
 from moodgrid.plans.glm import collapsed_rows, fe_glm
@@ -168,6 +168,21 @@ def test_joint_weights_stay_exact():
         assert values.dtype == kind and (values == 2 * w).all() and state.cross[1, 0, 0] == 2 * w
 
 
+def test_states_are_handed_on_by_their_sorted_pairs(monkeypatch):
+    monkeypatch.setattr(accumulate, "PAIR_BYTES", 2_000)
+
+    def held(distinct):
+        state = State(1, 2)
+        for k in range(400):
+            codes = [state.codes(0, [str(k % distinct)]), state.codes(1, ["b"])]
+            state.add(np.ones((1, 1)), np.ones((1, 1)), codes, np.zeros((1, 0)))
+        return {(): state}
+
+    few, many = held(5), held(400)
+    assert not accumulate._outgrown(few) and few[()].held == 5
+    assert accumulate._outgrown(many)
+
+
 def test_draws_are_the_column_s(six):
     _, df = six
     one, two = (np.array([r[0] for r in df.select(s).collect()]) for s in seeds(["id"], 1))
