@@ -33,6 +33,9 @@ PAIR_BYTES = 32 << 20
 SLACK = 3
 # Cells of a block of products that is worked on at once.
 CELLS = 4 << 20
+# Pairs of levels of two factors up to which each has a cell of its own.
+GRID = 1 << 18
+GRID_ROWS = 64
 FAN = 32
 REST = -1
 
@@ -53,6 +56,7 @@ class State:
     held: int = 0
     held_bytes: int = 0
     sorted_size: int = 0
+    grids: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)  # pairs with a cell each, until sorted
 
     def __post_init__(self) -> None:
         if self.totals is None:
@@ -78,13 +82,14 @@ class State:
         if self.e:
             self.totals[:, 2:] += extra.sum(axis=0)
         self._add_cross(z, w)
+        if self.g == 1:
+            self._add_single(z, w[:, 0], codes)
+            self._settle()
+            return
         full = np.column_stack((np.ones(len(z)), z))
         for i in range(self.m):
             order = np.argsort(codes[i], kind="stable")
             found, starts = _starts(codes[i][order])
-            if self.g == 1:
-                self.sums[i][found, 0] += np.add.reduceat((w * full)[order], starts, axis=0)
-                continue
             # A product a level: the weighted columns of all replicates are never laid out.
             weights, columns = w[order], full[order]
             for level, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
@@ -96,6 +101,37 @@ class State:
             self._hold(held, found, _tight(np.add.reduceat(w[order], starts, axis=0)))
         self._settle()
 
+    def _add_single(self, z: np.ndarray, w: np.ndarray, codes: list[np.ndarray]) -> None:
+        """Sums per level and joint weights for one weight a row, counted into bins; of sparse columns only what is there."""
+        n, columns = len(w), [(None, w)]
+        for column in np.ascontiguousarray((z * w[:, None]).T):
+            there = np.flatnonzero(column)
+            columns.append((there, column[there]) if len(there) * 3 < n else (None, column))
+        for i in range(self.m):
+            size, found, own = len(self.sums[i]), slice(None), codes[i]
+            if size > n:
+                found, own = np.unique(own, return_inverse=True)
+                size = len(found)
+            binned = [np.bincount(own if at is None else own[at], values, size) for at, values in columns]
+            self.sums[i][found, 0] += np.stack(binned, axis=1)
+        rows = self.totals[0, 0]
+        for (i, j), held in self.pairs.items():
+            shape = len(self.levels[i]), len(self.levels[j])
+            if n >= GRID_ROWS and shape[0] * shape[1] <= min(GRID, 32 * n, 2 * rows):
+                # Few enough pairs for a cell each.
+                grid = self.grids.get((i, j))
+                if grid is None or grid.shape != shape:
+                    wider = np.zeros(shape)
+                    if grid is not None:
+                        wider[: grid.shape[0], : grid.shape[1]] = grid
+                    grid = self.grids[i, j] = wider
+                grid += np.bincount(codes[i] * shape[1] + codes[j], w, grid.size).reshape(shape)
+                continue
+            both = (codes[i] << 32) | codes[j]
+            order = np.argsort(both, kind="stable")
+            found, starts = _starts(both[order])
+            self._hold(held, found, _tight(np.add.reduceat(w[order], starts)[:, None]))
+
     def _add_cross(self, z: np.ndarray, w: np.ndarray) -> None:
         """Weighted cross-products; for replicates from the products of each two columns, some rows at a time."""
         one, two = np.triu_indices(self.p)
@@ -120,6 +156,10 @@ class State:
             self.compact()
 
     def compact(self) -> None:
+        for (i, j), grid in self.grids.items():
+            a, b = np.nonzero(grid)
+            self._hold(self.pairs[i, j], (a << 32) | b, _tight(grid[a, b][:, None]))
+        self.grids = {}
         for key, held in self.pairs.items():
             if len(held) > 1:
                 both = np.concatenate([h[0] for h in held])
@@ -144,7 +184,7 @@ class State:
         self._settle()
 
     def bytes(self) -> int:
-        return self.held_bytes + sum(s.nbytes for s in self.sums) + self.cross.nbytes
+        return self.held_bytes + sum(x.nbytes for x in self.grids.values()) + sum(s.nbytes for s in self.sums) + self.cross.nbytes
 
     def pair(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Levels of both factors and weights (pairs x g), of a compact state."""
@@ -377,9 +417,14 @@ def partial_states(rows: DataFrame, plan: Plan) -> tuple[DataFrame, StructType]:
 def states(rows: DataFrame, plan: Plan) -> DataFrame:
     """One state for each key, group of replicates and bucket, with all rows folded in."""
     found, schema = partial_states(rows, plan)
+    return merged_states(found, schema, plan)
+
+
+def merged_states(found: DataFrame, schema: StructType, plan: Plan) -> DataFrame:
+    """The partial states of all tasks, added up."""
     arrow = to_arrow_schema(schema)
     names = [*plan.keys, "__group", "__bucket"]
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    cores = found.sparkSession.sparkContext.defaultParallelism
     if cores > FAN:
         # Two levels: no task adds up the states of all tasks.
         found = found.withColumn("__branch", F.pmod(F.spark_partition_id(), F.lit(-(-cores // FAN))))

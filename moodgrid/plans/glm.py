@@ -1,8 +1,9 @@
 """Poisson and logit models with absorbed factors, by reweighted least squares.
 
 One step folds the rows once and solves as least squares does, by whichever way the
-number of levels asks for; the level effects return to the rows through size-checked
-lookups. Models that share a form
+number of levels asks for. The rows are packed into blocks of numbers once, which meet
+the last step's solution (``blocks``); designs with two wide factors bring the level
+effects back to the rows through size-checked lookups. Models that share a form
 (replicates, regions, outcome-predictor pairs) run together as keys of one
 aggregation, each with its own convergence.
 
@@ -16,10 +17,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodgrid.operators.joins import is_small, lookup_join
+from moodgrid.plans.blocks import Working, block_states, packed_rows
 from moodgrid.plans.estimation import (
     COEF,
     LEVEL,
@@ -27,15 +30,21 @@ from moodgrid.plans.estimation import (
     REST_LEVELS,
     TOTALS,
     Design,
+    Shape,
     design,
     plain_plans,
+    plan_of,
     shape_of,
     solution_of,
+    solve,
 )
 from moodgrid.session import cut_lineage
 
 BOUND = 30.0
 MAX_HALVINGS = 30
+# Columns of a block before the terms, and further ones of collapsed rows.
+LEAD, CELL_LEAD = 2, 3
+LOG_FACTORIALS = np.log([float(math.factorial(n)) for n in range(21)])
 
 
 def _mean(family: str, eta: Column) -> Column:
@@ -110,6 +119,49 @@ def _working_cells(rows: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(d: Design, shape: Shape, collapse: bool) -> DataFrame:
+    """The rows as packed blocks: outcome, weight, of collapsed rows their sums, terms."""
+    columns = ["y", "w", *(("own", "factorials", "count") if collapse else ()), *(f"x{i}" for i in range(len(d.terms)))]
+    return packed_rows(d.rows, d.keys, columns, [f"f{i}" for i in range(len(d.factors))], shape.wide, max(shape.buckets, 1))
+
+
+def _log_factorials(y: np.ndarray) -> np.ndarray:
+    """``log_factorial`` of numbers."""
+    out = LOG_FACTORIALS[np.clip(y, 0, 20).astype(int)]
+    many = np.flatnonzero(y > 20)
+    if len(many):
+        b = y[many]
+        out[many] = b * np.log(b) - b + 0.5 * np.log(2 * math.pi * b) + 1 / (12 * b) - 1 / (360 * b**3)
+    return out
+
+
+def _working_block(family: str, collapse: bool, centre: float) -> Working:
+    """``_working`` and ``_working_cells`` on the numbers of a block."""
+
+    def made(values: np.ndarray, eta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y, w = values[0], values[1]
+        if eta is None:
+            first = (y + centre) / 2
+            eta = np.log(first) if family == "poisson" else np.log(first / (1 - first))
+        bounded = np.clip(eta, -BOUND, BOUND)
+        mu = np.exp(bounded) if family == "poisson" else 1 / (1 + np.exp(-bounded))
+        slope = mu if family == "poisson" else mu * (1 - mu)
+        z, v, log_mu = eta + (y - mu) / slope, w * slope, np.log(mu)
+        if collapse:
+            own, factorials, count = values[2:5]
+            return z, v, np.stack((2 * (own - w * y * log_mu - w * (y - mu)), w * y * log_mu - w * mu - factorials, count))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_ratio = np.where(y > 0, y * np.log(y / mu), 0.0)
+            if family == "poisson":
+                dev, ll = log_ratio - (y - mu), y * log_mu - mu - _log_factorials(y)
+            else:
+                dev = log_ratio + np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - mu)), 0.0)
+                ll = y * log_mu + (1 - y) * np.log(1 - mu)
+        return z, v, np.stack((2 * w * dev, w * ll))
+
+    return made
+
+
 def drop_separated(d: Design, family: str) -> Design:
     """Remove factor levels without any event, whose effect has no finite value.
 
@@ -196,6 +248,7 @@ def _settled_glm(
         d = drop_separated(d, family)
     shape = shape_of(d, max_levels, rest_levels)
     keys, k = list(d.keys), len(d.terms)
+    in_blocks = not shape.iterate
 
     # Halfway between each value and the overall mean, away from the borders.
     centre = F.greatest(d.rows.agg(F.avg("y")).scalar(), F.lit(1e-6)) if family == "poisson" else F.lit(0.5)
@@ -203,17 +256,24 @@ def _settled_glm(
     rows = d.rows.withColumn("eta", F.log(first) if family == "poisson" else F.log(first / (F.lit(1.0) - first)))
     sums = {"dev": F.col("dev"), "ll": F.col("ll"), **({"rows": F.col("count")} if collapse else {})}
     previous: dict[tuple, float] = {}
+    blocks = _blocks(d, shape, collapse).persist() if in_blocks else None
+    middle = float(d.rows.agg(centre).first()[0] or 0.5) if in_blocks else None
     older, solution, small = None, None, None
     steps = halvings = 0
     try:
         while True:
             if steps == max_steps or halvings > MAX_HALVINGS:
                 raise RuntimeError(f"the {family} model did not settle in {steps} steps")
-            working = _working_cells(rows) if collapse else _working(family, rows)
-            step = Design(working, d.keys, d.terms, d.factors)
             # A step's solution (terms and levels per key) is needed by every
             # later step, so it is written out once.
-            following = cut_lineage(solution_of(step, shape, sums, z="z", w="v"))
+            if in_blocks:
+                plan = plan_of(d, tuple(sums), "z", "v", shape)
+                found = block_states(blocks, solution, plan, d.terms, LEAD + CELL_LEAD * collapse, _working_block(family, collapse, middle))
+                following = cut_lineage(solve(d, found, shape))
+            else:
+                working = _working_cells(rows) if collapse else _working(family, rows)
+                step = Design(working, d.keys, d.terms, d.factors)
+                following = cut_lineage(solution_of(step, shape, sums, z="z", w="v"))
             deviance = {
                 tuple(r[c] for c in keys): r["estimate"]
                 for r in following.filter((F.col("kind") == TOTALS) & (F.col("term") == "0")).collect()
@@ -222,7 +282,7 @@ def _settled_glm(
             if worse:
                 # The last step went too far for these models: go back half way.
                 solution = cut_lineage(_halfway(solution, older, keys, worse))
-                rows = _predictor(d, solution, keys, k, small)
+                rows = rows if in_blocks else _predictor(d, solution, keys, k, small)
                 halvings += 1
                 continue
             steps, halvings = steps + 1, 0
@@ -232,12 +292,18 @@ def _settled_glm(
             older, solution, previous = solution, following, deviance
             if settled:
                 break
+            if in_blocks:
+                if steps == 1:
+                    held.unpersist()
+                continue
             if small is None:
                 # The tables keep their size from step to step.
                 small = is_small(solution.filter(F.col("kind") == LEVEL))
             rows = _predictor(d, solution, keys, k, small)
     finally:
         held.unpersist()
+        if blocks is not None:
+            blocks.unpersist()
     return solution
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodgrid.operators.sampling import draws, poisson_edges, seeds, with_replicates
-from moodgrid.plans import accumulate, estimation
+from moodgrid.plans import accumulate, blocks, estimation
 from moodgrid.plans.accumulate import State
 from moodgrid.plans.estimation import bootstrap_ols, demeaned, design, fe_ols, figures, normal_sums, solve, tidy
 from moodgrid.plans.glm import collapsed_rows, fe_glm
@@ -243,3 +243,18 @@ def test_gradients_over_written_tables(six):
         assert np.allclose([got[h, t].estimate for t in "ab"], want["beta"], atol=1e-8)
         assert np.allclose([got[h, t].std_error for t in "ab"], want["error"], rtol=1e-6)
         assert fits[h]["absorbed"] == want["absorbed"] and abs(fits[h]["aic"] - want["aic"]) < 1e-5
+
+
+@pytest.mark.parametrize("shape", [estimation.Shape(), estimation.Shape(3, 3)])
+def test_packed_blocks_fold_as_rows_do(six, monkeypatch, shape):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
+    d = design(six[1], "c", terms(), SIX, "w", ["h"])
+    packed = blocks.packed_rows(d.rows, d.keys, ["y", "w", "x0", "x1"], [f"f{i}" for i in range(6)], shape.wide, max(shape.buckets, 1))
+    # Far fewer rows to read at each step than the model has, and no strings but the levels met.
+    assert len(six[0]) / 40 <= packed.count() <= len(six[0]) / 5
+    as_is = lambda values, eta: (values[0], values[1], np.zeros((0, values.shape[1])))
+    found = blocks.block_states(packed, None, estimation.plan_of(d, shape=shape), d.terms, 2, as_is)
+    got = {(r.h, r.term): r for r in tidy(solve(d, found, shape), ["h"]).collect()}
+    for r in tidy(fe_ols(six[1], "c", terms(), SIX, "w", ["h"]), ["h"]).collect():
+        assert got[r.h, r.term].estimate == pytest.approx(r.estimate, rel=1e-9)
+        assert got[r.h, r.term].std_error == pytest.approx(r.std_error, rel=1e-9)
