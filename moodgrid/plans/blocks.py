@@ -26,6 +26,8 @@ BLOCK_CELLS = 1 << 19
 BLOCK_ROWS = 1 << 16
 # Blocks' worth of rows that a task gathers before the largest one is handed on.
 OPEN_BLOCKS = 16
+# Effects that may be sent to every executor.
+SENT_LEVELS = 500_000
 
 # The numbers of a block (columns x rows) and the parts of a solution give the linear predictor's sums:
 # columns of the fold (outcome first), weights, further sums.
@@ -103,9 +105,14 @@ def packed_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fa
     return rows.mapInArrow(run, schema)
 
 
-def with_solution(blocks: DataFrame, solution: DataFrame | None, keys: Sequence[str], wide: int | None, buckets: int) -> DataFrame:
-    """Blocks with ``__rest`` (coefficients and effects of the key) and ``__own`` (effects of the bucket's wide levels)."""
-    keys = list(keys)
+def with_solution(
+    blocks: DataFrame, solution: DataFrame | None, keys: Sequence[str], wide: int | None, buckets: int, small: bool = False
+) -> DataFrame:
+    """Blocks with ``__rest`` (coefficients and effects of the key) and ``__own`` (effects of the bucket's wide levels).
+
+    ``small``: the solution may be sent to every executor, so the blocks stay where they are.
+    """
+    keys, sent = list(keys), F.broadcast if small else lambda table: table
     row = F.struct("kind", "term", "level", "estimate")
     none = F.lit(None).cast("array<struct<kind:string,term:string,level:string,estimate:double>>")
     if solution is None:
@@ -113,12 +120,12 @@ def with_solution(blocks: DataFrame, solution: DataFrame | None, keys: Sequence[
     solution = solution.filter("kind IN ('coef', 'level')")
     far = (F.col("kind") == "level") & (F.col("term") == F.lit(str(wide)))
     rest = solution.filter(~far).groupBy(*keys).agg(F.collect_list(row).alias("__rest"))
-    met = blocks.join(rest, keys) if keys else blocks.withColumn("__rest", rest.scalar())
+    met = blocks.join(sent(rest), keys) if keys else blocks.withColumn("__rest", rest.scalar())
     if wide is None:
         return met.withColumn("__own", none)
     bucket = F.pmod(F.crc32(F.col("level").cast("binary")), F.lit(buckets)).cast("int")
     own = solution.filter(far).groupBy(*keys, bucket.alias("__bucket")).agg(F.collect_list(row).alias("__own"))
-    return met.join(own, [*keys, "__bucket"])
+    return met.join(sent(own), [*keys, "__bucket"])
 
 
 class Effects:
@@ -142,14 +149,15 @@ class Effects:
 
 
 def block_states(
-    blocks: DataFrame, solution: DataFrame | None, plan: Plan, terms: Sequence[str], lead: int, working: Working
+    blocks: DataFrame, solution: DataFrame | None, plan: Plan, terms: Sequence[str], lead: int, working: Working,
+    small: bool = False,
 ) -> DataFrame:
     """One state for each key and bucket, as ``accumulate.states``: of what ``working`` makes of the blocks.
 
     ``lead`` is the number of a block's columns before the terms.
     """
     keys, m, p, n = list(plan.keys), len(plan.factors), len(plan.columns), len(plan.keys)
-    met = with_solution(blocks, solution, keys, plan.wide, plan.buckets).select(*keys, "__bucket", "size", "block", "__rest", "__own")
+    met = with_solution(blocks, solution, keys, plan.wide, plan.buckets, small).select(*keys, "__bucket", "size", "block", "__rest", "__own")
     schema = StructType(
         [*(blocks.schema[k] for k in keys), StructField("__group", IntegerType()), StructField("__bucket", IntegerType()), StructField("__state", BinaryType())]
     )

@@ -21,8 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.operators.joins import is_small, lookup_join
-from moodgrid.plans.blocks import Working, block_states, packed_rows
+from moodgrid.operators.joins import SMALL_ROWS, is_small, lookup_join
+from moodgrid.plans.blocks import SENT_LEVELS, Working, block_states, packed_rows
 from moodgrid.plans.estimation import (
     COEF,
     LEVEL,
@@ -268,7 +268,7 @@ def _settled_glm(
             # later step, so it is written out once.
             if in_blocks:
                 plan = plan_of(d, tuple(sums), "z", "v", shape)
-                found = block_states(blocks, solution, plan, d.terms, LEAD + CELL_LEAD * collapse, _working_block(family, collapse, middle))
+                found = block_states(blocks, solution, plan, d.terms, LEAD + CELL_LEAD * collapse, _working_block(family, collapse, middle), bool(small))
                 following = cut_lineage(solve(d, found, shape))
             else:
                 working = _working_cells(rows) if collapse else _working(family, rows)
@@ -292,13 +292,12 @@ def _settled_glm(
             older, solution, previous = solution, following, deviance
             if settled:
                 break
-            if in_blocks:
-                if steps == 1:
-                    held.unpersist()
-                continue
             if small is None:
                 # The tables keep their size from step to step.
-                small = is_small(solution.filter(F.col("kind") == LEVEL))
+                small = is_small(solution.filter(F.col("kind") == LEVEL), SENT_LEVELS if in_blocks else SMALL_ROWS)
+            if in_blocks:
+                held.unpersist()
+                continue
             rows = _predictor(d, solution, keys, k, small)
     finally:
         held.unpersist()

@@ -258,3 +258,12 @@ def test_packed_blocks_fold_as_rows_do(six, monkeypatch, shape):
     for r in tidy(fe_ols(six[1], "c", terms(), SIX, "w", ["h"]), ["h"]).collect():
         assert got[r.h, r.term].estimate == pytest.approx(r.estimate, rel=1e-9)
         assert got[r.h, r.term].std_error == pytest.approx(r.std_error, rel=1e-9)
+
+
+def test_long_methods_are_left_out_while_fits_run(six):
+    """Terms in one method beyond what the JVM compiles cost a row ten times as much."""
+    conf = six[1].sparkSession.conf
+    before = conf.get("spark.sql.codegen.hugeMethodLimit")
+    with estimation.plain_plans(six[1]):
+        assert int(conf.get("spark.sql.codegen.hugeMethodLimit")) == 8_000
+    assert conf.get("spark.sql.codegen.hugeMethodLimit") == before
