@@ -15,6 +15,7 @@ much), is handed on early and a new one begun, so a task's memory is bounded.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -212,6 +213,14 @@ class State:
         out.held = out.sorted_size = self.held
         return out
 
+    def some_columns(self, at: Sequence[int]) -> State:
+        """The state of some of the columns, in the order given."""
+        at = list(at)
+        sums = [s[:, :, [0, *(c + 1 for c in at)]] for s in self.sums]
+        out = State(len(at), self.m, self.g, self.e, self.levels, self.totals, self.cross[:, at][:, :, at], sums, self.pairs)
+        out.held = out.sorted_size = self.held
+        return out
+
     def dealt(self, wide: int, buckets: int) -> dict[int, State]:
         """By bucket what belongs to levels of one factor, and the rest as ``REST``."""
         self.compact()
@@ -430,6 +439,9 @@ def merged_states(found: DataFrame, schema: StructType, plan: Plan) -> DataFrame
         found = found.withColumn("__branch", F.pmod(F.spark_partition_id(), F.lit(-(-cores // FAN))))
         found = found.repartition(*names, "__branch").sortWithinPartitions(*names, "__branch").drop("__branch")
         found = found.mapInArrow(_merged(len(plan.keys), arrow), schema)
+    # Buckets of a slice meet in one task, which may then add up what it makes of them.
+    slices = min(cores, math.isqrt(plan.buckets - 1) + 1)
+    dealt = [F.col(k) for k in (*plan.keys, "__group")] + [F.pmod(F.col("__bucket"), F.lit(slices))]
     # A number of its own: states are few and heavy, their count says more than their bytes.
-    merged = found.repartition(max(cores, plan.buckets), *names).sortWithinPartitions(*names)
+    merged = found.repartition(max(cores, plan.buckets), *(dealt if plan.buckets > 1 else names)).sortWithinPartitions(*names)
     return merged.mapInArrow(_merged(len(plan.keys), arrow), schema)

@@ -13,7 +13,7 @@ from moodgrid.functions.clock import tod_continuous
 from moodgrid.operators.aggregates import quantile_bins
 from moodgrid.functions.recode import majority_class
 from moodgrid.operators.sampling import with_replicates
-from moodgrid.plans.estimation import bootstrap_ols, fe_ols, figures, tidy
+from moodgrid.plans.estimation import bootstrap_ols, fe_ols, figures, nested_fits, tidy
 from moodgrid.plans.glm import fe_glm
 
 # The absorbed factors, race classes and income thirds.
@@ -132,8 +132,12 @@ def bootstrap_fit(
 def compare(rows: DataFrame, outcome: str, forms: Sequence[Spec]) -> DataFrame:
     """AIC of several Gaussian forms on the same rows."""
     out = None
-    for form in forms:
-        one = figures(fe_ols(rows, outcome, form.terms, form.absorb)).select(
+    if len({form.absorb for form in forms}) == 1:
+        fits = nested_fits(rows, outcome, [form.terms for form in forms], forms[0].absorb)
+    else:
+        fits = [fe_ols(rows, outcome, form.terms, form.absorb) for form in forms]
+    for form, found in zip(forms, fits, strict=True):
+        one = figures(found).select(
             F.lit(form.name).alias("form"), "n", "n_terms", "absorbed", "rss", "aic"
         )
         out = one if out is None else out.unionByName(one)

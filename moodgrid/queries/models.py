@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moodgrid.functions import basis
 from moodgrid.operators.aggregates import quantile_cuts
 from moodgrid.plans import curves, specs
-from moodgrid.plans.estimation import clustered, demeaned, design, fe_ols, normal_sums, solve, tidy
+from moodgrid.plans.estimation import clustered, demeaned, design, fe_ols, nested_fits, normal_sums, solve, tidy
 from moodgrid.plans.glm import fe_glm
 from moodgrid.plans.penalised import elastic_net_predict
 from moodgrid.queries.registry import drawn_sql, query, r, rounded
@@ -360,9 +360,9 @@ for _name in ("plain", "income", "race_q"):
 def linear_forms(rows, key, absorb, x="wbgt"):
     """The four linear forms for each value of a key."""
     out = None
-    for by in (None, "income", "race_white", "race_black"):
-        form = specs.linear_spec(by, x)
-        one = specs.fit(rows, "vader", specs.Spec(form.name, form.terms, absorb), [key]).withColumn("form", F.lit(form.name))
+    forms = [specs.linear_spec(by, x) for by in (None, "income", "race_white", "race_black")]
+    for form, fit in zip(forms, nested_fits(rows, "vader", [form.terms for form in forms], absorb, [key]), strict=True):
+        one = tidy(fit, [key]).withColumn("form", F.lit(form.name))
         out = one if out is None else out.unionByName(one)
     return rounded(out.select("form", key, "term", "estimate", "std_error"), 8)
 

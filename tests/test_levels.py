@@ -267,3 +267,32 @@ def test_long_methods_are_left_out_while_fits_run(six):
     with estimation.plain_plans(six[1]):
         assert int(conf.get("spark.sql.codegen.hugeMethodLimit")) == 8_000
     assert conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
+@pytest.mark.parametrize("holes", [False, True])
+@pytest.mark.parametrize("way", [{}, {"max_levels": 1}])
+def test_forms_of_one_pass(six, way, holes, monkeypatch):
+    """Forms share a pass over the rows unless one of them leaves out other rows."""
+    df = six[1].withColumn("b", F.when(F.col("id") != "7", F.col("b"))) if holes else six[1]
+    forms = [{"a": F.col("a")}, {"b": F.col("b"), "a": F.col("a")}]
+    passes = []
+    fold = estimation.normal_sums
+    monkeypatch.setattr(estimation, "normal_sums", lambda *a, **k: passes.append(1) or fold(*a, **k))
+    found = estimation.nested_fits(df, "y", forms, SIX, ["h"], **way)
+    assert len(passes) == (2 if holes else 1)
+    monkeypatch.undo()
+    for terms_of, fit in zip(forms, found, strict=True):
+        got = {(r.h, r.term): r for r in tidy(fit, ["h"]).collect()}
+        for r in tidy(fe_ols(df, "y", terms_of, SIX, keys=["h"]), ["h"]).collect():
+            assert got[r.h, r.term].estimate == pytest.approx(r.estimate, rel=1e-8)
+            assert got[r.h, r.term].std_error == pytest.approx(r.std_error, rel=1e-8)
+
+
+def test_parts_of_buckets_add_up():
+    """Parts that meet before the last task have the levels of both."""
+    one, two = estimation._empty([["a", "b"], []], 1), estimation._empty([["b", "c"], []], 1)
+    one.matrix += 1
+    two.matrix += 2
+    both = estimation._combined(one, two)
+    assert both.names[0] == ["a", "b", "c"]
+    assert both.matrix.tolist() == [[1, 1, 0], [1, 3, 2], [0, 2, 2]]
