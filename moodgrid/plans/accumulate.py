@@ -37,6 +37,8 @@ CELLS = 4 << 20
 # Pairs of levels of two factors up to which each has a cell of its own.
 GRID = 1 << 18
 GRID_ROWS = 64
+# Rows of a run that are added one after another for all runs at once.
+SHORT_RUN = 16
 FAN = 32
 REST = -1
 
@@ -95,11 +97,12 @@ class State:
             weights, columns = w[order], full[order]
             for level, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
                 self.sums[i][level] += weights[a:b].T @ columns[a:b]
+        counts = _tight(w)
         for (i, j), held in self.pairs.items():
             both = (codes[i] << 32) | codes[j]
             order = np.argsort(both, kind="stable")
             found, starts = _starts(both[order])
-            self._hold(held, found, _tight(np.add.reduceat(w[order], starts, axis=0)))
+            self._hold(held, found, _tight(_folded_values(counts, order, starts)))
         self._settle()
 
     def _add_single(self, z: np.ndarray, w: np.ndarray, codes: list[np.ndarray]) -> None:
@@ -196,11 +199,13 @@ class State:
 
     def packed(self) -> bytes:
         self.compact()
-        return zlib.compress(pickle.dumps(self, protocol=5), 1)
+        data = pickle.dumps(self, protocol=5)
+        return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
     @staticmethod
     def unpacked(data: bytes) -> State:
-        return pickle.loads(zlib.decompress(data))
+        size = int.from_bytes(data[:8], "little")
+        return pickle.loads(pa.decompress(memoryview(data)[8:], decompressed_size=size, codec="zstd"))
 
     def share(self, first: int, stop: int) -> State:
         """The part of some of the replicates."""
@@ -264,19 +269,40 @@ class State:
 
 def _tight(values: np.ndarray) -> np.ndarray:
     """The same numbers in the narrowest type that holds them exactly."""
-    top = values.max(initial=0)
-    if values.dtype != np.float64 or not top <= 65_535 or values.min(initial=0) < 0:
+    if values.dtype.itemsize <= 2:
         return values
+    top = values.max(initial=0)
+    if not top <= 65_535 or values.min(initial=0) < 0:
+        return values.astype(float, copy=False)
     small = values.astype(np.uint8 if top <= 255 else np.uint16)
-    return small if (small == values).all() else values
+    return small if values.dtype != np.float64 or (small == values).all() else values
 
 
 def _folded_values(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of runs of the ordered rows in full precision, some columns at a time."""
-    out = np.empty((len(starts), values.shape[1]))
-    step = max(1, CELLS // max(len(order), 1))
-    for low in range(0, values.shape[1], step):
-        out[:, low : low + step] = np.add.reduceat(values[order, low : low + step].astype(float), starts, axis=0)
+    """Sums of runs of the ordered rows in full precision, some rows or columns at a time.
+
+    Most runs are short: their first rows are laid out, then the second ones added, and so on.
+    Small whole numbers are added as such.
+    """
+    length = np.diff(np.append(starts, len(order)))
+    whole = values.dtype.itemsize <= 2 and length.max(initial=0) <= 65_536
+    kind = np.uint32 if whole else np.float64
+    width = values.shape[1]
+    if width == 1 or not len(starts):
+        return np.add.reduceat(values[order].astype(kind), starts, axis=0) if len(starts) else np.zeros((0, width))
+    out = np.empty((len(starts), width), kind)
+    some = max(1, CELLS // width)
+    for low in range(0, len(starts), some):
+        first, own = starts[low : low + some], length[low : low + some]
+        part = values[order[first]].astype(kind)
+        for k in range(1, min(int(own.max()), SHORT_RUN)):
+            more = np.flatnonzero(own > k)
+            part[more] += values[order[first[more] + k]]
+        out[low : low + some] = part
+    for at in np.flatnonzero(length > SHORT_RUN).tolist():
+        first, stop = int(starts[at]), int(starts[at] + length[at])
+        for low in range(first + SHORT_RUN, stop, some):
+            out[at] += values[order[low : min(stop, low + some)]].sum(axis=0, dtype=kind)
     return out
 
 

@@ -296,3 +296,18 @@ def test_parts_of_buckets_add_up():
     both = estimation._combined(one, two)
     assert both.names[0] == ["a", "b", "c"]
     assert both.matrix.tolist() == [[1, 1, 0], [1, 3, 2], [0, 2, 2]]
+
+
+def test_counts_are_folded_as_whole_numbers():
+    rng = np.random.default_rng(5)
+    length = np.concatenate((rng.integers(1, 4, 300), [16, 17, 40, 700]))
+    starts, order = np.cumsum(length) - length, rng.permutation(length.sum())
+    for values in (rng.integers(0, 255, (len(order), 7)).astype(np.uint8), rng.normal(size=(len(order), 7)), rng.normal(size=(len(order), 1))):
+        found = accumulate._folded_values(values, order, starts)
+        wanted = [values[order[a : a + n]].astype(float).sum(axis=0) for a, n in zip(starts, length, strict=True)]
+        assert np.allclose(found, wanted, rtol=1e-12, atol=1e-12)
+        # A count takes half the room of a number with a fraction.
+        assert found.dtype == (np.uint32 if values.dtype == np.uint8 else np.float64)
+    assert accumulate._tight(np.array([[3, 256]], np.uint32)).dtype == np.uint16
+    assert accumulate._tight(np.array([[3, 1 << 20]], np.uint32)).dtype == np.float64
+    assert len(accumulate._folded_values(np.zeros((0, 3), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
