@@ -25,6 +25,8 @@ QUESTION_MANY = 0.96
 NORMAL = 15.0
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
+# Bytes of text that a task scores.
+TASK_TEXT = 16 << 20
 # A word with its inner apostrophes and hyphens.
 RULE_WORD = r"[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*"
 
@@ -72,7 +74,7 @@ def lexicon_scores(
     least ``delta`` away from the neutral 5 and is null without any.
     """
     lists = list(dict.fromkeys([*sums, *means]))
-    words = explode_tokens(over_cores(df), keys, text)
+    words = explode_tokens(over_cores(df, text), keys, text)
     scored = lookup_join(words, lexicon.select("word", *lists), ["word"], "left", salt_by=keys)
     n, rows = F.max("n_tokens"), F.count(F.lit(1))
     aggs = []
@@ -101,12 +103,14 @@ def word_frequency(df: DataFrame, text: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n").alias("t")).scalar())
 
 
-def over_cores(df: DataFrame) -> DataFrame:
-    """A source of fewer files than cores over all of them: texts cost far more to score than to move."""
-    if df.isStreaming:
+def over_cores(df: DataFrame, text: str) -> DataFrame:
+    """Files dealt into tasks of ``TASK_TEXT`` bytes of text, one a core at least: texts cost far more to score than to move."""
+    files = 0 if df.isStreaming else len(df.inputFiles())
+    if not files:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_TEXT))
+    return df.repartition(parts) if files < parts else df
 
 
 def word_shift(df: DataFrame, side: str, sides: tuple[str, str], text: str, lexicon: DataFrame, delta: float = 0.0) -> DataFrame:
@@ -176,7 +180,7 @@ def rule_polarity(
     (positive strengthens). Texts without a listed word score 0.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(RULE_WORD), F.lit(0))
-    base = over_cores(df).filter(F.col(text).isNotNull()).select(
+    base = over_cores(df, text).filter(F.col(text).isNotNull()).select(
         *keys,
         found.alias("__w"),
         F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(4)).alias("__ex"),
@@ -239,8 +243,8 @@ def rule_polarity(
         )
         steps.append((weight, denies))
     for weight, denies in steps:
-        value = value + sign * weight
-        value = F.when(denies, value * F.lit(NEGATE)).otherwise(value)
+        # Each step names the value once: named twice it doubles with each, beyond what the JVM compiles.
+        value = (value + sign * weight) * F.when(denies, F.lit(NEGATE)).otherwise(F.lit(1.0))
     value = value * F.when(F.col("__but") == 0, F.lit(1.0)).when(F.col("at") < F.col("__but"), F.lit(BEFORE_BUT)).when(
         F.col("at") > F.col("__but"), F.lit(AFTER_BUT)
     ).otherwise(F.lit(1.0))
@@ -319,7 +323,7 @@ def score_all(
     come from the text as posted, the weather flag from the cleaned text.
     """
     present = df.filter(F.col(text).isNotNull())
-    flagged = clean_text(present, text, "__clean", emoji_names)
+    flagged = clean_text(over_cores(present, text), text, "__clean", emoji_names)
     flags = flagged.groupBy(*keys).agg(
         F.max(tk.has_term(F.col("__clean"), weather_terms)).alias("weather_term"),
         F.max(tk.has_term(F.col(text), depressive_terms)).alias("depress_term"),

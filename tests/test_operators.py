@@ -148,3 +148,32 @@ def test_bootstrap_weights_repeat(spark):
     stats = lambda df: sampling.with_replicates(df, ["id"], 2).agg(F.sum("weight"), F.sum(F.col("weight") ** 2)).first()
     a, b = stats(ids), stats(ids.repartition(7))
     assert a == b and abs(a[0] / 40000 - 1) < 0.03 and abs(a[1] / 40000 - 2) < 0.1
+
+
+def test_texts_are_dealt_by_their_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "TASK_TEXT", 1_000)
+    rows = [(i, "word " * 20) for i in range(200)]
+    spark.createDataFrame(rows, "id long, body string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    dealt = text.over_cores(read, "body")
+    assert dealt.rdd.getNumPartitions() == 20
+    assert dealt.count() == 200
+    # Rows that are in no file stay where they are, empty tables too.
+    assert text.over_cores(spark.range(3), "id").rdd.getNumPartitions() == spark.range(3).rdd.getNumPartitions()
+    assert text.over_cores(read.filter("id < 0"), "body").count() == 0
+
+
+def test_polarity_names_its_value_once_a_step(spark):
+    docs = spark.createDataFrame([(1, "not very GOOD but never bad"), (2, None), (3, "Good")], "id long, body string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -3.0)], "word string, score double")
+    boosters = spark.createDataFrame([("very", 0.293)], "word string, step double")
+    scored = text.rule_polarity(docs, ["id"], "body", lexicon, boosters, ["not", "never"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-0.74") == 3
+    good = ((2.0 + 0.733) + 0.293 * 1.0) * -0.74 * 0.5
+    bad = (-3.0) * -0.74 * 1.5
+    total = good + bad
+    found = {r["id"]: r["vader"] for r in scored.collect()}
+    assert set(found) == {1, 3}
+    assert abs(found[1] - total / (total * total + 15.0) ** 0.5) < 1e-9
+    assert abs(found[3] - 2.0 / (4.0 + 15.0) ** 0.5) < 1e-9
