@@ -230,7 +230,7 @@ def dated(df):
 
 @query("Q9_crime_models_day")
 def _(t):
-    county_day = t.stored(dated(outcomes.crime_county_day(t.nibrs, t.cod, t.population)), "county_day")
+    county_day = t.stored(dated(outcomes.crime_county_day(t.nibrs, t.cod, t.population)), "county_day", shuffled=True)
     out = outcomes.crime_models(county_day, state_mood(t), ["state", "date"], 1, ["dow", "doy", "year", "month", "state"])
     return rounded(out.select("outcome", "predictor", "statistic", "aic"), 3)
 
@@ -263,7 +263,7 @@ def _(t):
     hour = F.split("tod", ":")[0].cast("int").alias("hour")
     day = F.date_format("date", "yyyy-MM-dd").alias("date")
     mood = t.panel.groupBy("fips", day, hour).agg(*(F.avg(c).alias(c) for c in outcomes.SCORES))
-    rows = t.stored(outcomes.hourly_crime_rows(outcomes.crime_county_hour(t.nibrs), mood, t.population), "county_hour")
+    rows = t.stored(outcomes.hourly_crime_rows(outcomes.crime_county_hour(t.nibrs), mood, t.population), "county_hour", shuffled=True)
     fits = outcomes.hourly_crime_models(rows)
     return rounded(fits.select("outcome", "predictor", "statistic"), 3)
 
@@ -295,12 +295,13 @@ def _(t):
 @query("Q10_death_count_models")
 def _(t):
     mood = outcomes.county_month_mood(t.panel).join(t.population, ["fips", "year"], "inner")
-    rows = t.stored(mood, "mood")
+    rows = t.stored(mood, "mood", shuffled=True)
+    deaths = t.stored(t.deaths, "deaths", shuffled=True)
     # The second outcome's first model also absorbs the counties.
     absorb = outcomes.DEATH_FACTORS
-    fits = outcomes.death_count_models(t.deaths, rows).withColumn("factors", F.lit("state"))
-    fits = fits.unionByName(outcomes.death_count_models(t.deaths, rows, "mort", ["hedono", "afinn"]).withColumn("factors", F.lit("state")))
-    county = outcomes.death_count_models(t.deaths, rows, "mort", ["vader"], ["fips", *absorb]).withColumn("factors", F.lit("county"))
+    fits = outcomes.death_count_models(deaths, rows).withColumn("factors", F.lit("state"))
+    fits = fits.unionByName(outcomes.death_count_models(deaths, rows, "mort", ["hedono", "afinn"]).withColumn("factors", F.lit("state")))
+    county = outcomes.death_count_models(deaths, rows, "mort", ["vader"], ["fips", *absorb]).withColumn("factors", F.lit("county"))
     return rounded(fits.unionByName(county).select("outcome", "predictor", "factors", "estimate", "statistic"), 3)
 
 
@@ -322,7 +323,7 @@ def _(t):
 @query("Q11_survey_models")
 def _(t):
     linked = outcomes.survey_link(t.survey, t.panel, F.lit(FIRST), F.lit(LAST), keep=["o_orderkey"])
-    return rounded(outcomes.survey_models(t.stored(linked, "linked"), ["o_orderkey"], replicates=100), 6)
+    return rounded(outcomes.survey_models(t.stored(linked, "linked", shuffled=True), ["o_orderkey"], replicates=100), 6)
 
 
 @query("Q12_effect_comparison")

@@ -303,7 +303,7 @@ def _(t):
         F.count("*").alias("n"),
     )
     fits = specs.model_grid(
-        t.stored(counts, "counts"), ["violent", "assault", "homicides"], ["vader", "afinn", "hedono"], {"log_n": F.log("n")},
+        t.stored(counts, "counts", shuffled=True), ["violent", "assault", "homicides"], ["vader", "afinn", "hedono"], {"log_n": F.log("n")},
         ["dow", "doy", "year", "month", "state"], "n",
     )
     return rounded(fits.select("outcome", "predictor", "estimate", "statistic", "aic"), 4)

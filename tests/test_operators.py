@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from moodgrid.operators import aggregates, joins, sampling, spatial, text, windows
+from moodgrid.queries.registry import Tables
 
 
 def test_quantiles_match_numpy(spark):
@@ -177,3 +178,20 @@ def test_polarity_names_its_value_once_a_step(spark):
     assert set(found) == {1, 3}
     assert abs(found[1] - total / (total * total + 15.0) ** 0.5) < 1e-9
     assert abs(found[3] - 2.0 / (4.0 + 15.0) ** 0.5) < 1e-9
+
+
+def test_shuffled_frames_are_stored_in_one_run(spark, tmp_path):
+    """Counting the partitions of an aggregated frame ran its shuffle before it was written."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k").mapInArrow(counted, "id long, k long")
+    sums = rows.groupBy("k").agg(F.sum("id").alias("s"))
+    kept = Tables(spark, str(tmp_path)).stored(sums, "sums", shuffled=True)
+    assert read.value == 1000
+    want = {k: sum(range(k, 1000, 7)) for k in range(7)}
+    assert {r.k: r.s for r in kept.collect()} == want and read.value == 1000
