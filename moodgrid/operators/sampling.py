@@ -72,10 +72,19 @@ def poisson_weight(u: Column) -> Column:
 
 def draws(columns: Sequence[np.ndarray], first: int, replicates: int) -> np.ndarray:
     """Rows by replicates: the counts of ``with_replicates``, from the two seed columns."""
-    one, two = (np.asarray(c, np.int64)[:, None] for c in columns)
-    numbers = np.arange(first, first + replicates, dtype=np.int64)[None, :]
-    bits = mixed(one, two, numbers, np.right_shift, np.bitwise_xor)
-    return np.searchsorted(np.array(poisson_edges()) * WORD, bits.ravel(), "right").reshape(bits.shape).astype(float)
+    # Numbers of 32 bits wrap around by themselves.
+    one, two = (np.asarray(c, np.int64).astype(np.uint32)[:, None] for c in columns)
+    x = (one + (np.arange(first, first + replicates, dtype=np.int64) * STEP % WORD).astype(np.uint32)[None, :]) ^ two
+    for shift, factor in ((16, FIRST), (15, SECOND)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    counts = np.zeros(x.shape, np.uint8)
+    for edge in poisson_edges():
+        reached = math.ceil(edge * WORD)
+        if reached < WORD:
+            counts += x >= np.uint32(reached)
+    return counts.astype(float)
 
 
 def sample_fraction(df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 1) -> DataFrame:

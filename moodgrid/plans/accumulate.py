@@ -10,7 +10,7 @@ weights (reading the rows, numbering levels, sorting pairs) is done once for all
 Every task folds its rows into states in Arrow batches and hands on the states
 only, packed; they are added up in a tree. A state that outgrows ``STATE_BYTES``, or
 whose pairs outgrow ``PAIR_BYTES`` (sorting and dealing them takes several times as
-much), is handed on early and a new one begun, so a task's memory is bounded.
+much; for replicates ``DRAWN_PAIR_BYTES``), is handed on early and a new one begun, so a task's memory is bounded.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 STATE_BYTES = 128 << 20
 PAIR_BYTES = 32 << 20
+# The same for replicates, where a pair's weights take far more than sorting it does.
+DRAWN_PAIR_BYTES = 96 << 20
 # Pairs are held unsorted up to this many times what sorting left of them.
 SLACK = 3
 # Cells of a block of products that is worked on at once.
@@ -356,13 +358,14 @@ def _handed(states: dict[tuple, State], plan: Plan, schema: pa.Schema) -> Iterat
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
 
-def _outgrown(states: dict[tuple, State]) -> bool:
+def _outgrown(states: dict[tuple, State], pair_bytes: int | None = None) -> bool:
     """Whether the states are to be handed on, which sorting their pairs may still put off."""
     held = lambda: sum(s.held_bytes for s in states.values())
-    if held() > PAIR_BYTES:
+    pair_bytes = PAIR_BYTES if pair_bytes is None else pair_bytes
+    if held() > pair_bytes:
         for state in states.values():
             state.compact()
-        if held() > PAIR_BYTES // 2:
+        if held() > pair_bytes // 2:
             return True
     return sum(s.bytes() for s in states.values()) > STATE_BYTES
 
@@ -399,7 +402,7 @@ def _folded(plan: Plan, schema: pa.Schema):
                     state.add(z, w, codes, extra)
                 else:
                     state.add(z[at], w[at], codes, extra[at])
-            if _outgrown(states):
+            if _outgrown(states, None if plan.draw is None else DRAWN_PAIR_BYTES):
                 yield from _handed(states, plan, schema)
                 states = {}
         yield from _handed(states, plan, schema)
@@ -465,6 +468,12 @@ def merged_states(found: DataFrame, schema: StructType, plan: Plan) -> DataFrame
         found = found.withColumn("__branch", F.pmod(F.spark_partition_id(), F.lit(-(-cores // FAN))))
         found = found.repartition(*names, "__branch").sortWithinPartitions(*names, "__branch").drop("__branch")
         found = found.mapInArrow(_merged(len(plan.keys), arrow), schema)
+    if plan.draw is not None and not plan.keys:
+        # Groups of replicates are alike, so each of their buckets gets a task of its own.
+        slots, first = plan.buckets + (plan.wide is not None), int(plan.wide is not None)
+        at = F.col("__group") * F.lit(slots) + F.col("__bucket") + F.lit(first)
+        merged = found.repartitionById(-(-plan.replicates // plan.group) * slots, at).sortWithinPartitions(*names)
+        return merged.mapInArrow(_merged(len(plan.keys), arrow), schema)
     # Buckets of a slice meet in one task, which may then add up what it makes of them.
     slices = min(cores, math.isqrt(plan.buckets - 1) + 1)
     dealt = [F.col(k) for k in (*plan.keys, "__group")] + [F.pmod(F.col("__bucket"), F.lit(slices))]

@@ -1,13 +1,16 @@
 """Level effects of many factors: rank, errors and estimates against dense numpy, whichever way they are solved."""
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from moodgrid.operators.sampling import draws, poisson_edges, seeds, with_replicates
 from moodgrid.plans import accumulate, blocks, estimation
-from moodgrid.plans.accumulate import State
+from moodgrid.plans.accumulate import Plan, State, _folded, states
 from moodgrid.plans.estimation import bootstrap_ols, demeaned, design, fe_ols, figures, normal_sums, solve, tidy
 from moodgrid.plans.glm import collapsed_rows, fe_glm
 
@@ -311,3 +314,39 @@ def test_counts_are_folded_as_whole_numbers():
     assert accumulate._tight(np.array([[3, 256]], np.uint32)).dtype == np.uint16
     assert accumulate._tight(np.array([[3, 1 << 20]], np.uint32)).dtype == np.float64
     assert len(accumulate._folded_values(np.zeros((0, 3), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+def replicated(replicates=80):
+    """The plan of three factors with all replicates, and its schema."""
+    plan = Plan(
+        (), ("y",), ("f0", "f1", "f2"), "w", draw=partial(draws, first=1, replicates=replicates), seeds=("one", "two"),
+        replicates=replicates, group=5, wide=0, buckets=3,
+    )
+    schema = pa.schema([("__group", pa.int32()), ("__bucket", pa.int32()), ("__state", pa.binary())])
+    return plan, schema
+
+
+def test_replicates_are_folded_before_they_are_handed_on():
+    """Pairs that fit a task left it many times over, each time nearly as many as there are."""
+    plan, schema = replicated()
+    rng = np.random.default_rng(5)
+
+    def batches():
+        for _ in range(20):
+            n = 10_000
+            columns = {"y": rng.normal(size=n), "w": np.ones(n), "one": rng.integers(0, 2**32, n), "two": rng.integers(0, 2**32, n)}
+            columns |= {f"f{i}": rng.integers(0, 300, n).astype(str) for i in range(3)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    parts = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in _folded(plan, schema)(batches())]
+    assert len(parts) == len(set(parts)) == 16 * 4
+
+
+def test_buckets_of_replicates_are_tasks_of_their_own(six):
+    """Hashed to as many tasks as there are cores, some task read a multiple of the others."""
+    plan, _ = replicated()
+    _, df = six
+    one, two = seeds(["id"], 1)
+    rows = df.select("y", F.lit(1.0).alias("w"), one.alias("one"), two.alias("two"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(SIX[:3])))
+    found = states(rows, plan).select("__group", "__bucket", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == len({(r[0], r[1]) for r in found}) == len({r.task for r in found}) > 16
