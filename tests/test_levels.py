@@ -332,10 +332,10 @@ def test_replicates_are_folded_before_they_are_handed_on():
     rng = np.random.default_rng(5)
 
     def batches():
-        for _ in range(20):
+        for _ in range(40):
             n = 10_000
             columns = {"y": rng.normal(size=n), "w": np.ones(n), "one": rng.integers(0, 2**32, n), "two": rng.integers(0, 2**32, n)}
-            columns |= {f"f{i}": rng.integers(0, 300, n).astype(str) for i in range(3)}
+            columns |= {f"f{i}": rng.integers(0, 400, n).astype(str) for i in range(3)}
             yield pa.RecordBatch.from_pydict(columns)
 
     parts = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in _folded(plan, schema)(batches())]
