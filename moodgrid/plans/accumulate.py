@@ -36,6 +36,9 @@ DRAWN_PAIR_BYTES = 96 << 20
 SLACK = 3
 # Cells of a block of products that is worked on at once.
 CELLS = 4 << 20
+# Groups of rows with the same columns empty that are worth a product each, and rows of a group.
+GROUPS = 64
+GROUP_ROWS = 64
 # Pairs of levels of two factors up to which each has a cell of its own.
 GRID = 1 << 18
 GRID_ROWS = 64
@@ -80,13 +83,19 @@ class State:
             self.sums[i] = np.concatenate((self.sums[i], np.zeros((short, self.g, 1 + self.p))))
         return out
 
-    def add(self, z: np.ndarray, w: np.ndarray, codes: list[np.ndarray], extra: np.ndarray) -> None:
-        """Rows: columns n x p, weights n x g, level numbers, further columns n x e (times each weight)."""
+    def add(
+        self, z: np.ndarray, w: np.ndarray, codes: list[np.ndarray], extra: np.ndarray,
+        groups: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    ) -> None:
+        """Rows: columns n x p, weights n x g, level numbers, further columns n x e (times each weight).
+
+        ``groups`` parts the rows by the columns that may differ from zero.
+        """
         self.totals[:, 0] += (w != 0).sum(axis=0)
         self.totals[:, 1] += w.sum(axis=0)
         if self.e:
             self.totals[:, 2:] += extra.sum(axis=0)
-        self._add_cross(z, w)
+        self._add_cross(z, w, groups)
         if self.g == 1:
             self._add_single(z, w[:, 0], codes)
             self._settle()
@@ -110,7 +119,7 @@ class State:
     def _add_single(self, z: np.ndarray, w: np.ndarray, codes: list[np.ndarray]) -> None:
         """Sums per level and joint weights for one weight a row, counted into bins; of sparse columns only what is there."""
         n, columns = len(w), [(None, w)]
-        for column in np.ascontiguousarray((z * w[:, None]).T):
+        for column in np.ascontiguousarray(z.T if (w == 1).all() else z.T * w):
             there = np.flatnonzero(column)
             columns.append((there, column[there]) if len(there) * 3 < n else (None, column))
         for i in range(self.m):
@@ -138,8 +147,13 @@ class State:
             found, starts = _starts(both[order])
             self._hold(held, found, _tight(np.add.reduceat(w[order], starts)[:, None]))
 
-    def _add_cross(self, z: np.ndarray, w: np.ndarray) -> None:
+    def _add_cross(self, z: np.ndarray, w: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         """Weighted cross-products; for replicates from the products of each two columns, some rows at a time."""
+        if self.g == 1 and groups is not None:
+            for rows, columns in groups:
+                part = z[rows[:, None], columns]
+                self.cross[0][columns[:, None], columns] += (part * w[rows]).T @ part
+            return
         one, two = np.triu_indices(self.p)
         some = CELLS // max(len(one), 1)
         if self.g == 1 or some < self.g:
@@ -319,7 +333,7 @@ class Plan:
     """What a pass over the rows collects."""
 
     keys: tuple[str, ...]
-    columns: tuple[str, ...]  # the outcome, then the terms
+    columns: tuple[str | tuple[str, str], ...]  # the outcome, then the terms; of a class its column and the level that counts as one
     factors: tuple[str, ...]
     weight: str
     extra: tuple[str, ...] = ()
@@ -330,6 +344,75 @@ class Plan:
     group: int = 1  # replicates that travel together
     wide: int | None = None  # the factor that is dealt into buckets
     buckets: int = 1
+    # Of each term the places of the columns behind the outcome that it is the product of; none: the columns are the terms.
+    layout: tuple[tuple[int, ...], ...] | None = None
+
+    @property
+    def p(self) -> int:
+        return len(self.columns) if self.layout is None else 1 + len(self.layout)
+
+
+def read(columns: Sequence[str | tuple[str, str]]) -> list[str]:
+    """The columns to be read."""
+    return list(dict.fromkeys(c if isinstance(c, str) else c[0] for c in columns))
+
+
+def numbers_of(batch: pa.RecordBatch, columns: Sequence[str | tuple[str, str]]) -> list[np.ndarray]:
+    """Columns as numbers, levels of a class as 0 and 1."""
+    classes: dict[str, tuple[np.ndarray, dict[str, int]]] = {}
+    out = []
+    for c in columns:
+        if isinstance(c, str):
+            out.append(np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float))
+            continue
+        name, level = c
+        if name not in classes:
+            coded = batch.column(name).dictionary_encode()
+            classes[name] = coded.indices.to_numpy(zero_copy_only=False), {x: i for i, x in enumerate(coded.dictionary.to_pylist())}
+        codes, found = classes[name]
+        out.append((codes == found.get(level, -1)).astype(float))
+    return out
+
+
+def laid_out(columns: Sequence[np.ndarray], layout: tuple[tuple[int, ...], ...] | None, out: np.ndarray) -> np.ndarray:
+    """Terms x rows of the columns that they are products of."""
+    for i, parts in enumerate([(i,) for i in range(len(columns))] if layout is None else layout):
+        out[i] = columns[parts[0]]
+        for part in parts[1:]:
+            out[i] *= columns[part]
+    return out
+
+
+class Alike:
+    """Parts rows by which of the columns that lead products, as those of classes do, are zero."""
+
+    def __init__(self, layout: tuple[tuple[int, ...], ...] | None):
+        self.layout = layout or ()
+        self.lead = sorted({parts[0] for parts in self.layout if len(parts) > 1})
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def groups(self, columns: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Rows of each group and the places of the outcome and of the terms that may differ from zero there."""
+        n = len(columns[0]) if len(columns) else 0
+        empty = [c for c in self.lead if np.count_nonzero(columns[c]) * 2 < n][:62]
+        if len(empty) < 2:
+            return None
+        mask = np.zeros(n, np.int64)
+        for bit, c in enumerate(empty):
+            mask |= (columns[c] != 0).astype(np.int64) << bit
+        order = np.argsort(mask, kind="stable")
+        found, starts = _starts(mask[order])
+        if len(found) > GROUPS or len(found) * GROUP_ROWS > n:
+            return None
+        ends = [*starts[1:].tolist(), n]
+        return [(order[a:b], self._columns(m, tuple(empty))) for m, a, b in zip(found.tolist(), starts.tolist(), ends, strict=True)]
+
+    def _columns(self, mask: int, empty: tuple[int, ...]) -> np.ndarray:
+        at = mask, empty
+        if at not in self.known:
+            zero = {c for bit, c in enumerate(empty) if not mask >> bit & 1}
+            self.known[at] = np.array([0, *(1 + i for i, parts in enumerate(self.layout) if not zero & set(parts))])
+        return self.known[at]
 
 
 def _key_groups(batch: pa.RecordBatch, keys: tuple[str, ...]) -> list[tuple[tuple, np.ndarray | None]]:
@@ -371,7 +454,8 @@ def _outgrown(states: dict[tuple, State], pair_bytes: int | None = None) -> bool
 
 
 def _folded(plan: Plan, schema: pa.Schema):
-    p, m = len(plan.columns), len(plan.factors)
+    p, m = plan.p, len(plan.factors)
+    alike = Alike(plan.layout)
 
     def numbers(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
         return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names]).astype(float)
@@ -381,12 +465,21 @@ def _folded(plan: Plan, schema: pa.Schema):
         for batch in batches:
             if not len(batch):
                 continue
-            z = numbers(batch, plan.columns)
+            y, *columns = numbers_of(batch, plan.columns)
+            z = np.empty((p, len(batch)))
+            z[0] = y
+            laid_out(columns, plan.layout, z[1:])
+            if plan.layout is not None and not np.isfinite(z.sum()) and (gone := np.isnan(z).any(axis=0)).any():
+                # Products of nothing and what has no bound: such rows are incomplete.
+                batch, z, columns = batch.filter(pa.array(~gone)), z[:, ~gone], [c[~gone] for c in columns]
+                if not len(batch):
+                    continue
+            z = z.T
             w = numbers(batch, [plan.weight])
             extra = numbers(batch, plan.extra) if plan.extra else np.zeros((len(batch), 0))
             if plan.draw is not None:
                 w = w * plan.draw([batch.column(s).to_numpy(zero_copy_only=False) for s in plan.seeds])
-            if not (np.isfinite(z).all() and np.isfinite(w).all() and np.isfinite(extra).all()):
+            if not all(np.isfinite(a.sum()) or np.isfinite(a).all() for a in (z, w, extra)):
                 raise ValueError("the weighted sums are not finite")
             coded = [batch.column(f).dictionary_encode() for f in plan.factors]
             local = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
@@ -399,7 +492,7 @@ def _folded(plan: Plan, schema: pa.Schema):
                     met, mine = np.unique(mine, return_inverse=True)
                     codes.append(state.codes(i, [names[i][k] for k in met])[mine])
                 if at is None:
-                    state.add(z, w, codes, extra)
+                    state.add(z, w, codes, extra, alike.groups(columns) if plan.draw is None else None)
                 else:
                     state.add(z[at], w[at], codes, extra[at])
             if _outgrown(states, None if plan.draw is None else DRAWN_PAIR_BYTES):
@@ -440,7 +533,7 @@ def _merged(n_keys: int, schema: pa.Schema):
 
 def partial_states(rows: DataFrame, plan: Plan) -> tuple[DataFrame, StructType]:
     """keys, ``__group`` of replicates, ``__bucket``, ``__state``, as the tasks hand them on."""
-    wanted = [*plan.keys, *plan.columns, plan.weight, *plan.extra, *plan.seeds, *plan.factors]
+    wanted = [*plan.keys, *read(plan.columns), plan.weight, *plan.extra, *plan.seeds, *plan.factors]
     rows = rows.select(*dict.fromkeys(wanted))
     if plan.keys:
         # A batch then holds few keys.

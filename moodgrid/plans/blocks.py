@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from moodgrid.plans.accumulate import Plan, State, _handed, _key_groups, _outgrown, merged_states
+from moodgrid.plans.accumulate import Alike, Plan, State, _handed, _key_groups, _outgrown, laid_out, merged_states, numbers_of, read
 
 # Cells of a block, and rows at most.
 BLOCK_CELLS = 1 << 19
@@ -45,11 +45,17 @@ def _packed(values: np.ndarray, codes: np.ndarray, names: list[list[str]]) -> tu
     return len(data), pa.compress(data, codec="lz4", asbytes=True)
 
 
-def packed_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], factors: Sequence[str], wide: int | None, buckets: int) -> DataFrame:
-    """keys, ``__bucket``, ``size``, ``block``; rows without weight (the second column) say nothing and are left out."""
+def packed_rows(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str | tuple[str, str]], factors: Sequence[str], wide: int | None, buckets: int,
+    layout: tuple[tuple[int, ...], ...] | None = None,
+) -> DataFrame:
+    """keys, ``__bucket``, ``size``, ``block``; rows without weight (the second column) say nothing and are left out.
+
+    ``layout``: the last columns are what the terms are products of.
+    """
     keys, columns, factors = list(keys), list(columns), list(factors)
     bucket = F.lit(0) if wide is None else F.pmod(F.crc32(F.col(factors[wide]).cast("binary")), F.lit(buckets)).cast("int")
-    rows = rows.filter(F.col(columns[1]) != 0).select(*keys, bucket.alias("__bucket"), *columns, *factors)
+    rows = rows.filter(F.col(columns[1]) != 0).select(*keys, bucket.alias("__bucket"), *read(columns), *factors)
     if wide is not None:
         cores = rows.sparkSession.sparkContext.defaultParallelism
         rows = rows.hint("rebalance", "__bucket" if buckets > 2 * cores else factors[wide])
@@ -57,7 +63,8 @@ def packed_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fa
         [*(rows.schema[k] for k in keys), StructField("__bucket", IntegerType()), StructField("size", IntegerType()), StructField("block", BinaryType())]
     )
     arrow = to_arrow_schema(schema)
-    many = max(1, min(BLOCK_ROWS, BLOCK_CELLS // (len(columns) + len(factors))))
+    numbers = 0 if layout is None else 1 + max(p for parts in layout for p in parts)
+    many = max(1, min(BLOCK_ROWS, BLOCK_CELLS // (len(columns) - numbers + len(layout or ()) + len(factors))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[dict[str, int]] = [{} for _ in factors]
@@ -75,7 +82,12 @@ def packed_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fa
         for batch in batches:
             if not len(batch):
                 continue
-            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+            values = np.column_stack(numbers_of(batch, columns))
+            if layout is not None and not np.isfinite(values.sum()):
+                # Products of nothing and what has no bound: such rows are incomplete.
+                formed = laid_out(list(values[:, -numbers:].T), layout, np.empty((len(layout), len(values))))
+                kept = ~np.isnan(formed).any(axis=0)
+                batch, values = batch.filter(pa.array(kept)), values[kept]
             codes = np.empty((len(batch), len(factors)), np.int32)
             for i, f in enumerate(factors):
                 coded = batch.column(f).dictionary_encode()
@@ -156,7 +168,8 @@ def block_states(
 
     ``lead`` is the number of a block's columns before the terms.
     """
-    keys, m, p, n = list(plan.keys), len(plan.factors), len(plan.columns), len(plan.keys)
+    keys, m, p, n = list(plan.keys), len(plan.factors), plan.p, len(plan.keys)
+    numbers, alike = len(plan.columns) - 1, Alike(plan.layout)
     met = with_solution(blocks, solution, keys, plan.wide, plan.buckets, small).select(*keys, "__bucket", "size", "block", "__rest", "__own")
     schema = StructType(
         [*(blocks.schema[k] for k in keys), StructField("__group", IntegerType()), StructField("__bucket", IntegerType()), StructField("__state", BinaryType())]
@@ -171,18 +184,19 @@ def block_states(
                 head = tuple(batch.column(c)[row].as_py() for c in range(n + 1))
                 size, data = batch.column(n + 1)[row].as_py(), batch.column(n + 2)[row].as_py()
                 values, codes, names = pickle.loads(pa.decompress(data, decompressed_size=size, codec="lz4"))
-                x, eta = values[lead : lead + len(terms)], None
+                z, eta = np.empty((p, values.shape[1])), None
+                x = laid_out(values[lead : lead + numbers], plan.layout, z[1:])
                 if batch.column(n + 3)[row].is_valid:
                     if at != head:
                         at = head
                         effects = Effects(terms, m, [*batch.column(n + 3)[row].as_py(), *(batch.column(n + 4)[row].as_py() or [])])
                     eta = effects.predictor(x, codes, names)
-                z, w, extra = working(values, eta)
-                if not (np.isfinite(x).all() and np.isfinite(z).all() and np.isfinite(w).all() and np.isfinite(extra).all()):
+                z[0], w, extra = working(values, eta)
+                if not all(np.isfinite(a.sum()) or np.isfinite(a).all() for a in (z, w, extra)):
                     raise ValueError("the weighted sums are not finite")
                 state = states.setdefault(head[:n], State(p, m, 1, len(plan.extra)))
                 numbered = [state.codes(i, names[i])[codes[i]] for i in range(m)]
-                state.add(np.vstack((z, x)).T, w[:, None], numbered, extra.T)
+                state.add(z.T, w[:, None], numbered, extra.T, alike.groups(values[lead : lead + numbers]))
                 if _outgrown(states):
                     yield from _handed(states, plan, arrow)
                     states = {}

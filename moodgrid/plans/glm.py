@@ -121,8 +121,8 @@ def _working_cells(rows: DataFrame) -> DataFrame:
 
 def _blocks(d: Design, shape: Shape, collapse: bool) -> DataFrame:
     """The rows as packed blocks: outcome, weight, of collapsed rows their sums, terms."""
-    columns = ["y", "w", *(("own", "factorials", "count") if collapse else ()), *(f"x{i}" for i in range(len(d.terms)))]
-    return packed_rows(d.rows, d.keys, columns, [f"f{i}" for i in range(len(d.factors))], shape.wide, max(shape.buckets, 1))
+    columns = ["y", "w", *(("own", "factorials", "count") if collapse else ()), *d.numbers]
+    return packed_rows(d.rows, d.keys, columns, [f"f{i}" for i in range(len(d.factors))], shape.wide, max(shape.buckets, 1), d.layout)
 
 
 def _log_factorials(y: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def drop_separated(d: Design, family: str) -> Design:
         for c in f:
             level = [*keys, c]
             rows = lookup_join(rows, bad.filter(F.col(c).isNotNull()).select(*level), level, "left_anti", small=small)
-    return Design(rows, d.keys, d.terms, d.factors)
+    return Design(rows, d.keys, d.terms, d.factors, d.layout, d.parts)
 
 
 def fe_glm(
@@ -211,7 +211,7 @@ def fe_glm(
     if collapse and family != "poisson":
         raise ValueError("only Poisson rows collapse")
     with plain_plans(df):
-        d = design(df, y, terms, factors, weight, keys)
+        d = design(df, y, terms, factors, weight, keys, compact=True)
         solution = _settled_glm(d, bool(factors) and separated, family, tolerance, max_steps, max_levels, rest_levels, collapse)
     coefs = solution.filter(F.col("kind") == COEF)
     # Unit dispersion: the inverse information alone gives the errors.
@@ -240,15 +240,16 @@ def _settled_glm(
 ) -> DataFrame:
     """The solution rows of the last step."""
     if collapse:
-        d = collapsed_rows(d)
+        d = collapsed_rows(d.whole())
     # Kept before anything filters on it.
     held = d.rows.persist()
-    d = Design(held, d.keys, d.terms, d.factors)
+    d = Design(held, d.keys, d.terms, d.factors, d.layout, d.parts)
     if separated:
         d = drop_separated(d, family)
     shape = shape_of(d, max_levels, rest_levels)
     keys, k = list(d.keys), len(d.terms)
     in_blocks = not shape.iterate
+    d = d if in_blocks else d.whole()
 
     # Halfway between each value and the overall mean, away from the borders.
     centre = F.greatest(d.rows.agg(F.avg("y")).scalar(), F.lit(1e-6)) if family == "poisson" else F.lit(0.5)

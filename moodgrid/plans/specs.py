@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodgrid.functions.basis import crossed, cyclic_tents, dummies, piecewise, product
+from moodgrid.functions.basis import Terms, crossed, cyclic_tents, dummies, piecewise, product
 from moodgrid.functions.clock import tod_continuous
 from moodgrid.operators.aggregates import quantile_bins
 from moodgrid.functions.recode import majority_class
@@ -21,6 +21,8 @@ ABSORBED = ("dow", "doy", "tod", "fips", "year", "statemonth")
 ABSORBED_BY_GROUP = ("dow", "doy", "tod", "fips", "year", "month")
 RACES = ("race_white", "race_black", "race_other", "race_hisp")
 THIRDS = ("low", "mid", "high")
+# What the named forms read of the panel, besides the outcome.
+PANEL = ("weather_term", "wbgt", "prcp", "srad", "income_percap", *RACES, *ABSORBED)
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ def _one(name: str) -> dict[str, Column]:
 
 def _factor_form(name: str, part: dict[str, Column]) -> dict[str, Column]:
     base, weather = piecewise("wbgt"), {**_one("raining"), **_one("srad")}
-    return {**part, **base, **product(part, base), **weather, **product(part, weather)}
+    return Terms(part, base, product(part, base), weather, product(part, weather))
 
 
 def spec(name: str, race: str = "race_white", classes: Sequence[str] = RACES) -> Spec:
@@ -63,15 +65,12 @@ def spec(name: str, race: str = "race_white", classes: Sequence[str] = RACES) ->
     if name in ("income", "race"):
         share = "income" if name == "income" else race
         part = _one(share)
-        rest = {**crossed(part, _one("raining")), **crossed(part, _one("srad"))}
-        return Spec(name, {**base, **piecewise("wbgt", by=share), **rest})
+        rest = Terms(crossed(part, _one("raining")), crossed(part, _one("srad")))
+        return Spec(name, Terms(base, piecewise("wbgt", by=share), rest))
     if name == "income_race":
-        rest = {
-            **crossed(_one(race), _one("income"), _one("raining")),
-            **crossed(_one(race), _one("income"), _one("srad")),
-        }
-        both = {**piecewise("wbgt", by="income"), **piecewise("wbgt", by=race)}
-        return Spec(name, {**base, **both, **rest})
+        rest = Terms(crossed(_one(race), _one("income"), _one("raining")), crossed(_one(race), _one("income"), _one("srad")))
+        both = Terms(piecewise("wbgt", by="income"), piecewise("wbgt", by=race))
+        return Spec(name, Terms(base, both, rest))
     if name == "income_q":
         return Spec(name, _factor_form(name, dummies("income_third", THIRDS, THIRDS[0])))
     if name == "race_q":
@@ -88,7 +87,7 @@ def spec(name: str, race: str = "race_white", classes: Sequence[str] = RACES) ->
 def linear_spec(by: str | None = None, x: str = "wbgt") -> Spec:
     """x + raining + srad, each also times ``by``; used per region."""
     weather = {**_one(x), **_one("raining"), **_one("srad")}
-    terms = weather if by is None else {**weather, **_one(by), **product(weather, _one(by))}
+    terms = weather if by is None else Terms(weather, _one(by), product(weather, _one(by)))
     return Spec(f"linear_{by or 'plain'}", terms, ABSORBED_BY_GROUP)
 
 

@@ -309,12 +309,17 @@ def _(t):
     return rounded(fits.select("outcome", "predictor", "estimate", "statistic", "aic"), 4)
 
 
+def form_rows(t, name: str, *more: str):
+    """The rows of a form, from a written panel of the columns that forms read and some ``more``."""
+    return specs.with_classes(specs.analysis_rows(t.stored(t.panel.select(*specs.PANEL, *more))), name)
+
+
 def form_query(name: str, outcome: str, race: str):
     """One fit of a named form with all six absorbed factors."""
 
     @query(f"form_{name}_{outcome}")
     def _(t):
-        rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), name)
+        rows = form_rows(t, name, outcome)
         form = specs.spec(name, race)
         return rounded(specs.fit(rows, outcome, form).select("term", "estimate", "std_error"), 8)
 
@@ -347,7 +352,7 @@ def depress_query(name: str):
 
     @query(f"form_depress_{name}")
     def _(t):
-        rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), name)
+        rows = form_rows(t, name, "depress_term")
         form = specs.spec(name)
         coefs, _ = fe_glm(rows, "depress_term", form.terms, form.absorb, "binomial")
         return rounded(coefs.select("term", "estimate"), 5)
@@ -423,7 +428,7 @@ def band_query(name, outcome, x="wbgt", at=5, race=WHITE):
 
     @query(f"curve_{name}_{outcome}" + ("" if x == "wbgt" else f"_{x}"))
     def _(t):
-        rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), name)
+        rows = form_rows(t, name, "id", outcome)
         form = specs.spec(name, race)
         coefs = specs.bootstrap_fit(rows, outcome, form, ["id"], REPLICATES)
         pred = curves.predict_curve(coefs, curve_grid(rows, x, by, classes), form.terms, [x, *groups])
@@ -455,7 +460,7 @@ for _form in ("income", "race_q"):
 
 @query("curve_time_of_day_vader")
 def _(t):
-    rows = specs.with_classes(specs.analysis_rows(t.stored(t.panel)), "time_of_day")
+    rows = form_rows(t, "time_of_day", "id", "vader")
     form = specs.spec("time_of_day")
     coefs = specs.bootstrap_fit(rows, "vader", form, ["id"], REPLICATES)
     grid = curve_grid(rows, "tod", [], {}).withColumn("wbgt", F.lit(1.0))
