@@ -7,14 +7,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from moodgrid.operators.nearest import LONGEST, grouped
 from moodgrid.session import cut_lineage
 
 SMALL_ROWS = 200_000  # rows a lookup may have to be sent to every executor
 HOT_SHARE = 0.001  # a key holding more than this share of the rows is salted
 SALTS = 64
 BANDS = (2, 4)  # edits up to which texts are met by their segments
-DIRECT = 10_000  # texts of a group that cost less to compare than to meet by segments
+DIRECT = 100_000  # texts of a group that a task holds
+OPEN_TEXTS = 50_000  # open texts of such a group for each copy of its candidates
 SALT_KEYS = 500  # open texts of a group for each copy of its candidates
 
 
@@ -117,9 +121,10 @@ def nearest_key_join(
 ) -> DataFrame:
     """For each left row the right row with equal ``on`` and the closest text.
 
-    Equal texts are settled by an equi-join and texts one edit apart by joining
-    on their one-letter deletions. The rest are compared with all texts of their group
-    where these are at most ``direct``; else the bound k first goes through ``BANDS``:
+    Equal texts are settled by an equi-join. The rest meet the texts of their group in
+    one task (``nearest``) where these are at most ``direct`` and of at most 64 letters: then
+    nothing is exploded. In other groups texts one edit apart meet by joining on
+    their one-letter deletions, then the bound k goes through ``BANDS``:
     of k + 1 segments of a text one stays whole under k edits, so texts within k
     share a segment at places at most k apart, and only such pairs are compared.
     Rows open beyond the last band compare themselves with the distinct texts of
@@ -134,13 +139,54 @@ def nearest_key_join(
     rows = right.groupBy(*on, F.col(text).alias("__r")).agg(
         F.min(F.struct(*(F.col(c) for c in values), F.lit(0).alias("__pad"))).alias("__row")
     )
-    candidates = rows.select(*on, "__r")
+    candidates = rows.filter("__r IS NOT NULL").select(*on, "__r")
 
     exact = keys.join(
         candidates.withColumn(text, F.col("__r")), [*on, text], "inner"
     ).withColumn("__d", F.lit(0))
     open_keys = keys.join(exact.select(*on, text), [*on, text], "left_anti")
 
+    held = candidates.groupBy(*on).agg(F.count(F.lit(1)).alias("__held"), F.max(F.length("__r")).alias("__long"))
+    held = cut_lineage(held.withColumn("__g", F.monotonically_increasing_id()))
+    # Texts without a group match nothing.
+    sized = cut_lineage(open_keys.join(held, on, "inner"))
+    whole = (F.col("__held") <= direct) & (F.greatest("__long", F.length(text)) <= LONGEST)
+    found = exact.select(*on, text, "__r", "__d").unionByName(_in_task(sized.filter(whole), candidates, held, on, text))
+    apart = sized.filter(~whole).select(*on, text)
+    if not apart.isEmpty():
+        found = found.unionByName(_by_pieces(apart, candidates, on, text))
+    matched = found.join(rows, [*on, "__r"], "inner").select(
+        *on,
+        text,
+        F.col("__r").alias(right_text),
+        F.col("__d").alias("edit_distance"),
+        *(F.col(f"__row.{c}").alias(c) for c in values),
+    )
+    return left.join(matched, [*on, text], "left")
+
+
+def _in_task(open_keys: DataFrame, candidates: DataFrame, held: DataFrame, on: list[str], text: str) -> DataFrame:
+    """The closest text of each open one, found where the texts of a group lie together; ``held`` numbers the groups."""
+    spark = open_keys.sparkSession
+    pieces = F.ceil(F.count(F.lit(1)) / F.lit(OPEN_TEXTS)).cast("long")
+    spread = open_keys.groupBy("__g").agg(pieces.alias("__pieces"))
+    salt = F.pmod(F.xxhash64(text), F.col("__pieces")).alias("__salt")
+    asked = open_keys.join(spread, "__g").select("__g", salt, F.lit(1).alias("__side"), F.col(text).alias("__l"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__pieces") - 1)).alias("__salt")
+    listed = candidates.join(held.select(*on, "__g"), on).join(spread, "__g")
+    listed = listed.select("__g", copies, F.lit(0).alias("__side"), F.col("__r").alias("__l"))
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = asked.unionByName(listed).repartition(parts, "__g", "__salt").sortWithinPartitions("__g", "__salt", "__side", "__l")
+    schema = StructType(
+        [StructField("__g", LongType()), StructField(text, StringType()), StructField("__r", StringType()), StructField("__d", IntegerType())]
+    )
+    found = cut_lineage(dealt.mapInArrow(grouped(to_arrow_schema(schema)), schema))
+    return found.join(held.select(*on, "__g"), "__g").select(*on, text, "__r", "__d")
+
+
+def _by_pieces(open_keys: DataFrame, candidates: DataFrame, on: list[str], text: str) -> DataFrame:
+    """The closest text of each open one, by joins on deletions and segments, then on the whole group."""
+
     def deletions(col: str) -> Column:
         size = F.length(col)
         cut = F.transform(
@@ -158,10 +204,6 @@ def nearest_key_join(
     )
     near = cut_lineage(_closest(one_edit, on, text))
     open_keys = cut_lineage(open_keys.join(near.select(*on, text), [*on, text], "left_anti"))
-    held = candidates.groupBy(*on).agg(F.count(F.lit(1)).alias("__held"))
-    sized = cut_lineage(open_keys.join(held, on, "left").withColumn("__held", F.coalesce("__held", F.lit(0))))
-    few = sized.filter(F.col("__held") <= direct).drop("__held")
-    open_keys = sized.filter(F.col("__held") > direct).drop("__held")
     for k in BANDS:
         if open_keys.isEmpty():
             break
@@ -169,7 +211,6 @@ def nearest_key_join(
         near = near.unionByName(banded)
         open_keys = cut_lineage(open_keys.join(banded.select(*on, text), [*on, text], "left_anti"))
 
-    open_keys = few.unionByName(open_keys)
     salts = F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / F.lit(SALT_KEYS))).cast("long")
     spread = open_keys.groupBy(*on).agg(salts.alias("__salts"))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))
@@ -184,15 +225,7 @@ def nearest_key_join(
         )
         .withColumn("__d", F.levenshtein(F.col(text), F.col("__r")))
     )
-    found = exact.select(*on, text, "__r", "__d").unionByName(near).unionByName(_closest(far_pairs, on, text))
-    matched = found.join(rows, [*on, "__r"], "inner").select(
-        *on,
-        text,
-        F.col("__r").alias(right_text),
-        F.col("__d").alias("edit_distance"),
-        *(F.col(f"__row.{c}").alias(c) for c in values),
-    )
-    return left.join(matched, [*on, text], "left")
+    return near.unionByName(_closest(far_pairs, on, text))
 
 
 def _within(left: DataFrame, right: DataFrame, on: list[str], text: str, k: int) -> DataFrame:
