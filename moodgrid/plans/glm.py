@@ -20,6 +20,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from moodgrid.operators.joins import SMALL_ROWS, is_small, lookup_join
 from moodgrid.plans.blocks import SENT_LEVELS, Working, block_states, packed_rows
@@ -162,6 +163,18 @@ def _working_block(family: str, collapse: bool, centre: float) -> Working:
     return made
 
 
+def scanned(rows: DataFrame) -> bool:
+    """Whether the rows come from a table by way of expressions and filters alone."""
+    nodes = [rows._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name, below = node.nodeName(), node.children()
+        if not (name in ("Project", "Filter", "Generate") or name.startswith(("Relation", "LogicalRelation"))):
+            return False
+        nodes += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def drop_separated(d: Design, family: str) -> Design:
     """Remove factor levels without any event, whose effect has no finite value.
 
@@ -241,24 +254,28 @@ def _settled_glm(
     """The solution rows of the last step."""
     if collapse:
         d = collapsed_rows(d.whole())
-    # Kept before anything filters on it.
-    held = d.rows.persist()
+    # Kept before anything filters on it; rows that are only scanned are scanned again, which takes neither memory nor disk.
+    held = d.rows if scanned(d.rows) else d.rows.persist()
     d = Design(held, d.keys, d.terms, d.factors, d.layout, d.parts)
     if separated:
         d = drop_separated(d, family)
-    shape = shape_of(d, max_levels, rest_levels)
+    *counts, mean = d.rows.agg(*(F.approx_count_distinct(f"f{i}") for i in range(len(d.factors))), F.avg("y")).first()
+    shape = shape_of(d, max_levels, rest_levels, counts=[int(n) for n in counts])
     keys, k = list(d.keys), len(d.terms)
     in_blocks = not shape.iterate
-    d = d if in_blocks else d.whole()
+    if not in_blocks:
+        held = held.persist()
+        d = d.whole()
 
     # Halfway between each value and the overall mean, away from the borders.
-    centre = F.greatest(d.rows.agg(F.avg("y")).scalar(), F.lit(1e-6)) if family == "poisson" else F.lit(0.5)
+    middle = 0.5 if family == "binomial" or mean is None else max(mean, 1e-6)
+    centre = F.lit(middle)
     first = (F.col("y") + centre) / F.lit(2.0)
     rows = d.rows.withColumn("eta", F.log(first) if family == "poisson" else F.log(first / (F.lit(1.0) - first)))
     sums = {"dev": F.col("dev"), "ll": F.col("ll"), **({"rows": F.col("count")} if collapse else {})}
     previous: dict[tuple, float] = {}
-    blocks = _blocks(d, shape, collapse).persist() if in_blocks else None
-    middle = float(d.rows.agg(centre).first()[0] or 0.5) if in_blocks else None
+    # Blocks are passed over whole in each step, so memory would hold the few that are met last.
+    blocks = _blocks(d, shape, collapse).persist(StorageLevel.DISK_ONLY) if in_blocks else None
     older, solution, small = None, None, None
     steps = halvings = 0
     try:

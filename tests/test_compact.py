@@ -79,3 +79,17 @@ def test_rows_without_a_bound_are_incomplete_where_a_product_is(frame):
     terms = Terms(terms, product(dummies("class", ("a", "b", "c"), "a"), {"srad": F.col("srad")}))
     one, two = (rows_of(tidy(fe_ols(odd, "y", t, ["f"]))) for t in (terms, dict(terms)))
     assert all(abs(one[k] - two[k]) < 1e-8 * (1 + abs(two[k])) for k in two)
+
+
+def test_rows_of_a_table_are_not_held(spark, frame, tmp_path, monkeypatch):
+    """Of a written table only the packed blocks are kept, on disk; what is costly to derive is held."""
+    from moodgrid.plans.glm import scanned
+
+    kept, kind = [], type(frame)
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, *level: kept.append(level) or persist(self, *level))
+    frame.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert scanned(table.filter("y > 0").select("f")) and not scanned(table.groupBy("f").count())
+    fe_glm(table, "flag", factor_form(), ["f", "g"], "binomial")[0].collect()
+    assert len(kept) == 1 and not kept[0][0].useMemory
